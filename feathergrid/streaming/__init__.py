@@ -1,0 +1 @@
+"""Empty on purpose: the workloads rebuilt here are all batch jobs."""
