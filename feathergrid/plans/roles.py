@@ -97,8 +97,8 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- prices: one row per supplier "ticker" and day ----------------------------------------------
 PRICES_SQL = """
 select l_suppkey as tic, cast(l_shipdate as date) as datadate,
-       round(avg(l_extendedprice / l_quantity), 4) as prccd, max(1 + l_linenumber % 2) as ajexdi,
-       round(avg(l_discount), 6) as ratio, sum(l_quantity) as volume
+       avg(l_extendedprice) as prccd, max(1 + l_linenumber % 2) as ajexdi,
+       avg(l_discount) as ratio, sum(l_quantity) as volume
 from lineitem group by 1, 2
 """
 
@@ -107,15 +107,15 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most one row per ticker and calendar day, so a window per ticker is bounded by the calendar."""
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("tic"), F.col("l_shipdate").cast("date").alias("datadate")).agg(
-        F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("prccd"),
+        F.avg("l_extendedprice").alias("prccd"),
         F.max(1 + F.col("l_linenumber") % 2).alias("ajexdi"),
-        F.round(F.avg("l_discount"), 6).alias("ratio"),
+        F.avg("l_discount").alias("ratio"),
         F.sum("l_quantity").alias("volume"),
     )
 
 
 BENCHMARK_SQL = """
-select cast(l_shipdate as date) as datadate, round(avg(l_extendedprice / l_quantity), 4) as prccd
+select cast(l_shipdate as date) as datadate, avg(l_extendedprice) as prccd
 from lineitem group by 1
 """
 
@@ -124,7 +124,7 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily mean over all tickers."""
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_shipdate").cast("date").alias("datadate")).agg(
-        F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("prccd")
+        F.avg("l_extendedprice").alias("prccd")
     )
 
 
@@ -132,7 +132,7 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUARTER_SQL = """
 select o_custkey as cusip, cast(date_trunc('quarter', o_orderdate) as date) as datadate,
        round(sum(case when o_orderstatus = 'P' then 0.0 else o_totalprice end), 2) as revtq,
-       round(sum(case when o_orderstatus = 'F' then o_totalprice else -0.5 * o_totalprice end), 2) as niq,
+       round(sum(case when o_orderstatus = 'F' then o_totalprice else -0.5 * o_totalprice end), 4) as niq,
        round(max(case when o_orderpriority = '1-URGENT' then o_totalprice end), 2) as cheq
 from orders group by 1, 2
 """
@@ -147,7 +147,7 @@ def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_trunc("quarter", F.col("o_orderdate").cast("timestamp")).cast("date").alias("datadate"),
     ).agg(
         F.round(F.sum(F.when(status == "P", 0.0).otherwise(total)), 2).alias("revtq"),
-        F.round(F.sum(F.when(status == "F", total).otherwise(-0.5 * total)), 2).alias("niq"),
+        F.round(F.sum(F.when(status == "F", total).otherwise(-0.5 * total)), 4).alias("niq"),
         F.round(F.max(F.when(F.col("o_orderpriority") == "1-URGENT", total)), 2).alias("cheq"),
     )
 
