@@ -16,7 +16,10 @@ FL = roles.FLIGHTS_SQL
 PR = roles.PRICES_SQL
 ID = ["l_orderkey", "l_linenumber", "tail_num", "origin", "l_extendedprice"]
 IDS = ", ".join(ID)
-DAYTEXT = F.col("datadate").cast("string").alias("datadate")
+
+
+def day_text(name="datadate"):
+    return F.col(name).cast("string").alias(name)
 
 
 def _over(key, frame, t="dep_t"):
@@ -138,7 +141,7 @@ def w5(spark, d):
 def w6(spark, d):
     out = S.lead_forward_return(roles.prices(spark, d), ["tic"], "datadate", "prccd")
     return out.select(
-        "tic", DAYTEXT, F.col("later_date").cast("string").alias("later_date"),
+        "tic", day_text(), F.col("later_date").cast("string").alias("later_date"),
         F.round("forward_return", 6).alias("forward_return"),
     )
 
@@ -151,7 +154,7 @@ def w6(spark, d):
 )
 def w7(spark, d):
     w = S.along(["tic"], ["datadate"])
-    return roles.prices(spark, d).select("tic", DAYTEXT, F.round(S.pct_change("prccd", w), 6).alias("change"))
+    return roles.prices(spark, d).select("tic", day_text(), F.round(S.pct_change("prccd", w), 6).alias("change"))
 
 
 def _clamped(value, k):
@@ -171,7 +174,7 @@ def w8(spark, d):
     w = S.along(["cusip"], ["datadate"])
     return roles.quarters(spark, d).select(
         "cusip",
-        DAYTEXT,
+        day_text(),
         (F.round(S.lag_change_clamped("revtq", 4, w), 6) + 0.0).alias("rev_yoy"),
         (F.round(S.lag_change_clamped("revtq", 1, w), 6) + 0.0).alias("rev_qoq"),
         (F.round(S.lag_change_clamped("niq", 1, w), 6) + 0.0).alias("ni_qoq"),
@@ -191,7 +194,7 @@ def w8(spark, d):
 def w9(spark, d):
     w = S.along(["tic"], ["datadate"])
     smas = [F.round(S.sma_rows("prccd", n, w), 4).alias(f"sma_{n}") for n in (6, 12, 36)]
-    return roles.prices(spark, d).select("tic", DAYTEXT, *smas)
+    return roles.prices(spark, d).select("tic", day_text(), *smas)
 
 
 @query(
@@ -201,7 +204,7 @@ def w9(spark, d):
 )
 def w10(spark, d):
     return roles.prices(spark, d).select(
-        "tic", DAYTEXT, F.round(S.rolling_stddev_days("prccd", "datadate", ["tic"]), 4).alias("sd")
+        "tic", day_text(), F.round(S.rolling_stddev_days("prccd", "datadate", ["tic"]), 4).alias("sd")
     )
 
 
@@ -214,7 +217,7 @@ def w10(spark, d):
 )
 def w11(spark, d):
     out = S.annualized_volatility(roles.prices(spark, d), ["tic"], "datadate", "prccd")
-    return out.select("tic", DAYTEXT, F.round("volatility", 6).alias("volatility"))
+    return out.select("tic", day_text(), F.round("volatility", 6).alias("volatility"))
 
 
 _GAPS = f"select tic, datadate, nullif(round(ratio * 100) % 4, 0.0) * volume as gap from ({PR})"
@@ -233,7 +236,7 @@ def gaps(spark, d):
 )
 def w12(spark, d):
     w = S.along(["tic"], ["datadate"])
-    return gaps(spark, d).select("tic", DAYTEXT, S.forward_fill("gap", w).alias("filled"))
+    return gaps(spark, d).select("tic", day_text(), S.forward_fill("gap", w).alias("filled"))
 
 
 @query(
@@ -243,7 +246,7 @@ def w12(spark, d):
 )
 def w13(spark, d):
     w = S.along(["tic"], ["datadate"])
-    return gaps(spark, d).select("tic", DAYTEXT, S.backward_fill("gap", w).alias("filled"))
+    return gaps(spark, d).select("tic", day_text(), S.backward_fill("gap", w).alias("filled"))
 
 
 _FUNDS = f"""select cusip, datadate, nullif(revtq, 0) / 100000 as quick_ratio, niq / 200000 as roe,
@@ -281,7 +284,7 @@ def w14(spark, d):
         F.when(F.col("cheq") > 300000, F.col("revtq") / F.col("cheq")).alias("de_ratio"),
     )
     out = S.fill_chain(q, ["cusip"], "datadate")
-    return out.select("cusip", DAYTEXT, *[F.round(c, 6).alias(c) for c in _CHAIN])
+    return out.select("cusip", day_text(), *[F.round(c, 6).alias(c) for c in _CHAIN])
 
 
 @query(
@@ -294,7 +297,7 @@ def w14(spark, d):
 def w15(spark, d):
     w = S.along(["tic"], ["datadate"])
     p = roles.prices(spark, d).select("tic", "datadate", (S.pct_change("volume", w) / 100).alias("c"))
-    return p.select("tic", DAYTEXT, F.round(S.cumulative_return("c", w), 6).alias("cumulative"))
+    return p.select("tic", day_text(), F.round(S.cumulative_return("c", w), 6).alias("cumulative"))
 
 
 @query(
@@ -304,7 +307,7 @@ def w15(spark, d):
 )
 def w16(spark, d):
     out = S.last_day_in_period(roles.prices(spark, d), ["tic"], "datadate")
-    return out.select("tic", DAYTEXT, "is_last")
+    return out.select("tic", day_text(), "is_last")
 
 
 _MONTHS = """select l_suppkey as tic, date_trunc('month', l_shipdate)::date as datadate, sum(l_quantity) as qty
@@ -324,7 +327,7 @@ def months(spark, d):
 )
 def w17(spark, d):
     out = S.difference("qty", [12, 1], ["tic"], ["datadate"], months(spark, d), "diff")
-    return out.select("tic", DAYTEXT, "diff")
+    return out.select("tic", day_text(), "diff")
 
 
 _DAILY = """select l_returnflag as series, l_shipdate::date as day, sum(l_quantity) as qty from lineitem group by 1, 2"""
