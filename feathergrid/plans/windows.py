@@ -186,14 +186,14 @@ def w8(spark, d):
     "select tic, cast(datadate as varchar) as datadate, "
     + ", ".join(
         f"round(case when count(prccd) over (partition by tic order by datadate rows {n - 1} preceding) = {n} then "
-        f"avg(prccd) over (partition by tic order by datadate rows {n - 1} preceding) end, 4) as sma_{n}"
+        f"avg(prccd) over (partition by tic order by datadate rows {n - 1} preceding) end, 8) as sma_{n}"
         for n in (6, 12, 36)
     )
     + f" from ({PR})",
 )
 def w9(spark, d):
     w = S.along(["tic"], ["datadate"])
-    smas = [F.round(S.sma_rows("prccd", n, w), 4).alias(f"sma_{n}") for n in (6, 12, 36)]
+    smas = [F.round(S.sma_rows("prccd", n, w), 8).alias(f"sma_{n}") for n in (6, 12, 36)]
     return roles.prices(spark, d).select("tic", day_text(), *smas)
 
 
@@ -269,7 +269,7 @@ def _chain_sql():
 
     filled = f"select cusip, datadate, {', '.join(fill(c) for c in _CHAIN)} from (select cusip, datadate, {', '.join(clip(c) for c in _CHAIN)} from ({_FUNDS}))"
     done = [
-        f"round(coalesce({c}{f', avg({c}) over (partition by cusip)' if _CHAIN[c][2] else ''}, 0), 6) as {c}" for c in _CHAIN
+        f"round(coalesce({c}{f', avg({c}) over (partition by cusip)' if _CHAIN[c][2] else ''}, 0), 10) as {c}" for c in _CHAIN
     ]
     return f"select cusip, cast(datadate as varchar) as datadate, {', '.join(done)} from ({filled})"
 
@@ -284,7 +284,7 @@ def w14(spark, d):
         F.when(F.col("cheq") > 300000, F.col("revtq") / F.col("cheq")).alias("de_ratio"),
     )
     out = S.fill_chain(q, ["cusip"], "datadate")
-    return out.select("cusip", day_text(), *[F.round(c, 6).alias(c) for c in _CHAIN])
+    return out.select("cusip", day_text(), *[F.round(c, 10).alias(c) for c in _CHAIN])
 
 
 @query(

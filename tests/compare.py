@@ -30,7 +30,7 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     out = []
     for row in frame.itertuples(index=False, name=None):
-        out.append(tuple(None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v for v in row))
+        out.append(tuple(None if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else v for v in row))
     return sorted(out, key=lambda r: tuple((v is None, str(type(v).__name__), str(v)) for v in r))
 
 
