@@ -40,7 +40,7 @@ def j2(spark, d):
 
 @query(
     "j3_left_benchmark",
-    f"""select tic, cast(datadate as varchar) as datadate, round(prccd - bench, 6) + 0.0 as excess from ({PR})
+    f"""select tic, cast(datadate as varchar) as datadate, round(prccd - bench, 8) + 0.0 as excess from ({PR})
         left join (select datadate, prccd as bench from ({BM})) using (datadate)""",
 )
 def j3(spark, d):
@@ -49,7 +49,7 @@ def j3(spark, d):
     return out.select(
         "tic",
         F.col("datadate").cast("string").alias("datadate"),
-        (F.round(F.col("prccd") - F.col("bench"), 6) + 0.0).alias("excess"),
+        (F.round(F.col("prccd") - F.col("bench"), 8) + 0.0).alias("excess"),
     )
 
 

@@ -97,17 +97,22 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- prices: one row per supplier "ticker" and day ----------------------------------------------
 PRICES_SQL = """
 select l_suppkey as tic, cast(l_shipdate as date) as datadate,
-       avg(l_extendedprice) as prccd, max(1 + l_linenumber % 2) as ajexdi,
+       cast(sum(cast(l_extendedprice as decimal(18, 2))) as double) / count(*) as prccd, max(1 + l_linenumber % 2) as ajexdi,
        avg(l_discount) as ratio, sum(l_quantity) as volume
 from lineitem group by 1, 2
 """
 
 
+def _exact_mean(col: str):
+    """Mean of money values through a decimal sum: the same bits whatever the order of rows."""
+    return F.sum(F.col(col).cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most one row per ticker and calendar day, so a window per ticker is bounded by the calendar."""
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("tic"), F.col("l_shipdate").cast("date").alias("datadate")).agg(
-        F.avg("l_extendedprice").alias("prccd"),
+        _exact_mean("l_extendedprice").alias("prccd"),
         F.max(1 + F.col("l_linenumber") % 2).alias("ajexdi"),
         F.avg("l_discount").alias("ratio"),
         F.sum("l_quantity").alias("volume"),
@@ -115,7 +120,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BENCHMARK_SQL = """
-select cast(l_shipdate as date) as datadate, avg(l_extendedprice) as prccd
+select cast(l_shipdate as date) as datadate, cast(sum(cast(l_extendedprice as decimal(18, 2))) as double) / count(*) as prccd
 from lineitem group by 1
 """
 
@@ -124,7 +129,7 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily mean over all tickers."""
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_shipdate").cast("date").alias("datadate")).agg(
-        F.avg("l_extendedprice").alias("prccd")
+        _exact_mean("l_extendedprice").alias("prccd")
     )
 
 
