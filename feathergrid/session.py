@@ -61,6 +61,16 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Cache the input of an iterative fit, over at least as many partitions as there are cores.
+
+    Meant for a scan without shuffles.  A big table already has enough splits
+    and is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return (df.repartition(cores) if df.rdd.getNumPartitions() < cores else df).cache()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
