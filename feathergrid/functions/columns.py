@@ -101,8 +101,8 @@ def indicator(condition: Column) -> Column:
 
 
 def hhmm_to_hour(c: Column) -> Column:
-    """Hour of an ``HHmm`` clock text of one to four digits; 2400 is hour 0."""
-    return F.lpad(c.cast("string"), 4, "0").substr(1, 2).try_cast("int") % 24
+    """Hour of an ``HHmm`` clock text of one to four digits; 2400 is hour 0, other text null."""
+    return (F.floor(c.cast("string").try_cast("int") / 100) % 24).cast("int")
 
 
 def part_of_day(hour: Column) -> Column:

@@ -46,7 +46,7 @@ class Fit:
         slopes = self.inverse @ sxy
         self.centre = means[1:]
         self.coef = np.concatenate([[means[0] - slopes @ means[1:]], slopes])
-        self.rss = float(self.tss - slopes @ sxy)
+        self.rss = max(float(self.tss - slopes @ sxy), 0.0)
         self.df = n - (used if used is not None else len(slopes) + 1)
         sigma2 = self.rss / self.df
         var0 = 1 / n + means[1:] @ self.inverse @ means[1:]
@@ -62,6 +62,8 @@ class Fit:
     @property
     def aic(self) -> float:
         k = len(self.coef) + 1
+        if self.rss == 0:
+            return -math.inf
         return self.n * (math.log(2 * math.pi) + math.log(self.rss / self.n) + 1) + 2 * k
 
     def table(self, spark: SparkSession) -> DataFrame:

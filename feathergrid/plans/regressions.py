@@ -52,7 +52,7 @@ def d1b(spark, d):
     return spark.createDataFrame([(fit["n"], round(fit["r2"], 6), round(fit["adj_r2"], 6))], "n long, r2 double, adj_r2 double")
 
 
-_VIF = "select l_quantity as a, l_extendedprice as b, l_extendedprice * 0.5 + l_quantity * 500 + l_tax * 1000 as c from lineitem"
+_VIF = "select l_quantity as a, l_extendedprice as b, l_extendedprice * 0.5 + l_quantity * 500 + l_tax * 300000 as c from lineitem"
 
 
 @query(
@@ -64,7 +64,7 @@ _VIF = "select l_quantity as a, l_extendedprice as b, l_extendedprice * 0.5 + l_
 )
 def d2(spark, d):
     li = table(spark, d, "lineitem")
-    c = F.col("l_extendedprice") * 0.5 + F.col("l_quantity") * 500 + F.col("l_tax") * 1000
+    c = F.col("l_extendedprice") * 0.5 + F.col("l_quantity") * 500 + F.col("l_tax") * 300000
     cols = li.select(F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"), c.alias("c"))
     return D.vif(cols, ["a", "b", "c"]).withColumn("vif", F.round("vif", 3))
 
