@@ -43,21 +43,40 @@ MISSING_READING = {
     "SLP_sea_level_pressure": 99999,
 }
 GOOD_QUALITY = [0, 1, 4, 5, 9]
+# fixed values: readings written with a sign
+SIGNED_READING = ("TMP_air_temperature", "DEW_dew_point_temperature")
 # fixed values: bad-weather thresholds (ratio, m/s, hPa, m)
 HUMIDITY_MIN, WIND_MIN, PRESSURE_MAX, VISIBILITY_MAX = 0.5, 15.2, 1006.6, 1609.344
 # fixed values: first hour of each part of the day
 DAY_PARTS = [(5, 12, "Morning"), (12, 17, "Afternoon"), (17, 21, "Evening")]
 
 
-def unpack_composite(df: DataFrame, layout: Mapping[str, Sequence[str]] = PACKED_LAYOUT, sep: str = ",") -> DataFrame:
-    """Replace packed string columns by one column per part."""
+def unpack_composite(
+    df: DataFrame,
+    layout: Mapping[str, Sequence[str]] = PACKED_LAYOUT,
+    types: Mapping[str, str] | None = None,
+    signed: Sequence[str] = SIGNED_READING,
+    sep: str = ",",
+) -> DataFrame:
+    """Replace packed string columns by one column per part, cast where ``types`` names one.
+
+    Each packed text is split once.  The parts leave through a generator, so a
+    later filter on them is not rewritten into a second round of splitting.
+    A leading plus is dropped from ``signed`` parts; text that does not parse is null.
+    """
     keep = [c for c in df.columns if c not in layout]
-    parts = [
-        F.get(F.split(F.col(packed), sep), F.lit(i)).alias(name)
-        for packed, names in layout.items()
-        for i, name in enumerate(names)
-    ]
-    return df.select(*keep, *parts)
+    types = types or {}
+
+    def part(packed: str, i: int, name: str) -> Column:
+        text = F.get(F.col(f"_{packed}"), F.lit(i))
+        if name in types:
+            plain = F.replace(text, F.lit("+"), F.lit("")) if name in signed else text
+            return plain.try_cast(types[name]).alias(name)
+        return text.alias(name)
+
+    pieces = df.select(*keep, *[F.split(F.col(packed), sep).alias(f"_{packed}") for packed in layout])
+    parts = F.struct(*[part(packed, i, n) for packed, names in layout.items() for i, n in enumerate(names)])
+    return pieces.select(*keep, F.inline(F.array(parts)))
 
 
 def cast_tolerant(df: DataFrame, types: Mapping[str, str]) -> DataFrame:

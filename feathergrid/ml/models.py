@@ -270,9 +270,9 @@ def rf_regressor(train: DataFrame, test: DataFrame, label: str, **params) -> Dat
     )
 
 
-def temporal_slices(df: DataFrame, order: Sequence[str], block: Column, size: int, name: str = "slice") -> DataFrame:
-    """Consecutive slices of ``size`` rows along time; rows are numbered block by block."""
-    return dense_row_id(df, order, block, "_rn").withColumn(name, F.floor((F.col("_rn") - 1) / size)).drop("_rn")
+def temporal_slices(df: DataFrame, order: Sequence[str], size: int, name: str = "slice") -> DataFrame:
+    """Consecutive slices of ``size`` rows along time."""
+    return dense_row_id(df, order, "_rn").withColumn(name, F.floor((F.col("_rn") - 1) / size)).drop("_rn")
 
 
 def temporal_grid_eval(

@@ -6,7 +6,9 @@ The triangle inequality then gives, for a query, an upper bound on its k-th
 distance and a lower bound on the distance to each cell; cells that cannot hold
 a neighbour are skipped, all others are read, so the answer is exact.  A big
 cell is split into pieces; each (cell, piece, query piece) is one small matrix
-product that returns k rows per query.
+product that returns k rows per query.  Pivots grow with the square root of the
+training rows up to a fixed number, and a training piece is copied once per
+query piece that really needs its cell.
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feathergrid.operators.rows import sample_n, top_k_per_group
 
 # rows of one piece: bounds the memory of one matrix product
 PIECE_ROWS = 4096
+# most pivots: bounds what the driver holds
+MAX_PIVOTS = 1024
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -34,9 +38,11 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def knn(
-    train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int, pivots: int = 16, piece_rows: int = PIECE_ROWS
+    train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int, pivots: int | None = None,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """``(key, neighbour, label, distance, pick)``: the k nearest training rows of each test row."""
+    pivots = pivots or min(MAX_PIVOTS, max(4, int(train.count() ** 0.5)))
     centres = _matrix(sample_n(train.select(key, vector), [key], pivots, seed=1).toPandas()[vector])  # pivots rows
     vec = F.col(vector).cast("array<double>")
 
@@ -76,13 +82,17 @@ def knn(
 
     queries = test.select(F.col(key).alias("id"), vec.alias("v"))
     probes = queries.mapInPandas(candidates, "id long, v array<double>, cell long, piece long")
-    counts = F.create_map(*[F.lit(int(x)) for pair in zip(cells, pieces, strict=True) for x in pair])
-    total = test.count()
-    query_pieces = max(1, -(-total // piece_rows))
-    probes = probes.withColumn("lane", F.pmod(F.xxhash64("id"), F.lit(query_pieces)))
-    lanes = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_pieces - 1).cast("long")))
-    split = placed.withColumn("piece", F.pmod(F.xxhash64("id"), counts[F.col("cell").cast("int")]).cast("long"))
-    split = split.select("id", "v", "label", "cell", "piece", lanes.alias("lane"))
+    asked = {r["cell"]: r["n"] for r in probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def per_cell(numbers) -> Column:
+        known = [F.lit(int(x)) for c, n in zip(cells, numbers, strict=True) for x in (c, n)]
+        return F.create_map(*known)[F.col("cell").cast("int")]
+
+    lanes = [max(1, -(-asked.get(c, 0) // (piece_rows * int(p)))) for c, p in zip(cells, pieces, strict=True)]
+    probes = probes.withColumn("lane", F.pmod(F.xxhash64("id"), per_cell(lanes)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), per_cell(lanes).cast("long") - 1))
+    split = placed.withColumn("piece", F.pmod(F.xxhash64("id"), per_cell(pieces)).cast("long"))
+    split = split.select("id", "v", "label", "cell", "piece", every.alias("lane"))
 
     def closest(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):

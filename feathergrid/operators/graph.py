@@ -11,8 +11,6 @@ from feathergrid.session import cut_lineage
 ALPHA = 0.15
 # Links of one node handled by one task; a node with more is split over salts.
 LINKS_PER_SALT = 1_000_000
-# Ranks are checkpointed every so many steps to keep the plan short.
-CHECKPOINT_EVERY = 3
 
 
 def edges_from_adjacency(adjacency: DataFrame, node: str = "node", links: str = "links") -> DataFrame:
@@ -84,7 +82,8 @@ def _iterate(edges: DataFrame, steps: int, alpha: float, teleport: bool) -> Data
             mass = ranks.agg(F.coalesce(F.sum(F.when(F.col("salts").isNull(), F.col("x"))), F.lit(0.0)).alias("m"))
             flow = F.lit(alpha / size) + (1 - alpha) * (mass.scalar() / size + flow)
         ranks = base.join(received, "id", "left").select("id", "salts", flow.alias("x"))
-        if step % CHECKPOINT_EVERY == 0 and step < steps:
+        if step < steps:
+            # the next step reads ranks twice, for the flow and for the dangling mass
             ranks = cut_lineage(ranks)
     return ranks.select("id", F.col("x").alias("rank"))
 

@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feathergrid.functions.geo import haversine_km
-from feathergrid.session import broadcast_if_small
 
 
 def left_multi_key(left: DataFrame, right: DataFrame, on: Sequence[str], suffix: str = "_right") -> DataFrame:
@@ -19,13 +18,18 @@ def left_multi_key(left: DataFrame, right: DataFrame, on: Sequence[str], suffix:
 
 
 def left_benchmark(left: DataFrame, benchmark: DataFrame, on: str) -> DataFrame:
-    """Join one row per date to every entity; the series is bounded by the calendar."""
-    return left.join(broadcast_if_small(benchmark), on, "left")
+    """Join one row per date to every entity; Spark broadcasts the series while its size allows."""
+    return left.join(benchmark, on, "left")
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """Map a key through a dictionary table, broadcast while its counted size allows."""
-    return df.join(broadcast_if_small(dim), on, "left")
+    """Map a key through a dictionary table.
+
+    No hint: below ``spark.sql.autoBroadcastJoinThreshold`` (file size, or the
+    size measured at run time) Spark broadcasts, above it the join is shuffled
+    and a skewed side is split.
+    """
+    return df.join(dim, on, "left")
 
 
 def interval_join(
@@ -115,8 +119,8 @@ def asof_join_all_ties(
     return matched.join(reports, [*keys, "_s"], "inner").drop("_s")
 
 
-# The unit sphere is cut into cubes; level 0 has edge 2 (everything), each further level halves it.
-SPHERE_LEVELS = 12
+# The unit sphere is cut into cubes; level 0 has edge 2, each further level a quarter of it (about 3 km at level 6).
+SPHERE_LEVELS = 6
 
 
 def _cube(axis: Column, size: Column) -> Column:
@@ -128,10 +132,10 @@ def nearest_point(
 ) -> DataFrame:
     """Nearest right point on the sphere for each left point, without comparing all pairs.
 
-    Points live on the unit sphere, cut into cubes whose edge halves per level.
-    The finest level with a right point in the 27 cubes around a left point
-    bounds the nearest distance by ``2*sqrt(3)`` edges, so the 27 cubes two
-    levels up (four times the edge) hold the nearest point for certain.  Ties go
+    Points live on the unit sphere, cut into cubes whose edge is quartered per
+    level.  The finest level with a right point in the 27 cubes around a left
+    point bounds the nearest distance by ``2*sqrt(3)`` edges, so the 27 cubes one
+    level up (four times the edge) hold the nearest point for certain.  Ties go
     to the smallest right id.  Equal coordinates are compared once.
     """
     def sphere(df: DataFrame) -> DataFrame:
@@ -146,7 +150,7 @@ def nearest_point(
         )
 
     def cells(df: DataFrame, level: Column, around: bool) -> DataFrame:
-        size = F.pow(F.lit(2.0), F.lit(1.0) - level)
+        size = 2 * F.pow(F.lit(0.25), level)
         steps = (-1, 0, 1) if around else (0,)
         placed = df.select(
             "*", *[_cube(F.col(a), size).alias(f"c{a}") for a in "xyz"]
@@ -169,7 +173,7 @@ def nearest_point(
     finest = (
         probes.join(held.select(*cube).distinct(), cube, "left_semi")
         .groupBy(lat, lon, "x", "y", "z")
-        .agg(F.greatest(F.max("level") - 2, F.lit(0)).alias("level"))
+        .agg(F.greatest(F.max("level") - 1, F.lit(0)).alias("level"))
     )
     final = cells(finest, F.col("level"), True)
     near = final.join(held.select(*cube, F.col(lat).alias("_rlat"), F.col(lon).alias("_rlon"), "_rid"), cube)

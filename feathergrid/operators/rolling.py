@@ -1,10 +1,13 @@
 """Rolling sums over time ranges, safe for hot keys and long frames.
 
 A sliding frame re-reads every row of the frame for every row, and keeps one
-key in one task.  Rolling sums need neither: a value at second ``s`` enters the
-frame ``[t+start, t+end]`` at ``t = s-end`` and leaves it after ``t = s-start``.
-So each value becomes a ``+v`` and a ``-v`` event, events of one (key, second)
-collapse with a map-side aggregate, and a blocked running total gives the sums.
+key in one task.  Rolling sums need neither.  Rows are first summed per (key,
+second).  A value at second ``s`` counts for rows at ``t`` in ``[s-end, s-start]``,
+so it becomes a ``+v`` event where that interval starts and a ``-v`` event after
+it ends, and a plain running total gives the rolling sum.  Time is cut into
+blocks at least as long as a frame: an interval touches at most two blocks and
+is written to each, so blocks need nothing from each other and a hot key runs
+in as many tasks as it has blocks.
 """
 
 from __future__ import annotations
@@ -12,14 +15,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from feathergrid.operators.ordered import running_totals
-
 DAY = 86_400
 HOUR = 3_600
-# A (key, block) holds at most one row per second of this span and frame edge.
-BLOCK_SECONDS = 30 * DAY
 
 
 def leaky_frame(span: int) -> tuple[int, int]:
@@ -38,34 +38,45 @@ def rolling_sums(
     seconds: str,
     measures: Mapping[str, Column],
     frames: Mapping[str, tuple[int, int]],
-    block_seconds: int = BLOCK_SECONDS,
+    block_seconds: int = DAY,
 ) -> DataFrame:
-    """One row per (keys, second) with ``<measure>_<frame>`` sums of integer measures."""
-    pairs = [(m, f) for m in measures for f in frames]
-    names = {pair: f"{pair[0]}_{pair[1]}" for pair in pairs}
-
-    def event(at: Column, own: int, deltas: Mapping[tuple[str, str], Column]) -> Column:
-        zero = F.lit(0).cast("long")
-        fields = [F.coalesce(deltas.get(p, zero), zero).alias(f"d_{names[p]}") for p in pairs]
-        return F.struct(at.alias("at"), F.lit(own).alias("own"), *fields)
+    """One row per (keys, second) with ``<measure>_<frame>`` sums of integer measures.
 
+    A block holds at most one row per second and frame edge of its span,
+    whatever the number of rows behind it.
+    """
+    width = max([block_seconds, *[end - start + 1 for start, end in frames.values()]])
+    names = [f"{m}_{f}" for m in measures for f in frames]
     t = F.col(seconds)
-    value = {m: e.cast("long") for m, e in measures.items()}
-    moves: dict[int, dict[tuple[str, str], Column]] = {0: {}}
-    for m, f in pairs:
-        start, end = frames[f]
-        moves.setdefault(-end, {})[(m, f)] = value[m]
-        moves.setdefault(1 - start, {})[(m, f)] = -value[m]
-    events = [event(t + shift, int(shift == 0), deltas) for shift, deltas in moves.items()]
-    exploded = df.where(t.isNotNull()).select(*keys, F.explode(F.array(*events)).alias("e"))
-    merged = exploded.groupBy(*keys, F.col("e.at").alias(seconds)).agg(
-        F.max("e.own").alias("_own"), *[F.sum(f"e.d_{n}").alias(f"_d_{n}") for n in names.values()]
-    )
-    blocked = merged.withColumn("_block", F.floor(F.col(seconds) / block_seconds))
-    totals = running_totals(
-        blocked, keys, [seconds], "_block", {n: F.col(f"_d_{n}") for n in names.values()}
+    per_second = df.where(t.isNotNull()).groupBy(*keys, seconds).agg(
+        *[F.coalesce(F.sum(e.cast("long")), F.lit(0)).alias(f"_v_{m}") for m, e in measures.items()]
     )
-    return totals.where(F.col("_own") == 1).select(*keys, seconds, *names.values())
+    zero = F.lit(0).cast("long")
+
+    def event(at: Column, block: Column, own: int, signs: Mapping[str, int]) -> Column:
+        moved = [
+            (F.col(f"_v_{m}") * signs[f] if f in signs else zero).alias(f"_d_{m}_{f}") for m in measures for f in frames
+        ]
+        return F.struct(block.alias("block"), at.alias("at"), F.lit(own).alias("own"), *moved)
+
+    def block_of(at: Column) -> Column:
+        return F.floor(at / width)
+
+    # frames that start to count at the same second share one event
+    starts: dict[int, dict[str, int]] = {0: {}}
+    for f, (_, end) in frames.items():
+        starts.setdefault(-end, {})[f] = 1
+    events = [event(t + shift, block_of(t + shift), int(shift == 0), signs) for shift, signs in starts.items()]
+    for f, (start, end) in frames.items():
+        first, stop = t - end, t - start + 1
+        entered, left = block_of(first), block_of(stop)
+        # leaves in a later block: that block starts with the value and drops it
+        events.append(F.when(left > entered, event(left * width, left, 0, {f: 1})))
+        events.append(event(stop, left, 0, {f: -1}))
+    exploded = per_second.select(*keys, F.explode(F.array(*events)).alias("e")).where("e is not null").select(*keys, "e.*")
+    so_far = W.partitionBy(*keys, "block").orderBy("at").rangeBetween(W.unboundedPreceding, 0)
+    totals = exploded.select(*keys, F.col("at").alias(seconds), "own", *[F.sum(f"_d_{n}").over(so_far).alias(n) for n in names])
+    return totals.where(F.col("own") == 1).drop("own")
 
 
 def with_rolling(
@@ -74,7 +85,7 @@ def with_rolling(
     seconds: str,
     measures: Mapping[str, Column],
     frames: Mapping[str, tuple[int, int]],
-    block_seconds: int = BLOCK_SECONDS,
+    block_seconds: int = DAY,
 ) -> DataFrame:
     """``df`` with its rolling sums; the join key (keys, second) spreads a hot key."""
     sums = rolling_sums(df, keys, seconds, measures, frames, block_seconds)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from feathergrid.operators.ordered import numbered, running_totals
+from feathergrid.session import cut_lineage
 
 # fixed value: airports up to this rank are hubs
 HUB_RANK = 15
@@ -87,9 +87,24 @@ def surrogate_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def dense_row_id(df: DataFrame, order: Sequence[str], block: Column, name: str = "row_id") -> DataFrame:
-    """Dense 1..n along ``order`` without moving all rows to one task."""
-    return numbered(df.withColumn("_block", block), [], list(order), "_block", name).drop("_block")
+def dense_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id", parts: int | None = None) -> DataFrame:
+    """Dense 1..n along a unique ``order`` without moving all rows to one task.
+
+    Range partitioning on the whole order splits any hot value.  The sorted rows
+    are written once, so counting and numbering see the same partitions; the
+    offsets are one row per partition.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # partition number in the upper bits, position inside the partition in the lower 33
+    tagged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    tagged = cut_lineage(tagged.withColumn("_id", F.monotonically_increasing_id()))
+    placed = tagged.withColumn("_part", F.shiftright("_id", 33))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered_rows = placed.join(F.broadcast(offsets), "_part")
+    position = F.col("_id") - F.shiftleft("_part", 33)
+    return numbered_rows.select(*df.columns, (F.col("_before") + position + 1).alias(name))
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], entity: str, score: str, k: int) -> DataFrame:
@@ -101,14 +116,24 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], entity: str, score: str,
     return flat.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= k)
 
 
-def cap_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """At most n rows per class in order.
+def cap_per_group(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, block: Column | None = None
+) -> DataFrame:
+    """At most n rows per class in order; the cap itself is the feature.
 
-    Spark keeps n rows per class and task before the shuffle, so a class that
-    holds most rows sends n per task; the cap itself is the feature.
+    For small n Spark keeps n rows per class and task before the shuffle.  For a
+    large n give a ``block`` that grows along the order (a day, say): blocks
+    behind the first n rows are dropped by their counts before any row is sorted.
     """
+    rows = df
+    if block is not None:
+        rows = df.withColumn("_block", block)
+        sizes = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+        before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+        early = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < n)
+        rows = rows.join(early.select(*keys, "_block"), [*keys, "_block"], "left_semi").drop("_block")
     w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
 def first_event(df: DataFrame, keys: Sequence[str], order: Sequence[str], condition: Column) -> DataFrame:
@@ -116,7 +141,3 @@ def first_event(df: DataFrame, keys: Sequence[str], order: Sequence[str], condit
     rest = [c for c in df.columns if c not in keys and c not in order]
     first = df.where(condition).groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_f"))
     return first.select(*keys, "_f.*")
-
-
-def cumulative_by_block(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: str, **sums: Column) -> DataFrame:
-    return running_totals(df, keys, list(order), block, sums)

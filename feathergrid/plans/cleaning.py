@@ -28,10 +28,8 @@ _GOOD_SQL = (
 
 
 def typed_weather(spark, d):
-    """Packed readings to typed columns; a leading plus is dropped before the tolerant cast."""
-    parts = C.unpack_composite(roles.weather(spark, d))
-    plain = [F.regexp_replace(c, r"\+", "").alias(c) if c in C.MISSING_READING else F.col(c) for c in parts.columns]
-    return C.cast_tolerant(parts.select(*plain), {n: "double" for n in _FLOATS})
+    """Packed readings to typed columns."""
+    return C.unpack_composite(roles.weather(spark, d), types={n: "double" for n in _FLOATS})
 
 
 def clean_weather(spark, d):
@@ -74,8 +72,25 @@ def p5(spark, d):
     return P.drop_columns(C.unpack_composite(roles.weather(spark, d)), ["l_shipdate"])
 
 
-@query("p6_cast_tolerant", _TYPED_SQL)
+@query(
+    "p6_cast_tolerant",
+    """select l_orderkey, l_linenumber, l_extendedprice, try_cast(case when l_partkey % 9 = 0 then 'abc'
+       when l_partkey % 10 = 0 then '' else cast(l_quantity as varchar) end as double) as qty,
+       try_cast(case when l_partkey % 7 = 0 then '1x' else cast(l_linenumber as varchar) end as integer)::double as line
+       from lineitem""",
+)
 def p6(spark, d):
+    k = F.col("l_partkey")
+    text = F.when(k % 9 == 0, "abc").when(k % 10 == 0, "").otherwise(F.col("l_quantity").cast("string"))
+    line = F.when(k % 7 == 0, "1x").otherwise(F.col("l_linenumber").cast("string"))
+    raw = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", text.alias("qty"), line.alias("line")
+    )
+    return C.cast_tolerant(raw, {"qty": "double", "line": "int"}).withColumn("line", F.col("line").cast("double"))
+
+
+@query("p6_cast_tolerant_readings", _TYPED_SQL)
+def p6b(spark, d):
     return P.keep_columns(typed_weather(spark, d), ["STATION", "READING", "NAME", *_PARTS])
 
 

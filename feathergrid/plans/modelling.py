@@ -39,12 +39,12 @@ def delays(spark, d):
 
 def parts(spark, d):
     """Past years to train, the last year held out."""
-    return prep.holdout_by_time(spread(delays(spark, d)), F.col("yr"), 2001)
+    return prep.holdout_by_time(spread(delays(spark, d), "l_orderkey").cache(), F.col("yr"), 2001)
 
 
 @query("m11_timeseries_cv")
 def m11(spark, d):
-    train = spread(delays(spark, d).where("fold <= 2"))
+    train = spread(delays(spark, d).where("fold <= 2"), "l_orderkey").cache()
     _, table_ = M.timeseries_cv(train, "logistic", "label", "fold", 2, CAT, NUM, {"regParam": [0.01, 0.1]})
     return table_
 
@@ -108,7 +108,7 @@ def m17(spark, d):
     li = table(spark, d, "lineitem")
     y = F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.03), 1).otherwise(0)
     names = ["l_quantity", "l_discount", "l_tax"]
-    z = zscore(spread(li.select(*names, y.alias("y"))), names).cache()
+    z = zscore(spread(li.select("l_orderkey", *names, y.alias("y")), "l_orderkey"), names).cache()
     _, losses = M.logistic_gd(z, "y", names, _GD_STEPS)
     rows = [(i, round(v, 8)) for i, v in enumerate(losses, 1)]
     return spark.createDataFrame(rows, "step int, loss double")
@@ -158,7 +158,7 @@ def m26(spark, d):
 
 @query("m27_tfidf_nb")
 def m27(spark, d):
-    docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id").cache()
     split = prep.stratified_split(docs, "lang", ["doc_id"], 42, {"train": 0.8, "test": 0.2})
     out = M.tfidf_nb(split.where("data_type = 'train'"), split.where("data_type = 'test'"), "text", "lang")
     return E.label_metrics(out, "y", "prediction")
@@ -182,7 +182,7 @@ def squared(spark, d):
     f = VectorAssembler(inputCols=NUM, outputCol="features", handleInvalid="skip").transform(
         delays(spark, d).na.fill(0.0, subset=["weather_delay"])
     )
-    return prep.holdout_by_time(spread(f), F.col("yr"), 2001)
+    return prep.holdout_by_time(spread(f, "l_orderkey").cache(), F.col("yr"), 2001)
 
 
 @query("m29_linear_models_as_classifier")
@@ -228,8 +228,7 @@ def m33(spark, d):
 )
 def m34a(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    month = F.date_trunc("month", F.col("o_orderdate").cast("timestamp"))
-    sliced = M.temporal_slices(o, ["o_orderdate", "o_orderkey"], month, 10_000)
+    sliced = M.temporal_slices(o, ["o_orderdate", "o_orderkey"], 10_000)
     return sliced.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
@@ -238,7 +237,7 @@ def m34b(spark, d):
     f = delays(spark, d)
     size = -(-f.count() // 8)
     order = ["dep_t", "l_orderkey", "l_linenumber", "l_extendedprice"]
-    sliced = M.temporal_slices(f, order, F.trunc(F.col("fl_date").cast("date"), "month"), size).cache()
+    sliced = M.temporal_slices(f, order, size).cache()
     moving = M.temporal_grid_eval(sliced, "label", "logistic", NUM, 2, 1, 2)
     growing = M.temporal_grid_eval(sliced, "label", "logistic", NUM, 2, 1, 2, growing=True)
     return moving.withColumn("kind", F.lit("moving")).unionByName(growing.withColumn("kind", F.lit("growing")))

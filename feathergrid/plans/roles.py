@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feathergrid.functions.timefns import epoch_seconds
-from feathergrid.session import table
+from feathergrid.session import spread, table
 
 # --- flights: lineitem with a time of day -----------------------------------------------------
 FLIGHTS_SQL = """
@@ -70,7 +70,7 @@ WEATHER_SQL = "select l_shipdate, " + ", ".join(f"{e} as {n}" for n, e in _WEATH
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return li.selectExpr("l_shipdate", *[f"{e} as {n}" for n, e in _WEATHER.items()])
+    return spread(li, "l_orderkey").selectExpr("l_shipdate", *[f"{e} as {n}" for n, e in _WEATHER.items()])
 
 
 # --- places: coordinates from keys --------------------------------------------------------------

@@ -12,7 +12,7 @@ from feathergrid.functions import timefns as TF
 from feathergrid.operators import aggs as A
 from feathergrid.plans import cleaning, roles
 from feathergrid.plans.registry import query
-from feathergrid.session import table
+from feathergrid.session import spread, table
 
 
 @query("f1_concat_columns", "select s_suppkey, s_name || ' ' || cast(s_nationkey as varchar) as tag from supplier")
@@ -71,7 +71,8 @@ def f5(spark, d):
         'amp', ' ', 'g'), '\s+', ' ', 'g')) as text from documents""",
 )
 def f6(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.text_normalize(F.col("text")).alias("text"))
+    docs = spread(table(spark, d, "documents"), "doc_id")
+    return docs.select("doc_id", X.text_normalize(F.col("text")).alias("text"))
 
 
 # terms of the given texts, so that the replacement has work to do; all are single words
@@ -88,7 +89,8 @@ _WORDS = {"the": "this one", "and": "plus", "der": "dieser", "que": "what", "of"
     + " else w end), 'string_agg', '') as text from documents",
 )
 def f7(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.dictionary_replace(F.col("text"), _WORDS).alias("text"))
+    docs = spread(table(spark, d, "documents"), "doc_id")
+    return docs.select("doc_id", X.dictionary_replace(F.col("text"), _WORDS).alias("text"))
 
 
 @query(

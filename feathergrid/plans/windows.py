@@ -128,8 +128,7 @@ def w4(spark, d):
 )
 def w5(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    month = F.date_trunc("month", F.col("o_orderdate").cast("timestamp"))
-    return R.dense_row_id(o, ["o_orderdate", "o_orderkey"], month).drop("o_orderdate")
+    return R.dense_row_id(o, ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
 @query(
@@ -389,6 +388,19 @@ def w21(spark, d):
     return R.cap_per_group(e, ["event_type"], ["ts", "event_id"], 500).drop("ts")
 
 
+@query(
+    "w21_cap_per_group_blocked",
+    """select l_returnflag, l_orderkey, l_linenumber, l_partkey, l_extendedprice from lineitem
+       qualify row_number() over (partition by l_returnflag order by l_shipdate, l_orderkey, l_linenumber, l_partkey,
+       l_suppkey, l_extendedprice) <= 5000""",
+)
+def w21b(spark, d):
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    li = table(spark, d, "lineitem").select("l_returnflag", *order)
+    out = R.cap_per_group(li, ["l_returnflag"], order, 5000, block=F.col("l_shipdate").cast("date"))
+    return out.drop("l_shipdate", "l_suppkey")
+
+
 @query(
     "w22_durbin_watson",
     f"""select series, round(sum(pow(e - p, 2)) / sum(e * e), 6) as dw from (select series, e, lag(e) over

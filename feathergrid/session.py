@@ -1,4 +1,4 @@
-"""Session settings, the shared checkpoint folder and size-checked broadcasts."""
+"""Session settings, the shared checkpoint folder and table access."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is only broadcast by hint when its measured row count stays below this.
-BROADCAST_ROWS = 200_000
-
 
 def get_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own session."""
@@ -56,19 +51,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting at most ``limit + 1`` rows; else leave it to AQE."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Cache the input of an iterative fit, over at least as many partitions as there are cores.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan for heavy work per row, over at least as many partitions as there are cores.
 
-    Meant for a scan without shuffles.  A big table already has enough splits
-    and is not moved.
+    A big table already has enough splits and is not moved; only a file too
+    small to be split is dealt out by ``key``.  Meant for a scan without shuffles.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return (df.repartition(cores) if df.rdd.getNumPartitions() < cores else df).cache()
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -62,9 +62,8 @@ def test_weather_thresholds_and_quality(spark):
         ("E, US", "100,1,N,0010,1", "01000,1,M,N", "010000,1,N,5", "+9999,9", "+0090,1", "10132,1"),
     ]
     df = spark.createDataFrame(packed, "NAME string, WND string, CIG string, VIS string, TMP string, DEW string, SLP string")
-    parts = C.unpack_composite(df)
-    names = [n for n in parts.columns if n in C.MISSING_READING or n.endswith("quality_code")]
-    typed = C.cast_tolerant(parts.withColumns({n: F.regexp_replace(n, r"\+", "") for n in names}), {n: "double" for n in names})
+    names = [n for group in C.PACKED_LAYOUT.values() for n in group if n in C.MISSING_READING or n.endswith("quality_code")]
+    typed = C.unpack_composite(df, types={n: "double" for n in names})
     kept = C.quality_filter(typed)
     assert values(kept, "NAME") == ["A, US", ""]
     flag = C.bad_weather_flag(

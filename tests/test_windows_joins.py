@@ -176,3 +176,24 @@ def test_sort_within_entity_order(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("k"), (F.col("id") * 37 % 1000).alias("d"))
     rows = [(r["k"], r["d"]) for r in R.sort_within_entity(df, ["k"], ["d"]).collect()]
     assert rows == sorted(rows)
+
+
+def test_dense_row_id_with_one_hot_value(spark):
+    df = spark.range(2000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(7).alias("day"), "id")
+    got = R.dense_row_id(df, ["day", "id"], parts=6)
+    assert got.where(F.col("day") == 7).select(F.spark_partition_id()).count() > 1300
+    want = F.row_number().over(W.partitionBy(F.lit(1)).orderBy("day", "id"))
+    assert got.withColumn("want", want).where("row_id <> want").count() == 0
+    assert got.count() == 2000
+
+
+def test_cap_with_blocks_equals_cap_without(flights):
+    a = R.cap_per_group(flights, ["key"], ["t", "id"], 37)
+    b = R.cap_per_group(flights, ["key"], ["t", "id"], 37, block=F.floor(F.col("t") / RO.DAY))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_null_and_text_keys_keep_every_row(spark):
+    df = spark.createDataFrame([(None, 10, 1), (None, 20, 1), ("a", 10, 0)], "key string, t long, flag int")
+    out = O.numbered(df.withColumn("b", F.lit(0)), ["key"], ["t"], "b")
+    assert sorted(r["row_number"] for r in out.collect()) == [1, 1, 2]
