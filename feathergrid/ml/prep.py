@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feathergrid.functions.columns import map_literal
-from feathergrid.operators.ordered import exact_percentiles, numbered
+from feathergrid.operators.ordered import exact_percentiles, join_groups, numbered
 from feathergrid.operators.rows import seeded_hash
 
 # Hash prefixes cut a group into 4096 blocks when rows are numbered in hash order.
@@ -70,7 +70,7 @@ def stratified_split(
     hashed = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_block", F.substring("_h", 1, _PREFIX))
     ranked = numbered(hashed, [label], ["_h", *key], "_block", "_rn")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    joined = ranked.join(sizes, label)
+    joined = join_groups(ranked, sizes, [label])
     position = (F.col("_rn") - 1) / F.col("_n")
     names = list(shares)
     split, upto = F, 0.0

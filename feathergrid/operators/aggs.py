@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feathergrid.operators.ordered import exact_percentiles, value_counts_running
+from feathergrid.operators.ordered import exact_percentiles, join_groups, value_counts_running
 
 # the quantiles a column summary reports
 SUMMARY_QUANTILES = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
@@ -84,7 +84,7 @@ def group_moments(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
         F.min(col).alias("min"),
         F.max(col).alias("max"),
     )
-    return moments.join(exact_percentiles(df, keys, col, {"median": 0.5}), list(keys))
+    return join_groups(moments, exact_percentiles(df, keys, col, {"median": 0.5}), keys, "left")
 
 
 def corr_pairs(df: DataFrame, cols: Sequence[str], fill: float | None = 0.0) -> DataFrame:

@@ -17,6 +17,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group keys where null is a group like any other, as in ``groupBy`` and windows.
+
+    Returns the columns of ``left`` and, unless ``how`` is a semi join, the rest of ``right``.
+    """
+    condition = F.lit(True)
+    for c in keys:
+        condition = condition & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    joined = left.alias("l").join(right.alias("r"), condition, how)
+    if how == "left_semi":
+        return joined
+    return joined.select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in keys])
+
+
 def cut_points(df: DataFrame, col: str, parts: int = 256) -> list[float]:
     """At most ``parts - 1`` approximate quantiles: they balance blocks, never change results."""
     probs = [i / parts for i in range(1, parts)]
@@ -60,12 +74,7 @@ def running_totals(
     )
     local = W.partitionBy(*keys, block).orderBy(*order)
     local = local.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*keys, block)]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    joined = work.alias("r").join(offsets.alias("o"), condition, "inner")
-    joined = joined.select("r.*", *[f"o._o_{n}" for n in measures])
+    joined = join_groups(work, offsets, [*keys, block])
     out = [
         (F.col(f"_o_{n}") + F.coalesce(F.sum(f"_m_{n}").over(local), F.lit(0))).alias(n) for n in measures
     ]
@@ -109,7 +118,7 @@ def exact_percentiles(
     running = value_counts_running(df, keys, col, parts)
     size = running.groupBy(*keys).agg(F.max("upto").alias("_total"))
     if keys:
-        joined = running.join(size, list(keys))
+        joined = join_groups(running, size, keys)
     else:
         joined = running.withColumn("_total", size.select("_total").scalar())
     below = F.col("upto") - F.col("n")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from feathergrid.operators.ordered import join_groups
 from feathergrid.operators.series import along
 
 
@@ -227,7 +228,7 @@ def bootstrap_ci(
 def demean(df: DataFrame, entity: str, cols: Sequence[str]) -> DataFrame:
     """Columns minus their entity mean; means are an aggregate joined back, not a window over the entity."""
     means = df.groupBy(entity).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
-    joined = df.join(means, entity)
+    joined = join_groups(df, means, [entity])
     return joined.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in cols}).drop(*[f"_m_{c}" for c in cols])
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from feathergrid.operators.ordered import join_groups
+
 DAY = 86_400
 HOUR = 3_600
 
@@ -89,7 +91,7 @@ def with_rolling(
 ) -> DataFrame:
     """``df`` with its rolling sums; the join key (keys, second) spreads a hot key."""
     sums = rolling_sums(df, keys, seconds, measures, frames, block_seconds)
-    return df.join(sums, [*keys, seconds], "left")
+    return join_groups(df, sums, [*keys, seconds], "left")
 
 
 def rolling_mean_of_flag(df: DataFrame, keys: Sequence[str], seconds: str, flag: Column, span: int, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from feathergrid.operators.ordered import join_groups
 from feathergrid.session import cut_lineage
 
 # fixed value: airports up to this rank are hubs
@@ -61,7 +62,7 @@ def count_distinct_by(df: DataFrame, keys: Sequence[str], columns: Mapping[str,
     out = None
     for name, col in columns.items():
         one = df.select(*keys, col).distinct().groupBy(*keys).agg(F.count(col).alias(name))
-        out = one if out is None else out.join(one, list(keys))
+        out = one if out is None else join_groups(out, one, keys)
     return out
 
 
@@ -131,7 +132,7 @@ def cap_per_group(
         sizes = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
         before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
         early = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < n)
-        rows = rows.join(early.select(*keys, "_block"), [*keys, "_block"], "left_semi").drop("_block")
+        rows = join_groups(rows, early.select(*keys, "_block"), [*keys, "_block"], "left_semi").drop("_block")
     w = W.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
