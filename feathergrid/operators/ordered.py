@@ -31,18 +31,20 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return joined.select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in keys])
 
 
-def cut_points(df: DataFrame, col: str, parts: int = 256) -> list[float]:
-    """At most ``parts - 1`` approximate quantiles: they balance blocks, never change results."""
+def cut_points(df: DataFrame, col: str, parts: int | None = None) -> list[float]:
+    """Approximate quantiles that cut a column into as many ranges as there are shuffle partitions.
+
+    They balance the blocks and never change results.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     probs = [i / parts for i in range(1, parts)]
-    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 10_000).alias("q")).first()
+    if not probs:
+        return []
+    quantiles = F.percentile_approx(F.col(col).cast("double"), probs, max(1000, 4 * parts))
+    row = df.agg(quantiles.alias("q")).first()
     return sorted({float(v) for v in (row["q"] or [])})
 
 
-def with_value_block(df: DataFrame, col: str, parts: int = 256, name: str = "_block") -> DataFrame:
-    """Number the value ranges of ``col`` so that each holds about the same share of rows."""
-    return _cut(df, col, cut_points(df, col, parts), name)
-
-
 def _cut(df: DataFrame, col: str, cuts: Sequence[float], name: str) -> DataFrame:
     if not cuts:
         return df.withColumn(name, F.lit(0.0))
@@ -89,7 +91,7 @@ def numbered(
 
 
 def value_counts_running(
-    df: DataFrame, keys: Sequence[str], col: str, parts: int = 256, measures: Mapping[str, Column] | None = None
+    df: DataFrame, keys: Sequence[str], col: str, parts: int | None = None, measures: Mapping[str, Column] | None = None
 ) -> DataFrame:
     """One row per (keys, value): its count ``n``, and ``upto`` = rows with a value <= it.
 
@@ -108,7 +110,7 @@ def value_counts_running(
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], col: str, probs: Mapping[str, float], parts: int = 256
+    df: DataFrame, keys: Sequence[str], col: str, probs: Mapping[str, float], parts: int | None = None
 ) -> DataFrame:
     """Linear-interpolated percentiles per key from running value counts.
 
@@ -116,7 +118,7 @@ def exact_percentiles(
     reads the two neighbouring order statistics out of distributed counts.
     """
     running = value_counts_running(df, keys, col, parts)
-    size = running.groupBy(*keys).agg(F.max("upto").alias("_total"))
+    size = df.groupBy(*keys).agg(F.count(col).alias("_total"))
     if keys:
         joined = join_groups(running, size, keys)
     else:

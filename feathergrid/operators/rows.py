@@ -57,8 +57,15 @@ def dedup_keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns])
 
 
-def count_distinct_by(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
-    """Exact distinct counts: values are made distinct per (key, value) first, which spreads a hot key."""
+def count_distinct_by(
+    df: DataFrame, keys: Sequence[str], columns: Mapping[str, str], error: float | None = None
+) -> DataFrame:
+    """Exact distinct counts: values are made distinct per (key, value) first, which spreads a hot key.
+
+    With ``error`` given, sketches of that relative error in one pass instead.
+    """
+    if error is not None:
+        return df.groupBy(*keys).agg(*[F.approx_count_distinct(c, error).alias(n) for n, c in columns.items()])
     out = None
     for name, col in columns.items():
         one = df.select(*keys, col).distinct().groupBy(*keys).agg(F.count(col).alias(name))

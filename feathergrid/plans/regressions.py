@@ -224,10 +224,18 @@ def d12(spark, d):
     return known.select("model", F.round("sse", 6).alias("sse"), F.round("aic", 6).alias("aic"))
 
 
-@query("d12_seasonal_regression")
+@query(
+    "d12_seasonal_regression",
+    f"""with s as materialized (select y, t, month(month) as m from {_T}), g as (select m, avg(y) as my, avg(t) as mt from s group by 1),
+        b as (select sum((t - mt) * y) / sum((t - mt) * (t - mt)) as b from s join g using (m)),
+        c as (select m, my - b * mt as level from g, b)
+        select 't' as term, round(b, 6) as estimate from b union all
+        select '(intercept)', round(level, 6) from c where m = 1 union all
+        select 'm' || m, round(level - (select level from c where m = 1), 6) from c where m > 1""",
+)
 def d12b(spark, d):
     fits, _ = D.trend_season_regression(monthly(spark, d), ["one"], "month", "y")
-    return _rounded(fits["seasonal"].table(spark), 6)
+    return _rounded(fits["seasonal"].table(spark), 6).select("term", "estimate")
 
 
 _FC = f"""with s as materialized (select * from {_T}), f as (select regr_slope(y, t) as b, regr_intercept(y, t) as a, count(*) as n,

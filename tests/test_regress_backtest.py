@@ -149,3 +149,13 @@ def test_csv_in_latin1_and_whitespace_text(spark, tmp_path):
     types = {"year": "int", "month": "int", "day": "int", "decimal": "double", "ppm": "double"}
     rows = readers.scan_whitespace_text(spark, str(tmp_path / "co2.txt"), list(types), types, -999.99).collect()
     assert [(str(r["date"]), r["ppm"]) for r in rows] == [("1974-05-19", 333.37), ("1974-05-26", None)]
+
+
+def test_approximate_distinct_counts_are_close(spark):
+    from feathergrid.operators.rows import count_distinct_by
+
+    df = spark.range(20_000).select((F.col("id") % 2).alias("k"), (F.col("id") % 3000).alias("v"))
+    exact = {r["k"]: r["n"] for r in count_distinct_by(df, ["k"], {"n": "v"}).collect()}
+    close = {r["k"]: r["n"] for r in count_distinct_by(df, ["k"], {"n": "v"}, error=0.02).collect()}
+    assert exact == {0: 1500, 1: 1500}
+    assert all(abs(close[k] - exact[k]) < 150 for k in exact)
