@@ -40,14 +40,19 @@ def binary_confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def label_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """Precision, recall, F and support per label; a label never predicted has precision 0."""
     counts = confusion_counts(df, label, prediction)
-    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
-    actual = counts.groupBy("label").agg(F.sum("n").alias("support"), F.sum(hit).alias("_hit"))
-    predicted = counts.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("_said"))
-    joined = actual.join(predicted, "label", "left")
+    kind, n, none = counts.schema["label"].dataType, F.col("n"), F.lit(0).cast("long")
+    hit = F.when(F.col("label") == F.col("prediction"), n).otherwise(none)
+    # each count is seen once as actual and once as predicted, so the rows are scored once
+    actual = F.struct(F.col("label"), n.alias("support"), hit.alias("_hit"), none.alias("_said"))
+    said = F.struct(
+        F.col("prediction").cast(kind).alias("label"), none.alias("support"), none.alias("_hit"), n.alias("_said")
+    )
+    both = counts.select(F.inline(F.array(actual, said))).groupBy("label")
+    sums = both.agg(*[F.sum(c).alias(c) for c in ("support", "_hit", "_said")]).where(F.col("support") > 0)
     zero = F.lit(0.0)
     precision = F.coalesce(F.try_divide("_hit", "_said"), zero)
     recall = F.coalesce(F.try_divide("_hit", "support"), zero)
-    scored = joined.select("label", "support", precision.alias("precision"), recall.alias("recall"))
+    scored = sums.select("label", "support", precision.alias("precision"), recall.alias("recall"))
     f = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
     return scored.withColumn("f", F.coalesce(f, zero))
 

@@ -11,8 +11,10 @@ from feathergrid.plans.registry import query
 from feathergrid.session import table
 
 # a calm price, so that a year of daily changes stays readable
-PX_SQL = f"select tic, datadate, 100 + 50 * ratio as price from ({roles.PRICES_SQL})"
-BX_SQL = f"select datadate, avg(price) as price from ({PX_SQL}) group by 1"
+PX_SQL = f"select tic, datadate, round(100 + 50 * ratio, 6) as price from ({roles.PRICES_SQL})"
+# the mean goes through a decimal sum, so that comparing returns does not depend on the order of rows
+BX_SQL = f"""select datadate, cast(sum(cast(price as decimal(18, 6))) as double) / count(*) as price
+    from ({PX_SQL}) group by 1"""
 SCORE_SQL = """select date_trunc('month', l_shipdate)::date as month, l_suppkey as ticker,
     max(l_discount) * 9 + count(*) % 10 * 0.01 + l_suppkey % 7 * 0.0001 as probability from lineitem group by 1, 2"""
 CTES = f"""
@@ -37,11 +39,12 @@ bench as materialized (select *, exp(sum(ln(1 + coalesce(average, 0))) over (par
 
 
 def px(spark, d):
-    return roles.prices(spark, d).select("tic", "datadate", (100 + 50 * F.col("ratio")).alias("price"))
+    return roles.prices(spark, d).select("tic", "datadate", F.round(100 + 50 * F.col("ratio"), 6).alias("price"))
 
 
 def bx(spark, d):
-    return px(spark, d).groupBy("datadate").agg(F.avg("price").alias("price"))
+    mean = F.sum(F.col("price").cast("decimal(18,6)")).cast("double") / F.count(F.lit(1))
+    return px(spark, d).groupBy("datadate").agg(mean.alias("price"))
 
 
 def scores(spark, d):
