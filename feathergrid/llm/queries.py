@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact_dedup
+from . import exact_dedup, lang_id
+from .common import crc32_mod
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -25,3 +27,11 @@ __all__ = ["ORACLES", "QUERIES"]
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = exact_dedup.DigestIndex(spark).add(table(spark, sf_dir, "documents"))
     return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").withColumn("fold", crc32_mod("doc_id", 3))
+    model = lang_id.fit(documents.where("fold <> 1"))
+    rows = documents.select("doc_id", (F.coalesce(F.col("fold") == 1, F.lit(False))).alias("held_out"), "text")
+    return lang_id.predict(rows, model).drop("text")
