@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact_dedup, lang_id
+from . import exact_dedup, lang_id, packing
 from .common import crc32_mod
 from .registry import ORACLES, QUERIES, query
 
@@ -35,3 +36,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = lang_id.fit(documents.where("fold <> 1"))
     rows = documents.select("doc_id", (F.coalesce(F.col("fold") == 1, F.lit(False))).alias("held_out"), "text")
     return lang_id.predict(rows, model).drop("text")
+
+
+@query("op4_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
