@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,19 +71,42 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
 
 
 class WordHash(dict):
-    """Word -> 64-bit hash, kept for words already met; emptied when it gets large."""
+    """UTF-8 word -> 64-bit hash, kept for words already met; emptied when it gets large."""
 
-    def __init__(self, size: int = 500_000):
+    def __init__(self, size: int = 400_000):
         super().__init__()
         self.size = size
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.size:
             self.clear()
-        value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        self[word] = value
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words `[^\\x20\\x09-\\x0D]+` of a text as UTF-8: `bytes.split` cuts at exactly these characters."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
+def bounded_sample(rows: DataFrame, key: str, label: str, most: int) -> DataFrame:
+    """About ``most`` rows of each label: those with the smallest hash of the key; null keys and labels never.
+
+    Ranking moves only label and hash, at most ``most`` per label and task.
+    The column ``h`` orders the sample.  Few labels are expected: one test each.
+    """
+    hashed = rows.where(f"`{key}` IS NOT NULL AND `{label}` IS NOT NULL").withColumn("h", F.xxhash64(key))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    ranked = hashed.select(F.col(label).alias("label"), "h").withColumn("k", rank).where(F.col("k") <= most)
+    bounds = ranked.groupBy("label").agg(F.max("h").alias("top"), F.count("*").alias("n")).collect()
+    test = F.lit(False)
+    for b in bounds:
+        test |= (F.col(label) == F.lit(b["label"])) & (F.col("h") <= b["top"])
+    return hashed.where(test).limit(2 * sum(b["n"] for b in bounds))
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: nearby inputs become unrelated outputs."""

@@ -16,10 +16,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, own_names
+from .common import arrow_map, bounded_sample, own_names
 
 #: Texts per language that training reads, and how many of them serve as landmarks.
 SAMPLE_PER_LANG = 150
@@ -173,18 +172,8 @@ def fit(labelled: DataFrame) -> LangModel:
     The rows are those with the smallest hash of their ``doc_id``; rows with a
     null id, text or language are no examples.
     """
-    hashed = own_names(labelled, "doc_id", "text", "lang").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    hashed = hashed.withColumn("h", F.xxhash64("doc_id"))
-    from pyspark.sql import Window
-
-    ranked = hashed.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    bounds = ranked.where(F.col("k") <= SAMPLE_PER_LANG).groupBy("lang").agg(F.max("h").alias("top"), F.count("*").alias("n")).collect()
-    if not bounds:
-        return fit_texts([], [])
-    test = F.lit(False)
-    for row in bounds:
-        test |= (F.col("lang") == row["lang"]) & (F.col("h") <= row["top"])
-    sample = hashed.where(test).limit(2 * sum(r["n"] for r in bounds)).select("h", "lang", "text").collect()
+    rows = own_names(labelled, "doc_id", "text", "lang").where("text IS NOT NULL")
+    sample = bounded_sample(rows, "doc_id", "lang", SAMPLE_PER_LANG).select("h", "lang", "text").collect()
     sample.sort(key=lambda r: (r["h"], r["lang"], r["text"]))
     return fit_texts([r["text"] for r in sample], [r["lang"] for r in sample])
 

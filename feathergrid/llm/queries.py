@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact_dedup, lang_id, packing
+from . import exact_dedup, lang_id, packing, toxicity
 from .common import crc32_mod
 from .registry import ORACLES, QUERIES, query
 
@@ -41,3 +41,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc32_mod("doc_id", 5)
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents.where(fold != 0), table(spark, sf_dir, "labels").where(fold != 0))
+    rows = documents.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")
+    return toxicity.score(rows, model).drop("text")
