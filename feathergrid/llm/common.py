@@ -48,12 +48,15 @@ def crc32_mod(column: str, k: int) -> Column:
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: T.StructType, keep: bool = False) -> DataFrame:
     """Apply ``make()(batch) -> {name: values}`` to Arrow batches; ``make`` runs once per task.
 
-    With ``keep`` the input columns go along unchanged before the new ones.
+    With ``keep`` the input columns go along unchanged before the new ones; an
+    input column with the name of a new one gives way to it.
     Arrow keeps null and 64-bit keys exact, which pandas would turn into floats.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    full = T.StructType([*df.schema.fields, *schema.fields]) if keep else schema
+    new_names = {f.name.lower() for f in schema}
+    stay = [i for i, f in enumerate(df.schema.fields) if keep and f.name.lower() not in new_names]
+    full = T.StructType([*(df.schema.fields[i] for i in stay), *schema.fields])
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,9 +66,8 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
                 continue
             found = work(batch)
             new = [pa.array(found[f.name], type=f.type) for f in target]
-            old = list(batch.columns) if keep else []
-            names = ([n for n in batch.schema.names] if keep else []) + target.names
-            yield pa.RecordBatch.from_arrays(old + new, names=names)
+            old = [batch.column(i) for i in stay]
+            yield pa.RecordBatch.from_arrays(old + new, names=[batch.schema.names[i] for i in stay] + target.names)
 
     return df.mapInArrow(run, full)
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact_dedup, lang_id, packing, toxicity
+from . import exact_dedup, lang_id, near_dedup, packing, toxicity
 from .common import crc32_mod
 from .registry import ORACLES, QUERIES, query
 
@@ -50,3 +50,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(documents.where(fold != 0), table(spark, sf_dir, "labels").where(fold != 0))
     rows = documents.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")
     return toxicity.score(rows, model).drop("text")
+
+
+@query("op6_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
