@@ -73,8 +73,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
-def recompress(hashes: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-    """``(name, start, left, right)`` of the symbols after the rounds: first word, and the words ``[left, right)`` each depends on."""
+def recompress(hashes: np.ndarray, fence: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
+    """``(name, start, left, right)`` of the symbols after the rounds: first word, and the words ``[left, right)`` each depends on.
+
+    ``fence`` marks places between documents; a fence joins nothing.
+    """
     name = hashes.copy()
     start = np.arange(len(hashes))
     left, right = start.copy(), start + 1
@@ -88,19 +91,19 @@ def recompress(hashes: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ..
         tail = head + count - 1
         left, right = _with_neighbours(left[head], right[tail], head, tail, left, right)
         name = np.where(count > 1, mix(name[head] + np.uint64(2 * level + 1) * mix(count.astype(np.uint64))), name[head])
-        start = start[head]
+        start, fence = start[head], fence[head]
         if len(name) < 2:
             break
         # Pairs: a symbol of the left part followed by one of the right part.
         is_left = (mix(name + np.uint64(1000 + level)) & np.uint64(1)).astype(bool)
-        joins = is_left[:-1] & ~is_left[1:]
+        joins = is_left[:-1] & ~is_left[1:] & ~fence[:-1] & ~fence[1:]
         head = np.flatnonzero(np.concatenate([[True], ~joins]))  # a symbol that closes a pair begins nothing
         paired = np.concatenate([joins, [False]])[head]
         tail = head + paired
         # A pair hangs on its parts alone; a single left symbol also on its successor, a single right one on its predecessor.
         left, right = _with_neighbours(left[head], right[tail], head, tail, left, right, ~paired & ~is_left[head], ~paired & is_left[head])
         name = np.where(paired, mix(name[head] * np.uint64(3) + mix(name[tail]) + np.uint64(2 * level + 2)), name[head])
-        start = start[head]
+        start, fence = start[head], fence[head]
     return name, start, left, right
 
 
@@ -116,20 +119,30 @@ def _with_neighbours(low, high, head, tail, left, right, before=True, after=True
     return low, high
 
 
-def ranges(hashes: np.ndarray, window: int = WINDOW, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(first, last, anchor)``: runs of window starts with the same anchor word, in order; anchor -1 for none."""
+def ranges(hashes: np.ndarray, fence: np.ndarray, window: int = WINDOW, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(first, last, anchor)``: runs of window starts with the same anchor word, in order; anchor -1 for none.
+
+    Windows lie within documents, between fences.  What hangs on a fence or an
+    end is no anchor for them, as it would have to lie in the window.
+    """
     n = len(hashes) - window + 1
-    name, start, left, right = recompress(hashes)
+    if n < 1:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none
+    name, start, left, right = recompress(hashes, fence)
     fit = (start - left <= reach) & (right - start <= reach)
     rank = np.full(len(hashes), np.iinfo(np.uint64).max, dtype=np.uint64)
     rank[start[fit]] = mix(name[fit]) >> np.uint64(1)
     width = window - 2 * reach + 1
     best = _sliding_argmin(rank[reach : reach + n + width - 1], width) + reach
     best[rank[best] == np.iinfo(np.uint64).max] = -1
-    new = np.concatenate([[True], (best[1:] != best[:-1]) | (best[1:] < 0)])
+    fences = np.concatenate([[0], np.cumsum(fence)])
+    inside = fences[window:] == fences[:-window]
+    new = np.concatenate([[True], (best[1:] != best[:-1]) | (best[1:] < 0) | (inside[1:] != inside[:-1])])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [n]]) - 1
-    return first, last, best[first]
+    use = inside[first]
+    return first[use], last[use], best[first[use]]
 
 
 def _sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -151,17 +164,40 @@ def _digest(words: list[bytes]) -> str:
 _RANGE = pa.struct([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
 
-def _ranges_of(hashes: np.ndarray, window: int) -> pa.Array:
-    """The ranges of one document with their keys and names."""
-    if len(hashes) < window:
-        return pa.array([], _RANGE)
-    first, last, anchor = ranges(hashes, window)
+def _ranges_of(docs: list[np.ndarray], window: int) -> pa.Array:
+    """A list per document of its ranges with their keys and names; the documents are worked on together."""
+    lengths = np.array([len(d) for d in docs])
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    hashes = np.zeros(int((lengths + 1).sum()), dtype=np.uint64)
+    fence = np.zeros(len(hashes), dtype=bool)
+    fence[starts + lengths] = True
+    hashes[fence] = mix(np.arange(len(docs), dtype=np.uint64) + np.uint64(1 << 62))  # fences differ, so they form no run
+    for d, a in zip(docs, starts):
+        hashes[a : a + len(d)] = d
+    first, last, anchor = ranges(hashes, fence, window)
     rolling = Rolling(hashes)
     a, b = rolling.name(first, last + window)
     middle = anchor >= 0
     low, high = np.where(middle, anchor - REACH, first), np.where(middle, anchor + REACH, first + window)
     key = rolling.name(low, high)[0]
-    return pa.StructArray.from_arrays([pa.array(x.view(np.int64)) for x in (key, a, b, first, last)], fields=list(_RANGE))
+    doc = np.searchsorted(starts, first, side="right") - 1
+    columns = (key, a, b, first - starts[doc], last - starts[doc])
+    found = pa.StructArray.from_arrays([pa.array(x.view(np.int64)) for x in columns], fields=list(_RANGE))
+    offsets = np.searchsorted(doc, np.arange(len(docs) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), found)
+
+
+def _portions(texts: pa.Array, most: int = 64_000) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The words of the texts, in portions of about ``most`` words, with the place of each portion's first text."""
+    held, words = [], 0
+    for i, text in enumerate(texts):
+        held.append(words_of(text.as_py()))
+        words += len(held[-1])
+        if words >= most:
+            yield i + 1 - len(held), held
+            held, words = [], 0
+    if held:
+        yield len(texts) - len(held), held
 
 
 def _surveyed(placed: DataFrame, row: str, window: int) -> DataFrame:
@@ -170,18 +206,12 @@ def _surveyed(placed: DataFrame, row: str, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                counts, digests, found = [], [], []
-                for text in part.column(2):
-                    words = words_of(text.as_py())
-                    counts.append(len(words))
-                    digests.append(_digest(words))
-                    found.append(_ranges_of(known.of(words), window))
-                offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(found))
+            for at, docs in _portions(batch.column(2)):
+                part = batch.slice(at, len(docs))
+                found = _ranges_of([known.of(words) for words in docs], window)
+                counts, digests = pa.array([len(w) for w in docs], pa.int64()), pa.array([_digest(w) for w in docs])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(digests), lists], names=[row, "doc_id", "n", "digest", "ranges"]
+                    [part.column(0), part.column(1), counts, digests, found], names=[row, "doc_id", "n", "digest", "ranges"]
                 )
 
     schema = f"{row} long, doc_id long, n long, digest string, ranges array<struct<key:long,a:long,b:long,first:long,last:long>>"
