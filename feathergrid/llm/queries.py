@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact_dedup, lang_id, near_dedup, packing, substring_dedup, toxicity
+from . import exact_dedup, lang_id, near_dedup, packing, pii, substring_dedup, toxicity
 from .common import crc32_mod
 from .registry import ORACLES, QUERIES, query
 
@@ -60,3 +60,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_substring_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op9_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
