@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import exact_dedup, lang_id, near_dedup, packing, pii, substring_dedup, toxicity
+from . import ann, exact_dedup, lang_id, near_dedup, packing, pii, substring_dedup, toxicity
 from .common import crc32_mod
 from .registry import ORACLES, QUERIES, query
 
@@ -65,3 +65,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_pii")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_nearest_neighbours")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
