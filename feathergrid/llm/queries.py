@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, exact_dedup, html_text, lang_id, near_dedup, packing, pii, substring_dedup, toxicity
+from . import ann, exact_dedup, html_text, lang_id, near_dedup, packing, pii, spm_fst, substring_dedup, toxicity
 from .common import crc32_mod
 from .registry import ORACLES, QUERIES, query
 
@@ -75,3 +75,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_html_text")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op8_sentencepiece")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm_fst.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
