@@ -14,6 +14,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,11 +32,19 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class _Pretokens(dict):
-    """Lowercase pre-token -> its ids as little-endian 32-bit bytes."""
+    """Lowercase pre-token -> its ids as little-endian 32-bit bytes.
+
+    The tokenizer here neither normalises nor splits: a pre-token needs neither.
+    """
+
+    def __init__(self, path: str, size: int):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    def __init__(self, tokenizer, size: int):
         super().__init__()
-        self.tokenizer, self.size = tokenizer, size
+        self.size = size
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.normalizer = normalizers.Sequence([])
+        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def __missing__(self, token: str) -> bytes:
         if len(self) >= self.size:
@@ -49,15 +58,19 @@ class _Chunks(dict):
     """A piece of text between blanks or line ends -> its ids as bytes.
 
     The tokenizer drops white space and no token crosses it, so the ids of a
-    text are those of its chunks in a row.  Plain ASCII chunks are split
-    further into pre-tokens, which are far fewer; other chunks go to the
-    tokenizer whole, so its normaliser decides.
+    text are those of its chunks in a row.  Chunks of plain letters, digits and
+    signs are split further into pre-tokens, which are far fewer; other chunks
+    go to the tokenizer whole, so its normaliser decides.  Both tables start
+    anew when full.
     """
 
-    def __init__(self, tokenizer, size: int = 400_000):
+    def __init__(self, path: str, size: int = 600_000, pretokens: int = 900_000):
+        from tokenizers import Tokenizer
+
         super().__init__()
-        self.tokenizer, self.size = tokenizer, size
-        self.pretokens = _Pretokens(tokenizer, size)
+        self.size = size
+        self.tokenizer = Tokenizer.from_file(path)
+        self.pretokens = _Pretokens(path, pretokens)
         self.find = regex.compile(SPLIT).findall
         self[""] = b""
 
@@ -65,7 +78,9 @@ class _Chunks(dict):
         if len(self) >= self.size:
             self.clear()
             self[""] = b""
-        if _plain(chunk):
+        if chunk.isascii() and chunk.isalpha():
+            value = self.pretokens[chunk.lower()]
+        elif _plain(chunk):
             value = b"".join(map(self.pretokens.__getitem__, self.find(chunk.lower())))
         else:
             value = encode_whole(self.tokenizer, chunk)
@@ -82,8 +97,7 @@ def _plain(chunk: str) -> bool:
 
 
 def encode_whole(tokenizer, text: str) -> bytes:
-    ids = tokenizer.encode(text, add_special_tokens=False).ids
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 _CHUNKS: dict[str, _Chunks] = {}
@@ -92,9 +106,7 @@ _CHUNKS: dict[str, _Chunks] = {}
 def chunk_ids(path: str) -> _Chunks:
     """The chunk table of the tokenizer file; it lives as long as the Python worker."""
     if path not in _CHUNKS:
-        from tokenizers import Tokenizer
-
-        _CHUNKS[path] = _Chunks(Tokenizer.from_file(path))
+        _CHUNKS[path] = _Chunks(path)
     return _CHUNKS[path]
 
 
