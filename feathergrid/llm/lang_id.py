@@ -90,7 +90,7 @@ class Dictionary:
 
 def _pieces(texts: list[np.ndarray]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     rows, parts, length = [], [], 0
-    gap = np.zeros(max(ORDERS) - 1, dtype=np.uint32)  # code 0 is in no n-gram of the dictionary
+    gap = np.full(max(ORDERS) - 1, (1 << 21) - 1, dtype=np.uint32)  # no character, so in no n-gram of the dictionary
     for i, text in enumerate(texts):
         for start in range(0, len(text), _PIECE):
             part = text[start : start + _PIECE + len(gap)]
