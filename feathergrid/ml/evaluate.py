@@ -21,8 +21,10 @@ def confusion_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str, classes: Sequence) -> DataFrame:
-    wide = confusion_counts(df, label, prediction).groupBy("label").pivot("prediction", list(classes)).agg(F.sum("n"))
-    return wide.na.fill(0, subset=[str(c) for c in classes])
+    """A row per label, a column per listed prediction and ``other`` for all else; ``confusion_counts`` has them all."""
+    counts, said, n = confusion_counts(df, label, prediction), F.col("prediction"), F.col("n")
+    listed = [F.coalesce(F.sum(F.when(said == c, n)), F.lit(0)).alias(str(c)) for c in classes]
+    return counts.groupBy("label").agg(*listed, F.sum(F.when(said.isin(list(classes)), 0).otherwise(n)).alias("other"))
 
 
 def binary_confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:

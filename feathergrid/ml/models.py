@@ -17,14 +17,10 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (
-    IDF,
     PCA,
     Binarizer,
-    CountVectorizer,
     Imputer,
     MinMaxScaler,
-    Normalizer,
-    RegexTokenizer,
     StandardScaler,
     StringIndexer,
     VectorAssembler,
@@ -34,12 +30,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feathergrid.functions.columns import sigmoid
 from feathergrid.ml import evaluate as E
 from feathergrid.ml.prep import TimeSeriesCrossValidator
 from feathergrid.operators.rows import dense_row_id
+from feathergrid.session import cut_lineage
 
 SEED = 27
 # fixed values: the published parameter grids
@@ -91,6 +89,11 @@ def random_search(grid: Mapping[str, Sequence], n_iter: int, seed: int = SEED) -
     return random.Random(seed).sample(full, min(n_iter, len(full)))
 
 
+def all_maps(kind: str) -> list[dict]:
+    """Every parameter map of a published grid."""
+    return [dict(zip(GRIDS[kind], values, strict=True)) for values in product(*GRIDS[kind].values())]
+
+
 def fit(train: DataFrame, kind: str, label: str, categoricals: Sequence[str], numerics: Sequence[str], **params) -> Model:
     return Pipeline(stages=[*feature_stages(categoricals, numerics), classifier(kind, label, **params)]).fit(train)
 
@@ -200,17 +203,52 @@ def naive_bayes(train: DataFrame, test: DataFrame, label: str, col: str, kind: s
     return bayes.fit(ready[0]).transform(ready[1])
 
 
-def tfidf_nb(train: DataFrame, test: DataFrame, text: str, label: str) -> DataFrame:
-    """Word counts, inverse document frequency, unit length, multinomial naive Bayes."""
-    stages = [
-        StringIndexer(inputCol=label, outputCol="y", handleInvalid="keep"),
-        RegexTokenizer(inputCol=text, outputCol="words", pattern=r"(?U)\W+", minTokenLength=2),
-        CountVectorizer(inputCol="words", outputCol="counts"),
-        IDF(inputCol="counts", outputCol="weights"),
-        Normalizer(inputCol="weights", outputCol="features"),
-        NaiveBayes(modelType="multinomial", labelCol="y"),
-    ]
-    return Pipeline(stages=stages).fit(train).transform(test)
+#: words are runs of letters, marks, digits and underscores
+BETWEEN_WORDS = r"[^\p{L}\p{M}\p{N}_]+"
+
+
+def _term_counts(df: DataFrame, key: str, text: str, *also: str) -> DataFrame:
+    words = F.filter(F.split(F.lower(F.col(text)), BETWEEN_WORDS), lambda w: F.length(w) >= 2)
+    return df.select(key, *also, F.explode(words).alias("term")).groupBy(key, *also, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def tfidf_nb(train: DataFrame, test: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """Test rows ``(key, label, prediction)``: word counts, inverse document frequency, unit length, multinomial Bayes.
+
+    All words count; their statistics are tables joined on the word, and the
+    driver sees none of them.  ``key`` must tell rows apart.  Words unknown to
+    training are skipped, equal scores go to the smallest label.
+    """
+    train = train.where(F.col(label).isNotNull())
+    known = _term_counts(train, key, text, label)
+    total = train.agg(F.count(F.lit(1)).alias("n")).scalar()
+    idf = known.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    idf = idf.select("term", F.log((total + 1) / (F.col("_df") + 1)).alias("idf"))
+    weighed = known.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    length = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
+    mass = cut_lineage(weighed.join(length, key).groupBy(label, "term").agg(F.sum(F.col("w") / F.col("norm")).alias("mass")))
+    per_term = mass.groupBy("term").agg(F.collect_list(F.struct(F.col(label).alias("c"), F.log1p("mass").alias("l"))).alias("logs"))
+    # one entry per class
+    sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    masses = mass.groupBy(label).agg(F.sum("mass").alias("_m"))
+    vocabulary = idf.agg(F.count(F.lit(1)).alias("v")).scalar()
+    classes = sizes.join(masses, label, "left").select(
+        F.struct(
+            F.col(label).alias("c"),
+            (F.log(F.col("_n") + 1) - F.log(total + sizes.agg(F.count(F.lit(1)).alias("k")).scalar())).alias("prior"),
+            (-F.log(F.coalesce("_m", F.lit(0.0)) + vocabulary)).alias("rest"),
+        ).alias("class")
+    )
+    classes = classes.agg(F.collect_list("class").alias("classes")).scalar()
+    asked = _term_counts(test, key, text).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    sums = asked.groupBy(key).agg(F.sum("w").alias("_s"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    hits = asked.join(per_term, "term").select(key, "w", F.inline("logs")).groupBy(key, "c").agg(F.sum(F.col("w") * F.col("l")).alias("_hit"))
+    each = test.select(key, label, F.inline(classes)).join(sums, key, "left").join(hits, [key, "c"], "left")
+    text_part = F.try_divide(F.coalesce("_hit", F.lit(0.0)) + F.col("rest") * F.col("_s"), F.col("_norm"))
+    scored = each.withColumn("_score", F.col("prior") + F.coalesce(text_part, F.lit(0.0)))
+    best = W.partitionBy(key).orderBy(F.desc("_score"), "c")
+    first = scored.withColumn("_k", F.row_number().over(best)).where("_k = 1")
+    return first.select(key, label, F.col("c").alias("prediction"))
 
 
 # fixed values: penalty and mix of the linear models used as classifiers

@@ -13,7 +13,7 @@ query piece that really needs its cell.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -119,8 +119,10 @@ def knn(
     return best.select(F.col("id").alias(key), "neighbour", "label", "distance", "pick")
 
 
-def knn_classify(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int) -> DataFrame:
-    """Majority vote of the k nearest; equal votes go to the smallest label."""
-    votes = knn(train, test, key, vector, label, k).groupBy(key, "label").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy(key).agg(F.max(F.struct("votes", (-F.col("label")).alias("neg"))).alias("b"))
-    return best.select(key, (-F.col("b.neg")).alias("prediction"))
+def knn_classify(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, ks: Sequence[int]) -> DataFrame:
+    """``(key, k, prediction)``: majority vote of the k nearest for every k, from one search; equal votes go to the smallest label."""
+    near = knn(train, test, key, vector, label, max(ks))
+    each = near.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("pick") <= F.col("k"))
+    votes = each.groupBy(key, "k", "label").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy(key, "k").agg(F.max(F.struct("votes", (-F.col("label")).alias("neg"))).alias("b"))
+    return best.select(key, "k", (-F.col("b.neg")).alias("prediction"))

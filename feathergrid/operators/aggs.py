@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
@@ -32,10 +33,17 @@ def pct_frequency(df: DataFrame, col: str) -> DataFrame:
     return shares.select(col, "n", F.bround(F.col("n") * 100 / F.col("_all"), 2).alias("percentage"))
 
 
+def cell_counts(df: DataFrame, row: str, col: str) -> DataFrame:
+    """The contingency table as ``(row, col, n)``, whatever values there are, null included."""
+    return df.groupBy(row, col).agg(F.count(F.lit(1)).alias("n"))
+
+
 def crosstab(df: DataFrame, row: str, col: str, values: Sequence) -> DataFrame:
-    """Contingency table over the known values of ``col``; a missing cell is 0."""
-    cells = df.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1)))
-    return cells.na.fill(0, subset=[c for c in cells.columns if c != row])
+    """Contingency table with a column per listed value and ``other`` for all else; a missing cell is 0."""
+    cells = cell_counts(df, row, col)
+    listed = [F.coalesce(F.sum(F.when(F.col(col) == v, F.col("n"))), F.lit(0)).alias(str(v)) for v in values]
+    rest = F.when(F.coalesce(F.col(col).isin(list(values)), F.lit(False)), 0).otherwise(F.col("n"))
+    return cells.groupBy(row).agg(*listed, F.sum(rest).alias("other"))
 
 
 def summary_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -114,11 +122,45 @@ def correlation_partners(pairs: DataFrame, strong: float = 0.9, negative: float
 
 
 def corr_test(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson r and its t statistic on n - 2 degrees of freedom."""
+    """Pearson r, its t statistic on n - 2 degrees of freedom, and the two-sided p-value."""
     one = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(
         F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r")
     )
-    return one.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
+    one = one.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
+    p = F.udf(lambda t, n: None if t is None or n is None or n < 3 else student_tails(t, n - 2), "double")  # of one row
+    return one.withColumn("p", p("t", "n"))
+
+
+def student_tails(t: float, df: float) -> float:
+    """Both tails of Student's distribution: the incomplete beta function by its continued fraction."""
+    if math.isnan(t):
+        return math.nan
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x >= (a + 1) / (a + b + 2):
+        return 1.0 - _beta_fraction(1 - x, b, a)
+    return _beta_fraction(x, a, b)
+
+
+def _beta_fraction(x: float, a: float, b: float) -> float:
+    if x <= 0:
+        return 0.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    value, m = d, 1
+    while True:
+        for numerator in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d = 1 + numerator * d
+            c = 1 + numerator / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            value *= d * c
+        if abs(d * c - 1) < 1e-15 or m > 1_000_000:
+            return front * value
+        m += 1
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
@@ -159,9 +201,8 @@ def zscore(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         totals[f"_mean_{c}"] = F.avg(c)
         totals[f"_sd_{c}"] = F.stddev_samp(c)
     wide = with_totals(df, totals)
-    for c in cols:
-        wide = wide.withColumn(c, F.try_divide(F.col(c) - F.col(f"_mean_{c}"), F.col(f"_sd_{c}")))
-    return wide.select(*df.columns)
+    scaled = {c: F.try_divide(F.col(c) - F.col(f"_mean_{c}"), F.col(f"_sd_{c}")) for c in cols}
+    return wide.withColumns(scaled).select(*df.columns)
 
 
 def minmax_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -170,10 +211,8 @@ def minmax_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         totals[f"_lo_{c}"] = F.min(c)
         totals[f"_hi_{c}"] = F.max(c)
     wide = with_totals(df, totals)
-    for c in cols:
-        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-        wide = wide.withColumn(c, F.try_divide(F.col(c) - lo, hi - lo))
-    return wide.select(*df.columns)
+    scaled = {c: F.try_divide(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) for c in cols}
+    return wide.withColumns(scaled).select(*df.columns)
 
 
 def inf_replace(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -185,7 +224,7 @@ def inf_replace(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         totals[f"_lo_{c}"] = F.min(finite)
         totals[f"_hi_{c}"] = F.max(finite)
     wide = with_totals(df, totals)
-    for c in cols:
-        fixed = F.when(F.col(c) == inf, F.col(f"_hi_{c}")).when(F.col(c) == -inf, F.col(f"_lo_{c}"))
-        wide = wide.withColumn(c, F.when(F.abs(c) == inf, fixed).otherwise(F.col(c)))
-    return wide.select(*df.columns)
+    fixed = {
+        c: F.when(F.col(c) == inf, F.col(f"_hi_{c}")).when(F.col(c) == -inf, F.col(f"_lo_{c}")).otherwise(F.col(c)) for c in cols
+    }
+    return wide.withColumns(fixed).select(*df.columns)

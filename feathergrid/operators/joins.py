@@ -62,12 +62,14 @@ def asof_join(
 ) -> DataFrame:
     """Each left row with the latest right row whose lag lies in ``[lo, hi]``, as struct ``match``.
 
-    Right rows are shifted by ``lo``, copied into the one or two time blocks in
+    A null key matches nothing: such left rows stay without a match.  Right rows
+    are shifted by ``lo``, copied into the one or two time blocks in
     which they can still match, and carried forward by a running maximum: one
     shuffle, no pairs, and blocks no wider than the window.  Right rows with the
     same second are resolved by ``right_order``, so a left row matches once.
     """
     width = max(hi - lo, 1)
+    right = right.na.drop(subset=list(keys))
     payload = F.struct(F.col(right_t).alias("t"), F.col(right_order).alias("id"), F.struct("*").alias("row"))
     best = right.select(*keys, payload.alias("_p")).groupBy(*keys, F.col("_p.t").alias("_s"))
     reports = best.agg(F.max_by("_p", "_p.id").alias("_p"))

@@ -122,7 +122,10 @@ def breusch_pagan(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
 
 
 def factor_dummies(df: DataFrame, factor: str, levels: Sequence, prefix: str) -> DataFrame:
-    """0/1 columns for every level but the first."""
+    """0/1 columns for every level but the first; a level that is not listed stops the query."""
+    strange = F.col(factor).isNotNull() & ~F.col(factor).isin(list(levels))
+    told = F.raise_error(F.concat(F.lit(f"{factor}: level not listed: "), F.col(factor).cast("string"))).cast("int")
+    df = df.withColumn(factor, F.when(strange, told).otherwise(F.col(factor)))
     return df.withColumns({f"{prefix}{v}": F.when(F.col(factor) == v, 1).otherwise(0) for v in list(levels)[1:]})
 
 
@@ -193,26 +196,28 @@ def bootstrap_ci(
 ) -> DataFrame:
     """5 % and 95 % quantiles of the fitted probability over resampled refits.
 
-    Rows are first summed per value of ``x``: drawing Poisson(count) per value
-    equals drawing every row with Poisson(1) weight, so a replicate costs one
-    row per distinct value instead of one per trial.
+    Whole rows are resampled, with the trials they hold.  Equal rows are counted
+    first: Poisson(count) copies of a row pattern equal Poisson(1) copies of each
+    of its rows, so a replicate costs one row per distinct pattern.
     """
-    cells = df.groupBy(F.col(x).cast("double").alias("x")).agg(
-        F.sum(successes).cast("double").alias("won"), F.sum(trials).cast("double").alias("n")
-    )
-    _, model = binomial_glm(cells, "won", "n", ["x"])
+    cells = df.groupBy(
+        F.col(x).cast("double").alias("x"), F.col(successes).cast("double").alias("won"), F.col(trials).cast("double").alias("n")
+    ).agg(F.count(F.lit(1)).alias("rows"))
+    whole = cells.select("x", (F.col("won") * F.col("rows")).alias("won"), (F.col("n") * F.col("rows")).alias("n"))
+    _, model = binomial_glm(whole, "won", "n", ["x"])
     b0, b1 = float(model.intercept), float(model.coefficients[0])
     points = [float(v) for v in at]
 
     def refit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(key[0])])
-        pdf = pdf.sort_values("x")
-        x_, won, n = (pdf[c].to_numpy(dtype=float) for c in ("x", "won", "n"))
+        pdf = pdf.sort_values(["x", "won", "n"])
+        x_, won, n, rows = (pdf[c].to_numpy(dtype=float) for c in ("x", "won", "n", "rows"))
         if parametric:
-            drawn, total = rng.binomial(n.astype(int), 1 / (1 + np.exp(-(b0 + b1 * x_)))).astype(float), n
+            total = n * rows
+            drawn = rng.binomial(total.astype(int), 1 / (1 + np.exp(-(b0 + b1 * x_)))).astype(float)
         else:
-            drawn = rng.poisson(won).astype(float)
-            total = drawn + rng.poisson(n - won)
+            copies = rng.poisson(rows)
+            drawn, total = won * copies, n * copies
         beta = _logit_fit(x_, drawn, total)
         p = 1 / (1 + np.exp(-(beta[0] + beta[1] * np.array(points))))
         return pd.DataFrame({"x": points, "p": p})

@@ -17,6 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, FractionalType
 
 from feathergrid.operators.ordered import join_groups
 
@@ -34,6 +35,16 @@ def safe_frame(span: int, lead: int = 2 * HOUR) -> tuple[int, int]:
     return (-(span + lead), -lead - 1)
 
 
+def _exact(df: DataFrame, measure: Column) -> Column:
+    kind = df.select(measure.alias("m")).schema["m"].dataType
+    if isinstance(kind, DecimalType):
+        return measure
+    if not isinstance(kind, FractionalType):
+        return measure.cast("long")
+    whole = measure.isNull() | (measure == F.floor(measure))
+    return F.when(whole, measure.cast("long")).otherwise(F.raise_error(F.lit("rolling sums take whole numbers or decimals")))
+
+
 def rolling_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -42,22 +53,28 @@ def rolling_sums(
     frames: Mapping[str, tuple[int, int]],
     block_seconds: int = DAY,
 ) -> DataFrame:
-    """One row per (keys, second) with ``<measure>_<frame>`` sums of integer measures.
+    """One row per (keys, second) with ``<measure>_<frame>`` sums of whole numbers or decimals.
 
+    Running totals of floating-point numbers would not come back to zero, so
+    measures are summed exactly: a decimal as such, any other number as a whole
+    number, and a fraction in it stops the query.
     A block holds at most one row per second and frame edge of its span,
     whatever the number of rows behind it.
     """
     width = max([block_seconds, *[end - start + 1 for start, end in frames.values()]])
     names = [f"{m}_{f}" for m in measures for f in frames]
     t = F.col(seconds)
+    exact = {m: _exact(df, e) for m, e in measures.items()}
     per_second = df.where(t.isNotNull()).groupBy(*keys, seconds).agg(
-        *[F.coalesce(F.sum(e.cast("long")), F.lit(0)).alias(f"_v_{m}") for m, e in measures.items()]
+        *[F.coalesce(F.sum(e), F.lit(0)).alias(f"_v_{m}") for m, e in exact.items()]
     )
-    zero = F.lit(0).cast("long")
+    zeros = {m: F.lit(0).cast(per_second.schema[f"_v_{m}"].dataType) for m in measures}
 
     def event(at: Column, block: Column, own: int, signs: Mapping[str, int]) -> Column:
         moved = [
-            (F.col(f"_v_{m}") * signs[f] if f in signs else zero).alias(f"_d_{m}_{f}") for m in measures for f in frames
+            {1: F.col(f"_v_{m}"), -1: -F.col(f"_v_{m}")}.get(signs.get(f), zeros[m]).alias(f"_d_{m}_{f}")
+            for m in measures
+            for f in frames
         ]
         return F.struct(block.alias("block"), at.alias("at"), F.lit(own).alias("own"), *moved)
 

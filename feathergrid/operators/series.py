@@ -157,9 +157,17 @@ def fill_chain(
 
 
 def cumulative_return(change: str, w) -> Column:
-    """Product of (1 + r) minus 1 along the order; a missing first change counts as 0."""
+    """Product of (1 + r) minus 1 along the order; a missing first change counts as 0.
+
+    Growth of zero or below has no logarithm, so zeros and signs are counted beside it.
+    """
     frame = w.rowsBetween(W.unboundedPreceding, 0)
-    return F.exp(F.sum(F.log1p(F.coalesce(F.col(change), F.lit(0.0)))).over(frame)) - 1
+    r = F.coalesce(F.col(change), F.lit(0.0))
+    size = F.when(r > -1, F.log1p(r)).when(r < -1, F.log(-1 - r)).otherwise(F.lit(0.0))
+    lost = F.sum(F.when(r == -1, 1).otherwise(0)).over(frame)
+    flips = F.sum(F.when(r < -1, 1).otherwise(0)).over(frame)
+    product = F.exp(F.sum(size).over(frame)) * (1 - 2 * (flips % 2))
+    return F.when(lost > 0, F.lit(0.0)).otherwise(product) - 1
 
 
 def last_day_in_period(df: DataFrame, keys: Sequence[str], day: str, period: str = "month") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from feathergrid.operators.rolling import DAY, leaky_frame, rolling_sums
 from feathergrid.operators.joins import lookup
+from feathergrid.operators.ordered import join_groups
 from feathergrid.functions.timefns import epoch_seconds
 from feathergrid.plans.registry import query
 from feathergrid.session import table
@@ -45,7 +46,7 @@ def flagship(spark, d):
     nations = table(spark, d, "supplier").join(
         table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey")
     ).select(F.col("s_suppkey").alias("l_suppkey"), "n_name")
-    joined = lookup(per_second.join(rolled, ["l_partkey", "t"]), nations, "l_suppkey")
+    joined = lookup(join_groups(per_second, rolled, ["l_partkey", "t"]), nations, "l_suppkey")
     return joined.groupBy("n_name").agg(
         F.sum("n").alias("flights"),
         F.sum("late").alias("late_flights"),

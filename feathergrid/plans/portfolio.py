@@ -27,14 +27,14 @@ picks as materialized (select * from (select *, row_number() over (partition by
 held as (select start_date, ticker, datadate, price, lag(price) over (partition by start_date, ticker order by datadate)
     as before from picks join px on tic = ticker and datadate >= start_date and datadate < (start_date + interval 1 year)::date),
 daily as (select start_date, datadate, avg((price - before) / abs(before)) as average from held group by 1, 2),
-own as materialized (select *, exp(sum(ln(1 + coalesce(average, 0))) over (partition by start_date order by datadate rows
-    unbounded preceding)) - 1 as cumulative from daily),
+own as materialized (select *, product(1 + coalesce(average, 0)) over (partition by start_date order by datadate rows
+    unbounded preceding) - 1 as cumulative from daily),
 starts as (select distinct start_date from picks),
 bheld as (select start_date, datadate, price, lag(price) over (partition by start_date order by datadate) as before
     from starts join bx on datadate >= start_date and datadate < (start_date + interval 1 year)::date),
 bdaily as (select start_date, datadate, (price - before) / abs(before) as average from bheld),
-bench as materialized (select *, exp(sum(ln(1 + coalesce(average, 0))) over (partition by start_date order by datadate rows
-    unbounded preceding)) - 1 as cumulative from bdaily)
+bench as materialized (select *, product(1 + coalesce(average, 0)) over (partition by start_date order by datadate rows
+    unbounded preceding) - 1 as cumulative from bdaily)
 """
 
 

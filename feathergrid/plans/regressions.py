@@ -117,12 +117,12 @@ def d7(spark, d):
 
 @query("d8_bootstrap_ci")
 def d8(spark, d):
-    return D.bootstrap_ci(_trials(spark, d), "won", "n", "l_quantity", [1, 25, 50], replicates=200)
+    return D.bootstrap_ci(_trials(spark, d), "won", "n", "l_quantity", [1, 25, 50])
 
 
 @query("d8_bootstrap_ci_parametric")
 def d8b(spark, d):
-    return D.bootstrap_ci(_trials(spark, d), "won", "n", "l_quantity", [1, 25, 50], replicates=200, parametric=True)
+    return D.bootstrap_ci(_trials(spark, d), "won", "n", "l_quantity", [1, 25, 50], parametric=True)
 
 
 _PANEL = """select o_custkey, year(o_orderdate) as yr, sum(o_totalprice) / 1000 as y, count(*) as x1,

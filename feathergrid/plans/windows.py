@@ -8,6 +8,7 @@ from feathergrid.operators import rolling as RO
 from feathergrid.operators import rows as R
 from feathergrid.operators import series as S
 from feathergrid.operators.joins import lookup
+from feathergrid.operators.ordered import join_groups
 from feathergrid.plans import roles
 from feathergrid.plans.registry import query
 from feathergrid.session import table
@@ -73,7 +74,7 @@ def rolling_families(spark, d, frame):
         measures = {f"{what}_{name}": F.col(flag) for flag, what, name in wanted}
         sums = RO.rolling_sums(base, [key], "dep_t", measures, frames)
         names = {f"{what}_{name}_{s}": f"{what}_{s}_{name}" for _, what, name in wanted for s in SPANS}
-        out = out.join(sums.withColumnsRenamed(names), [key, "dep_t"], "left")
+        out = join_groups(out, sums.withColumnsRenamed(names), [key, "dep_t"], "left")
     return out.select(*ID, *[f"{what}_{s}_{name}" for _, _, what, name in FAMILIES for s in SPANS])
 
 
@@ -288,8 +289,8 @@ def w14(spark, d):
 
 @query(
     "w15_cumulative_return",
-    f"""select tic, cast(datadate as varchar) as datadate, round(exp(sum(ln(1 + coalesce(c, 0))) over (partition by tic
-        order by datadate rows unbounded preceding)) - 1, 6) as cumulative from (select tic, datadate, (volume - lag(volume)
+    f"""select tic, cast(datadate as varchar) as datadate, round(product(1 + coalesce(c, 0)) over (partition by tic
+        order by datadate rows unbounded preceding) - 1, 6) as cumulative from (select tic, datadate, (volume - lag(volume)
         over (partition by tic order by datadate)) / lag(volume) over (partition by tic order by datadate) / 100 as c
         from ({PR}))""",
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from feathergrid.session import scratch_path
+from feathergrid.session import cut_lineage, scratch_path
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
@@ -31,7 +31,8 @@ def read_latest(spark: SparkSession, root: str) -> DataFrame:
 def checkpoint_verified(df: DataFrame, category: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Write, re-read and compare: returns the re-read table and the counts by category.
 
-    The rows written are counted while they are written.  Raises if a row is lost.
+    The rows written are counted while they are written.  Raises if a row is
+    lost or any category, null included, has another number of rows than before.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, "verified")
@@ -42,7 +43,14 @@ def checkpoint_verified(df: DataFrame, category: str, path: str | None = None) -
         raise ValueError(f"{path}: wrote {seen.get['rows']} rows, read {back.count()}")
     before = df.groupBy(category).agg(F.count(F.lit(1)).alias("rows_before"))
     after = back.groupBy(category).agg(F.count(F.lit(1)).alias("rows_after"))
-    return back, before.join(after, category, "full_outer")
+    same = F.col(f"b.{category}").eqNullSafe(F.col(f"a.{category}"))
+    both = before.alias("b").join(after.alias("a"), same, "full_outer").select(
+        F.coalesce(f"b.{category}", f"a.{category}").alias(category), "rows_before", "rows_after"
+    )
+    both = cut_lineage(both)
+    if both.where(~F.col("rows_before").eqNullSafe(F.col("rows_after"))).limit(1).count():
+        raise ValueError(f"{path}: the rows by {category} differ from those written")
+    return back, both
 
 
 def write_adjacency_text(edges: DataFrame, path: str, per_line: int = 10_000) -> str:
