@@ -11,7 +11,8 @@ while a coordinate is still empty.
 
 Equal shingle sets become one node.  Nodes meet in bands of the signature; in
 each band a few centres are compared with the band's other nodes, exactly, and
-linked nodes merge.  A centre that has been compared with all nodes outside its
+linked nodes merge.  Before that, nodes are passed over whose sizes, less what no
+other node has, rule the similarity out.  A centre that has been compared with all nodes outside its
 component leaves the band, and a band whose nodes are all in one component is
 done; so in the end every pair in a band was compared or is already connected,
 without writing down all pairs of a large group.
@@ -48,47 +49,52 @@ def shingles(text: str | None, words: WordHash, size: int = SHINGLE) -> tuple[np
     if not len(hashes):
         return hashes, np.zeros(0, dtype=np.int64)
     width = min(size, len(hashes))
+    hashes = mix(hashes)
     total = np.zeros(len(hashes) - width + 1, dtype=np.uint64)
     for j in range(width):
-        total += mix(hashes[j : len(hashes) - width + 1 + j]) * _ODD[j % SHINGLE] + np.uint64(j)
+        total += hashes[j : len(hashes) - width + 1 + j] * _ODD[j % SHINGLE] + np.uint64(j)
     return np.unique(mix(total + np.uint64(width)), return_counts=True)
 
 
 def darts(elements: np.ndarray, weights: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """``(rank, name)`` of all darts with rank up to ``limit`` that hit the weighted elements."""
+    """``(rank, name)`` of all darts with rank up to ``limit`` that hit the weighted elements.
+
+    Each unit of weight of an element is a cell.  Its darts are numbered, and a
+    dart's hash gives its name and, by the upper bits, its distance in rank to
+    the dart before.
+    """
     units = np.ceil(weights).astype(np.int64)
     owner = np.repeat(np.arange(len(elements)), units)
     unit = np.arange(len(owner)) - np.repeat(np.cumsum(units) - units, units)
     cell = mix(elements[owner] + (unit.astype(np.uint64) + np.uint64(1)) * _GOLD)
-    rank = -np.log(uniform(mix(cell + np.uint64(1))))  # the first dart of each unit cell
-    hit = np.flatnonzero(rank <= limit)
-    cell, rank, part = cell[hit], rank[hit], weights[owner[hit]] - unit[hit]
-    columns = int(limit + 6.0 * np.sqrt(limit) + 12.0)
+    part = weights[owner] - unit  # below 1 where only a part of the cell belongs to the element
+    whole = not (part < 1).any()
     ranks, names = [], []
-    for serial in range(2, 2 + 64 * columns):  # later darts of the cells that were hit
-        if not len(cell):
-            break
-        name = mix(cell + np.uint64(serial * int(_GOLD) & (1 << 64) - 1))
-        inside = uniform(mix(name + np.uint64(7))) <= part if (part < 1).any() else slice(None)
-        ranks.append(rank[inside])
-        names.append(name[inside])
-        rank = rank - np.log(uniform(mix(cell + np.uint64(serial) * np.uint64(3) + np.uint64(1 << 40))))
+    reached, serial, columns = np.zeros(len(cell)), 1, 1
+    while len(cell):
+        numbers = np.arange(serial, serial + columns, dtype=np.uint64) * _GOLD
+        name = mix(cell[:, None] + numbers[None, :])
+        rank = reached[:, None] + np.cumsum(-np.log(uniform(name)), axis=1)
         hit = rank <= limit
-        cell, rank, part = cell[hit], rank[hit], part[hit]
-    if not ranks:
-        return np.zeros(0), np.zeros(0, dtype=np.uint64)
+        on = hit if whole else hit & (uniform(mix(name + np.uint64(7))) <= part[:, None])
+        ranks.append(rank[on])
+        names.append(name[on])
+        more = np.flatnonzero(hit[:, -1])
+        cell, part, reached = cell[more], part[more], rank[more, -1]
+        serial += columns
+        columns = int(max(0.0, limit - reached.min() if len(more) else 0.0) + 2.0 * np.sqrt(limit) + 2.0)
     return np.concatenate(ranks), np.concatenate(names)
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, k: int = COORDINATES) -> np.ndarray:
-    """For each coordinate the name of its earliest dart."""
+    """For each coordinate, told by the lowest bits of the names, the name of its earliest dart."""
     limit = k * (np.log(k) + 2.0) / float(weights.sum())
     while True:
         rank, name = darts(elements, weights, limit)
-        order = np.argsort(rank, kind="stable")
-        where, first = np.unique(mix(name[order] + np.uint64(99)) % np.uint64(k), return_index=True)
+        name = name[np.argsort(rank, kind="stable")]
+        where, first = np.unique((name & np.uint64(2047)) * np.uint64(k) >> np.uint64(11), return_index=True)
         if len(where) == k:
-            return name[order][first]
+            return name[first]
         limit *= 1.5
 
 
@@ -173,8 +179,8 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, weight
         "node", "n", F.explode("bands").alias("band")
     )
     banded = written(of_node, "bands")
-    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
-    live = written(banded.join(written(shared, "shared-bands"), "band"), "live-bands")
+    crowded = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
+    live = written(banded.join(written(crowded, "crowded-bands"), "band"), "live-bands")
 
     meeting = written(live.select("node").distinct(), "meeting")
     few = meeting.count() <= SMALL_NODES
@@ -183,20 +189,28 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, weight
     sets = written(_sets(again, row, weighted), "sets")
     _same_rows(sets, nodes)
 
-    roots, centres, links = None, _FIRST_CENTRES, None
+    roots, centres, links, shared = None, _FIRST_CENTRES, None, None
     while live.limit(1).count():
-        member = live if roots is None else live.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
-        member = member if roots is not None else member.withColumn("root", F.col("node"))
-        if roots is not None:  # bands with all nodes in one component are done
-            open_bands = member.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-            member = member.join(written(open_bands, "open-bands"), "band")
+        member = live.withColumn("root", F.col("node")) if roots is None else _open(live, roots)
+        if roots is not None and shared is None and member.limit(1).count():
+            shared = written(_shared_elements(member, sets), "shared-elements")
+        if shared is None:
+            member = member.withColumn("common", F.lit(None).cast("array<long>")).withColumn("s", F.col("n"))
+        else:
+            places = member.groupBy("node").agg(F.array_sort(F.collect_list("band")).alias("common"))
+            member = member.join(places, "node").join(shared, "node")
         member = written(member, "members")
         order = Window.partitionBy("band").orderBy(F.xxhash64("node"), "node")
         chosen = member.withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres).drop("k")
         chosen = written(chosen, "centres")
         a, b = member.alias("a"), chosen.alias("b")
+        # No pair is lost by these: sizes of linked sets are alike, what only one set has is in no intersection,
+        # and a pair that shares several bands is compared in the first of them.
+        both = F.col("a.n") + F.col("b.n")
         likely = F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-9
-        pairs = a.join(b, F.col("a.band") == F.col("b.band")).where((F.col("a.root") != F.col("b.root")) & likely)
+        likely &= F.least("a.s", "b.s") * (1 + similarity) >= similarity * both - 1e-9
+        once = F.col("a.common").isNull() | (F.array_min(F.array_intersect("a.common", "b.common")) == F.col("a.band"))
+        pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & likely & once)
         pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         found = written(_verified(pairs, sets, similarity), "verified")
         links = found if links is None else links.union(found)
@@ -224,6 +238,22 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, weight
     )
 
 
+def _open(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the bands whose nodes are not all in one component, with their component."""
+    member = live.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
+    still = member.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    return member.join(written(still, "open-bands"), "band")
+
+
+def _shared_elements(member: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, s``: how many of a node's elements another of these nodes has too (counted once per unit of weight)."""
+    nodes = written(member.select("node").distinct(), "open-nodes")
+    one = sets.join(nodes, "node", "left_semi").select("node", F.explode("elements").alias("e"))
+    own = one.groupBy("e").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("own"))
+    sizes = sets.join(nodes, "node", "left_semi").select("node", F.size("elements").alias("size"))
+    return sizes.join(own, "node", "left").select("node", (F.col("size") - F.coalesce("own", F.lit(0))).cast("double").alias("s"))
+
+
 def _same_rows(sets: DataFrame, nodes: DataFrame) -> None:
     """Stop if the second reading of the documents gave other rows than the first."""
     known = nodes.select("node", F.col("digest").alias("was"))

@@ -35,11 +35,11 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_last: bool = True) -> DataF
 
 def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Fill nulls with the exact median of the column."""
-    out = df
-    for c in cols:
-        median = exact_percentiles(df.select(c), [], c, {"m": 0.5}).select("m").scalar()
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), median))
-    return out
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "_column", "_value")
+    medians = exact_percentiles(long, ["_column"], "_value", {"m": 0.5})  # one row per column
+    wide = medians.agg(F.struct(*[F.max(F.when(F.col("_column") == c, F.col("m"))).alias(c) for c in cols]).alias("m")).scalar()
+    filled = df.withColumn("_medians", wide)
+    return filled.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col("_medians").getField(c)) for c in cols}).drop("_medians")
 
 
 def assemble(df: DataFrame, cols: Sequence[str], name: str = "features") -> DataFrame:

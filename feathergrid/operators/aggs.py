@@ -47,22 +47,17 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence) -> DataFrame:
 
 
 def summary_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row per column: count, mean, stddev, min, five percentiles, max."""
-    out = None
-    for c in cols:
-        base = df.agg(
-            F.lit(c).alias("column"),
-            F.count(c).alias("n"),
-            F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("stddev"),
-            F.min(c).cast("double").alias("min"),
-            F.max(c).cast("double").alias("max"),
-        )
-        quant = exact_percentiles(df.select(c), [], c, SUMMARY_QUANTILES)
-        packed = quant.select(F.struct(*SUMMARY_QUANTILES).alias("q")).scalar()
-        one = base.withColumn("q", packed).select("*", "q.*").drop("q")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """One row per column: count, mean, stddev, min, five percentiles, max.
+
+    All columns go through the same aggregates as rows ``(column, value)``, so
+    the number of scans and shuffles does not depend on how many there are.
+    """
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
+    moments = group_moments_of(long, ["column"], "value")
+    quant = exact_percentiles(long, ["column"], "value", SUMMARY_QUANTILES)
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    found = names.join(moments, "column", "left").join(quant, "column", "left")
+    return found.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -83,15 +78,20 @@ def conditional_rate(df: DataFrame, keys: Sequence[str], flag: Column, more_than
     return rates.where(F.col("n") > more_than)
 
 
-def group_moments(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    """Count, mean, stddev, min, max and exact median by group."""
-    moments = df.groupBy(*keys).agg(
+def group_moments_of(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """Count, mean, stddev, min and max by group."""
+    return df.groupBy(*keys).agg(
         F.count(col).alias("n"),
         F.avg(col).alias("mean"),
         F.stddev_samp(col).alias("stddev"),
         F.min(col).alias("min"),
         F.max(col).alias("max"),
     )
+
+
+def group_moments(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """Count, mean, stddev, min, max and exact median by group."""
+    moments = group_moments_of(df, keys, col)
     return join_groups(moments, exact_percentiles(df, keys, col, {"median": 0.5}), keys, "left")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feathergrid.session import cut_lineage
+from feathergrid.session import bucketed, remove_path, scratch_path
 
 # fixed value: teleport probability
 ALPHA = 0.15
@@ -61,22 +61,29 @@ def _salted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, degree.select(F.col("src").alias("id"), "salts")
 
 
+def _received(links: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``(id, got)``: what each node gets over its incoming links."""
+    out = ranks.where(F.col("salts").isNotNull()).select(
+        F.col("id").alias("src"), "x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    )
+    along = links.join(out, ["src", "salt"])
+    return along.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("p")).alias("got"))
+
+
 def _iterate(edges: DataFrame, steps: int, alpha: float, teleport: bool) -> DataFrame:
-    """x <- alpha/N + (1 - alpha) (m/N + sum x p), or x <- x P without teleport and dangling mass."""
+    """x <- alpha/N + (1 - alpha) (m/N + sum x p), or x <- x P without teleport and dangling mass.
+
+    Links and nodes are written once as bucketed tables, so a step moves ranks
+    and what they add up to, but no links.
+    """
+    spark = edges.sparkSession
     raw_links, salts = _salted(edges)
-    links = cut_lineage(raw_links.repartition("src", "salt"))
-    base = cut_lineage(nodes(edges).join(salts, "id", "left"))
+    links = bucketed(raw_links, ["src", "salt"], "links")
+    base = bucketed(nodes(edges).join(salts, "id", "left"), ["id"], "nodes")
     size = base.agg(F.count("id").alias("n")).first()["n"]
-    ranks = base.withColumn("x", F.lit(1.0) / size)
+    ranks, before = base.withColumn("x", F.lit(1.0) / size), None
     for step in range(1, steps + 1):
-        out = ranks.where(F.col("salts").isNotNull()).select(
-            F.col("id").alias("src"), "x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-        )
-        received = (
-            links.join(out, ["src", "salt"])
-            .groupBy(F.col("dst").alias("id"))
-            .agg(F.sum(F.col("x") * F.col("p")).alias("got"))
-        )
+        received = _received(links, ranks)
         flow = F.coalesce("got", F.lit(0.0))
         if teleport:
             mass = ranks.agg(F.coalesce(F.sum(F.when(F.col("salts").isNull(), F.col("x"))), F.lit(0.0)).alias("m"))
@@ -84,7 +91,12 @@ def _iterate(edges: DataFrame, steps: int, alpha: float, teleport: bool) -> Data
         ranks = base.join(received, "id", "left").select("id", "salts", flow.alias("x"))
         if step < steps:
             # the next step reads ranks twice, for the flow and for the dangling mass
-            ranks = cut_lineage(ranks)
+            path = scratch_path(spark, "ranks")
+            ranks.write.parquet(path)
+            ranks = spark.read.schema(ranks.schema).parquet(path)
+            if before:
+                remove_path(spark, before)
+            before = path
     return ranks.select("id", F.col("x").alias("rank"))
 
 

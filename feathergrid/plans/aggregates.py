@@ -38,6 +38,9 @@ def a3(spark, d):
     return A.crosstab(table(spark, d, "lineitem"), "l_linenumber", "l_returnflag", ["A", "N"])
 
 
+SUMMARISED = ["dep_del15", "arr_del15", "weather_delay", "l_quantity", "l_extendedprice", "l_tax"]
+
+
 @query(
     "a4_summary_stats",
     " union all ".join(
@@ -45,11 +48,11 @@ def a3(spark, d):
         min({c})::double as min, max({c})::double as max, round(quantile_cont({c}::double, 0.1), 6) as p10,
         round(quantile_cont({c}::double, 0.25), 6) as p25, round(quantile_cont({c}::double, 0.5), 6) as p50,
         round(quantile_cont({c}::double, 0.75), 6) as p75, round(quantile_cont({c}::double, 0.9), 6) as p90 from ({FL})"""
-        for c in ("l_extendedprice", "weather_delay")
+        for c in SUMMARISED
     ),
 )
 def a4(spark, d):
-    out = A.summary_stats(roles.flights(spark, d), ["l_extendedprice", "weather_delay"])
+    out = A.summary_stats(roles.flights(spark, d), SUMMARISED)
     rounded = ["mean", "stddev", *A.SUMMARY_QUANTILES]
     return out.select("column", "n", "min", "max", *[F.round(c, 6).alias(c) for c in rounded])
 

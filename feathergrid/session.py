@@ -53,6 +53,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str, buckets: int | None = None) -> DataFrame:
+    """``df`` written below the shared folder, bucketed and sorted by ``keys``: joins on them read it without a shuffle."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = f"{name}_{uuid.uuid4().hex}"
+    out = df.repartition(n, *keys).write.format("parquet").option("path", scratch_path(spark, name))
+    out.bucketBy(n, *keys).sortBy(*keys).saveAsTable(known)
+    return spark.table(known)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete files of a finished step wherever they are."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """A scan for heavy work per row, over at least as many partitions as there are cores.
 

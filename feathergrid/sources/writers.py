@@ -22,10 +22,23 @@ def write_versioned(df: DataFrame, root: str, version: str) -> str:
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of the newest version; other versions are pruned as partitions."""
-    versions = spark.read.option("basePath", root).parquet(root)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == newest).drop("version")
+    """Rows of the newest version that was written to its end; no other version is read.
+
+    Versions are compared as numbers if all of them are, else as text.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = []
+    for entry in store.listStatus(folder):
+        name = entry.getPath().getName()
+        committed = spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
+        if name.startswith("version=") and store.exists(committed):
+            done.append(name.removeprefix("version="))
+    if not done:
+        raise ValueError(f"{root}: no finished version")
+    numbers = all(v.isdigit() for v in done)
+    newest = max(done, key=(lambda v: (int(v), v)) if numbers else str)
+    return spark.read.parquet(f"{root.rstrip('/')}/version={newest}")
 
 
 def checkpoint_verified(df: DataFrame, category: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -112,3 +112,46 @@ def test_logs_of_growth_stay_precise(spark):
     df = spark.createDataFrame([("a", i, 1e-12) for i in range(1000)], "k string, day int, r double")
     last = df.withColumn("c", S.cumulative_return("r", W.partitionBy("k").orderBy("day"))).agg(F.max("c")).first()[0]
     assert last == pytest.approx(math.expm1(1000 * math.log1p(1e-12)), rel=1e-3)
+
+
+def test_summary_and_medians_read_the_table_a_fixed_number_of_times(spark):
+    from feathergrid.ml import prep
+
+    df = spark.range(100).select(*[(F.col("id") * k).cast("double").alias(f"c{k}") for k in range(1, 9)])
+    few, many = (A.summary_stats(df, [f"c{k}" for k in range(1, n)]) for n in (2, 9))
+    exchanges = [x._jdf.queryExecution().executedPlan().toString().count("Exchange") for x in (few, many)]
+    assert exchanges[0] == exchanges[1]
+    row = {r["column"]: r for r in many.collect()}["c2"]
+    assert (row["n"], row["mean"], row["p50"], row["max"]) == (100, 99.0, 99.0, 198.0)
+    empty = A.summary_stats(df.limit(0), ["c1"]).first()
+    assert (empty["column"], empty["n"], empty["mean"]) == ("c1", 0, None)
+    holes = df.select(F.when(F.col("c1") > 9, F.col("c1")).alias("a"), F.lit(None).cast("double").alias("b"))
+    filled = prep.impute_median(holes, ["a", "b"]).agg(F.min("a"), F.count("b")).first()
+    assert tuple(filled) == (10.0, 0)
+
+
+def test_newest_finished_version_is_read(spark, tmp_path):
+    root = str(tmp_path / "v")
+    for version, n in (("9", 1), ("10", 2)):
+        writers.write_versioned(spark.range(n), root, version)
+    assert writers.read_latest(spark, root).count() == 2
+    (tmp_path / "v" / "version=11").mkdir()  # begun and not finished
+    assert writers.read_latest(spark, root).count() == 2
+
+
+def test_pagerank_steps_do_not_move_links(spark):
+    from feathergrid.operators import graph as G
+    from feathergrid.session import bucketed
+
+    edges = spark.createDataFrame([(i % 7, i % 5, 1) for i in range(50)], "src int, dst int, w int")
+    links, salts = G._salted(edges)
+    links = bucketed(links, ["src", "salt"], "links")
+    ranks = bucketed(G.nodes(edges).join(salts, "id", "left"), ["id"], "nodes").withColumn("x", F.lit(0.1))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        along = G._received(links, ranks)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # one exchange for the ranks, one for the sums; the link scan has none above it
+    assert along.count("Exchange") == 2 and "SortMergeJoin" in along
