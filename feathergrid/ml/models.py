@@ -109,13 +109,21 @@ def grid_scores(
     train: DataFrame, test: DataFrame, kind: str, label: str, categoricals: Sequence[str], numerics: Sequence[str],
     grid: Sequence[Mapping],
 ) -> DataFrame:
-    """One row per parameter map: train on the past, score on the hold-out."""
+    """One row per parameter map: train on the past, score on the hold-out.
+
+    Features are prepared once for all maps and released when the scores are known.
+    """
+    prepare = Pipeline(stages=feature_stages(categoricals, numerics)).fit(train)
+    ready, held = (prepare.transform(x).select("features", label).persist() for x in (train, test))
     out = None
     for params in grid:
-        model = fit(train, kind, label, categoricals, numerics, **params)
+        model = classifier(kind, label, **params).fit(ready)
         name = f"{kind} " + " ".join(f"{k}={v}" for k, v in params.items())
-        one = scores(model, test, label, name)
+        one = scores(model, held, label, name)
         out = one if out is None else out.unionByName(one)
+    out = cut_lineage(out)
+    ready.unpersist()
+    held.unpersist()
     return out
 
 
