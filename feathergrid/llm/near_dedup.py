@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, fresh_name, mix, uniform, words_of, written
@@ -37,7 +37,7 @@ COORDINATES = 128
 ROWS_PER_BAND = 4
 #: A table of nodes up to this many rows (a long each) is sent to all executors, a larger one is shuffled.
 SMALL_NODES = 200_000
-_FIRST_CENTRES, _CENTRE_GROWTH = 1, 8
+_MORE_CENTRES, _CENTRE_GROWTH = 8, 8
 
 _ODD = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -189,40 +189,38 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, weight
     sets = written(_sets(again, row, weighted), "sets")
     _same_rows(sets, nodes)
 
-    roots, centres, links, shared = None, _FIRST_CENTRES, None, None
+    # First round: every node with its band's centre.
+    centre = written(live.groupBy("band").agg(F.min_by(F.struct("node", "n"), F.struct(F.xxhash64("node"), "node")).alias("c")), "first-centres")
+    met = live.join(centre, "band").where(F.col("node") != F.col("c.node")).where(_alike("n", "c.n", similarity))
+    links = written(_verified(_ordered(met, "node", "c.node"), sets, similarity), "verified")
+    roots = components(links)
+    live = live.join(centre.select("band", F.col("c.node").alias("node")), ["band", "node"], "left_anti")
+    live = written(_open(live, roots), "open-bands")
+
+    # Further rounds where a band holds several components: more centres each time.
+    traits, centres = written(_traits(live, sets), "traits"), _MORE_CENTRES
     while live.limit(1).count():
-        member = live.withColumn("root", F.col("node")) if roots is None else _open(live, roots)
-        if roots is not None and shared is None and member.limit(1).count():
-            shared = written(_shared_elements(member, sets), "shared-elements")
-        if shared is None:
-            member = member.withColumn("common", F.lit(None).cast("array<long>")).withColumn("s", F.col("n"))
-        else:
-            places = member.groupBy("node").agg(F.array_sort(F.collect_list("band")).alias("common"))
-            member = member.join(places, "node").join(shared, "node")
-        member = written(member, "members")
         order = Window.partitionBy("band").orderBy(F.xxhash64("node"), "node")
-        chosen = member.withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres).drop("k")
+        member = written(live.join(traits, "node"), "members")
+        chosen = member.withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres)
         chosen = written(chosen, "centres")
-        a, b = member.alias("a"), chosen.alias("b")
-        # No pair is lost by these: sizes of linked sets are alike, what only one set has is in no intersection,
-        # and a pair that shares several bands is compared in the first of them.
-        both = F.col("a.n") + F.col("b.n")
-        likely = F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-9
-        likely &= F.least("a.s", "b.s") * (1 + similarity) >= similarity * both - 1e-9
-        once = F.col("a.common").isNull() | (F.array_min(F.array_intersect("a.common", "b.common")) == F.col("a.band"))
+        mine = written(member.join(chosen.select("band", "node", "k"), ["band", "node"], "left"), "ranked")
+        a, b = mine.alias("a"), chosen.alias("b")
+        # No pair is lost by these: sizes of linked sets are alike, what only one set has is in no intersection, a
+        # pair that shares several bands is compared in the first of them, and two centres are compared once.
+        likely = _alike("a.n", "b.n", similarity)
+        likely &= F.least("a.s", "b.s") * (1 + similarity) >= similarity * (F.col("a.n") + F.col("b.n")) - 1e-9
+        once = F.array_min(F.array_intersect("a.common", "b.common")) == F.col("a.band")
+        once &= F.col("a.k").isNull() | (F.col("a.k") < F.col("b.k"))
         pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & likely & once)
-        pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-        found = written(_verified(pairs, sets, similarity), "verified")
-        links = found if links is None else links.union(found)
+        found = written(_verified(_ordered(pairs, "a.node", "b.node"), sets, similarity), "verified")
+        links = links.union(found)
         roots = components(links)
-        live = written(
-            member.select("band", "node", "n").join(chosen.select("band", "node"), ["band", "node"], "left_anti"), "live-bands"
-        )
+        live = mine.where("k IS NULL").select("band", "node", "n")
+        live = written(_open(live, roots), "open-bands")
         centres *= _CENTRE_GROWTH
 
-    rooted = nodes if roots is None else nodes.join(roots, "node", "left")
-    rooted = rooted.select("digest", F.coalesce("root", "node").alias("class") if roots is not None else F.col("node").alias("class"))
-    rooted = written(rooted, "classes")
+    rooted = written(nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class")), "classes")
     classed = sketch.select(row, "doc_id", "digest").join(rooted, "digest", "left").select(
         row, "doc_id", F.coalesce("class", F.col(row)).alias("class")
     )
@@ -238,20 +236,30 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, weight
     )
 
 
+def _alike(n: str, m: str, similarity: float) -> Column:
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
 def _open(live: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of the bands whose nodes are not all in one component, with their component."""
     member = live.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
     still = member.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    return member.join(written(still, "open-bands"), "band")
-
-
-def _shared_elements(member: DataFrame, sets: DataFrame) -> DataFrame:
-    """``node, s``: how many of a node's elements another of these nodes has too (counted once per unit of weight)."""
-    nodes = written(member.select("node").distinct(), "open-nodes")
-    one = sets.join(nodes, "node", "left_semi").select("node", F.explode("elements").alias("e"))
-    own = one.groupBy("e").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("own"))
-    sizes = sets.join(nodes, "node", "left_semi").select("node", F.size("elements").alias("size"))
-    return sizes.join(own, "node", "left").select("node", (F.col("size") - F.coalesce("own", F.lit(0))).cast("double").alias("s"))
+    return member.join(written(still, "bands-of-several"), "band")
+
+
+def _traits(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, s, common``: how many of a node's elements another of these nodes has too, and the node's bands."""
+    places = live.groupBy("node").agg(F.array_sort(F.collect_list("band")).alias("common"))  # at most all bands of a signature
+    mine = sets.join(written(live.select("node").distinct(), "open-nodes"), "node", "left_semi")
+    every = mine.select("node", F.explode("elements").alias("e"))
+    own = every.groupBy("e").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("own"))
+    sizes = mine.select("node", F.size("elements").alias("size"))
+    shared = sizes.join(own, "node", "left").select("node", (F.col("size") - F.coalesce("own", F.lit(0))).cast("double").alias("s"))
+    return shared.join(places, "node")
 
 
 def _same_rows(sets: DataFrame, nodes: DataFrame) -> None:
