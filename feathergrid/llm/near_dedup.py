@@ -198,10 +198,11 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, weight
     live = written(_open(live, roots), "open-bands")
 
     # Further rounds where a band holds several components: more centres each time.
-    traits, centres = written(_traits(live, sets), "traits"), _MORE_CENTRES
+    places = live.groupBy("node").agg(F.array_sort(F.collect_list("band")).alias("common"))  # at most all bands of a signature
+    places, centres = written(places, "places"), _MORE_CENTRES
     while live.limit(1).count():
         order = Window.partitionBy("band").orderBy(F.xxhash64("node"), "node")
-        member = written(live.join(traits, "node"), "members")
+        member = written(live.join(_hopeful(live, sets, similarity), "node").join(places, "node"), "members")
         chosen = member.withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres)
         chosen = written(chosen, "centres")
         mine = written(member.join(chosen.select("band", "node", "k"), ["band", "node"], "left"), "ranked")
@@ -251,15 +252,26 @@ def _open(live: DataFrame, roots: DataFrame) -> DataFrame:
     return member.join(written(still, "bands-of-several"), "band")
 
 
-def _traits(live: DataFrame, sets: DataFrame) -> DataFrame:
-    """``node, s, common``: how many of a node's elements another of these nodes has too, and the node's bands."""
-    places = live.groupBy("node").agg(F.array_sort(F.collect_list("band")).alias("common"))  # at most all bands of a signature
-    mine = sets.join(written(live.select("node").distinct(), "open-nodes"), "node", "left_semi")
+def _hopeful(live: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``node, s``: how many of a node's elements another of these nodes has too, for nodes with enough of them.
+
+    No other node has the rest, so the similarity to any of them is at most s / n.
+    What a hopeless node shares then counts no more, which the next passes see.
+    """
+    nodes = written(live.select("node", "n").distinct(), "open-nodes")
+    for _ in range(2):
+        nodes = written(_with_shared(nodes.select("node", "n"), sets, similarity), "hopeful-nodes")
+    return _with_shared(nodes.select("node", "n"), sets, similarity).select("node", "s")
+
+
+def _with_shared(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    mine = sets.join(nodes, "node")
     every = mine.select("node", F.explode("elements").alias("e"))
-    own = every.groupBy("e").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("own"))
-    sizes = mine.select("node", F.size("elements").alias("size"))
-    shared = sizes.join(own, "node", "left").select("node", (F.col("size") - F.coalesce("own", F.lit(0))).cast("double").alias("s"))
-    return shared.join(places, "node")
+    single = every.groupBy("e").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
+    own = single.groupBy("node").agg(F.count("*").alias("own"))
+    sized = mine.select("node", "n", F.size("elements").alias("size")).join(own, "node", "left")
+    sized = sized.select("node", "n", (F.col("size") - F.coalesce("own", F.lit(0))).cast("double").alias("s"))
+    return sized.where(F.col("s") >= similarity * F.col("n") - 1e-9)
 
 
 def _same_rows(sets: DataFrame, nodes: DataFrame) -> None:
