@@ -32,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; personal data in its text gives way to the data's kind."""
-    return pii.sanitise(docs)
+    """Every document stays; personal data in its text gives way to the data's kind, and terms that reveal it to theirs."""
+    return pii.sanitise(docs, everywhere=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ and a term stands for the share PMI / IC of the entity's information: 1 if it
 never occurs without the entity.  A term stands with an entity if it is in the
 text just before or after it on its line, so each term of a line counts for two
 entities at most.  Terms that disclose ``DISCLOSURE`` or more and were seen with
-the entity in ``SUPPORT`` different lines are spans too, in the documents where
-they stand with it, and are generalised to what kind of word they are.
+the entity in ``SUPPORT`` different lines are spans too, and are generalised to
+what kind of word they are: ``everywhere`` in every document that holds them,
+as they reveal the entity alone, else in the documents where they stand with it.
 """
 
 from __future__ import annotations
@@ -155,14 +156,27 @@ def disclosing_terms(documents: DataFrame, beside: DataFrame) -> DataFrame:
     return counted.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
 
 
-def find(documents: DataFrame) -> DataFrame:
+def _words_beside(beside: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """``row, term`` of the disclosing terms where they stand with their entity."""
+    return beside.join(disclosing.select("entity", "term"), ["entity", "term"]).select("row", "term")
+
+
+def _words_held(texts: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """``row, term`` of the disclosing terms in every document that holds them."""
+    words = written(disclosing.select("term").distinct(), "disclosing-terms")
+    side = F.broadcast(words) if words.count() <= SMALL_TERMS else words
+    return texts.select("row", F.explode(_terms(F.col("text"))).alias("term")).join(side, "term", "left_semi")
+
+
+def find(documents: DataFrame, everywhere: bool = False) -> DataFrame:
     """``row, doc_id, text, base, terms`` per document: its spans, and its text if it has any.
 
     ``text`` must be the column to search and ``doc_id`` the id.  Null texts
     count as empty.  ``base`` holds the pattern spans by kind and start,
     ``terms`` the spans of disclosing terms by start; both in code points, end
-    exclusive.  ``row`` is the row's place in the table, which must read the
-    same each time.
+    exclusive.  Terms are marked ``everywhere``, or only in documents where they
+    stand with the entity.  ``row`` is the row's place in the table, which must
+    read the same each time.
     """
     whole = F.coalesce("text", F.lit(""))
     base = documents.select(
@@ -172,18 +186,20 @@ def find(documents: DataFrame) -> DataFrame:
     found = base.where("text IS NOT NULL")
     beside = written(_standing_with(found), "beside")
     disclosing = written(disclosing_terms(documents, beside), "disclosing")
-    rows = beside.join(disclosing.select("entity", "term"), ["entity", "term"]).groupBy("row").agg(
-        F.array_sort(F.collect_set("term")).alias("words")
-    )
+    texts = documents.select(F.monotonically_increasing_id().alias("row"), whole.alias("text"))
+    rows = _words_held(texts, disclosing) if everywhere else _words_beside(beside, disclosing)
+    rows = written(rows.groupBy("row").agg(F.array_sort(F.collect_set("term")).alias("words")), "term-rows")
     # Terms hold letters only, so the alternatives need no quoting.
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
-    marked = found.join(rows, "row").withColumn("pattern", pattern)
+    spans = base.select("row", "base")
+    marked = (texts if everywhere else found.select("row", "text")).join(rows, "row").join(spans, "row").withColumn("pattern", pattern)
     outside = F.filter(
         matches("term", F.col("text"), F.col("pattern")),
         lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
-    marked = written(marked.select("row", outside.alias("terms")), "term-spans")
-    return base.join(marked, "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast(_SPAN)))
+    marked = marked.select("row", F.col("text").alias("with_terms"), outside.alias("terms")).where(F.size("terms") > 0)
+    placed = base.join(written(marked, "term-spans"), "row", "left")
+    return placed.select("row", "doc_id", F.coalesce("text", "with_terms").alias("text"), "base", F.coalesce("terms", F.array().cast(_SPAN)).alias("terms"))
 
 
 def _is(kind: str):
@@ -194,9 +210,9 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def report(documents: DataFrame) -> DataFrame:
+def report(documents: DataFrame, everywhere: bool = False) -> DataFrame:
     """``doc_id``, the number of spans of each base kind, a digest of the base spans, and all spans as text."""
-    found = find(documents)
+    found = find(documents, everywhere)
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(
@@ -222,13 +238,13 @@ def _clean(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, none, step, lambda done: F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, end)))
 
 
-def sanitise(documents: DataFrame) -> DataFrame:
+def sanitise(documents: DataFrame, everywhere: bool = False) -> DataFrame:
     """``documents`` with personal data in ``text`` replaced by its kind, disclosing terms by their kind of word.
 
     All other columns stay, but ``n_chars``, if there is one, follows the text
     where it changed.  Texts without personal data, null ones too, are unchanged.
     """
-    changed = find(documents).where("text IS NOT NULL").select("row", _clean(F.col("text"), F.concat("base", "terms")).alias("cleaned"))
+    changed = find(documents, everywhere).where("text IS NOT NULL").select("row", _clean(F.col("text"), F.concat("base", "terms")).alias("cleaned"))
     row, cleaned = fresh_name(documents, "row"), fresh_name(documents, "cleaned")
     changed = changed.select(F.col("row").alias(row), F.col("cleaned").alias(cleaned))
     placed = documents.withColumn(row, F.monotonically_increasing_id()).join(written(changed, "cleaned"), row, "left")

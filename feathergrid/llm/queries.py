@@ -64,7 +64,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_pii")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(table(spark, sf_dir, "documents"), everywhere=True)
 
 
 @query("op3_nearest_neighbours")

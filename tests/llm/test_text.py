@@ -217,6 +217,22 @@ def test_disclosing_terms_are_generalised(spark):
     assert spans[1] == "email:23:43,term:10:17"
 
 
+def test_disclosing_terms_are_marked_in_every_document(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"note {i} by Quandle mail quandle@corp.example about the plan") for i in range(3)]
+    rows += [(10 + i, f"the plan and the note about mail number {'abcdefgh'[i % 8] * 3}") for i in range(600)]
+    rows += [(1000, "Quandle alone, and no address"), (1001, None), (1002, "Quandles and aQuandle are other words"), (1003, "to x.Quandle@corp.example, plan"), (1004, "")]
+    pd.DataFrame(rows, columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    spans = {r.doc_id: r.spans for r in queries.QUERIES["op9_pii"](spark, str(tmp_path)).collect()}
+    assert spans[1] == "email:23:43,term:10:17" and spans[1000] == "term:0:7" and spans[1003] == "email:3:25"
+    assert spans[10] == spans[1001] == spans[1002] == spans[1004] == ""
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in corpus_pipeline.remove_personal_data(spark, docs, str(tmp_path)).collect()}
+    assert got[0] == "note 0 by [Word] mail [email] about the plan" and got[1000] == "[Word] alone, and no address"
+    assert got[1003] == "to [email], plan" and all(got[i] == t for i, t in rows if i in (10, 1001, 1002, 1004))
+
+
 def test_personal_data_edges(edge, nothing):
     assert pii.sanitise(edge).columns == edge.columns
     assert sorted(map(str, pii.sanitise(edge).collect())) == sorted(map(str, edge.collect()))  # nothing personal in it
