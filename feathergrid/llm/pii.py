@@ -114,12 +114,12 @@ def _terms(text: Column) -> Column:
 
 
 def _standing_with(found: DataFrame) -> DataFrame:
-    """``row, line, entity, term`` for the terms beside each entity."""
+    """``row, at, line, entity, term`` for the terms beside each entity: the line's place in its text, and its hash."""
     any_kind = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
-    lines = found.select("row", F.explode(F.split("text", "\n")).alias("line"))
+    lines = found.select("row", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     gaps, hits = F.split("line", F.lit(any_kind), F.lit(-1)), F.regexp_extract_all("line", F.lit(any_kind), F.lit(0))
-    lines = lines.select("row", F.xxhash64("line").alias("line"), gaps.alias("gaps"), hits.alias("hits")).where(F.size("hits") > 0)
-    one = lines.select("row", "line", "gaps", F.posexplode("hits").alias("i", "value"))
+    lines = lines.select("row", "at", F.xxhash64("line").alias("line"), gaps.alias("gaps"), hits.alias("hits")).where(F.size("hits") > 0)
+    one = lines.select("row", "at", "line", "gaps", F.posexplode("hits").alias("i", "value"))
     one = one.withColumn("beside", F.concat_ws("\n", F.col("gaps")[F.col("i")], F.col("gaps")[F.col("i") + 1])).drop("gaps", "i")
     kind = F.when(F.col("value").contains("@"), "email").when(F.col("value").startswith("+"), "phone")
     kind = kind.when(F.col("value").rlike(f"^{PATTERNS['ip']}$"), "ip").otherwise("card")
@@ -127,18 +127,19 @@ def _standing_with(found: DataFrame) -> DataFrame:
     right = F.lit(False)
     for k in KINDS:
         right |= (F.col("kind") == k) & valid(k, F.col("value"))
-    one = one.where(right).select("row", "line", entity(F.col("kind"), F.col("value")).alias("entity"), "beside")
-    return one.select("row", "line", "entity", F.explode_outer(_terms(F.col("beside"))).alias("term"))
+    one = one.where(right).select("row", "at", "line", entity(F.col("kind"), F.col("value")).alias("entity"), "beside")
+    return one.select("row", "at", "line", "entity", F.explode_outer(_terms(F.col("beside"))).alias("term"))
 
 
 def disclosing_terms(documents: DataFrame, beside: DataFrame) -> DataFrame:
     """``entity, term, disclosure`` of the terms that reveal an entity.
 
     ``beside`` is what stands with entities; lines, and lines with each
-    candidate term, are counted over all ``documents``.
+    candidate term, are counted over all ``documents``.  A line counts as often
+    as it stands, on all sides; only ``support`` counts different texts of lines.
     """
-    seen = written(beside.groupBy("entity", "term").agg(F.count_distinct("row", "line").alias("n_both"), F.count_distinct("line").alias("support")), "pairs")
-    alone = beside.groupBy("entity").agg(F.count_distinct("row", "line").alias("n_entity"))
+    seen = written(beside.groupBy("entity", "term").agg(F.count_distinct("row", "at").alias("n_both"), F.count_distinct("line").alias("support")), "pairs")
+    alone = beside.groupBy("entity").agg(F.count_distinct("row", "at").alias("n_entity"))
     pairs = seen.where((F.col("support") >= SUPPORT) & F.col("term").isNotNull())
     candidates = written(pairs.select("term").distinct(), "candidates")
     few = candidates.count() <= SMALL_TERMS

@@ -233,6 +233,13 @@ def test_disclosing_terms_are_marked_in_every_document(spark, tmp_path):
     assert got[1003] == "to [email], plan" and all(got[i] == t for i, t in rows if i in (10, 1001, 1002, 1004))
 
 
+def test_repeated_lines_count_on_all_sides(spark):
+    twice = "\n".join(["Quandle mail quandle@corp.example"] * 10 + ["or Quandle at quandle@corp.example"])
+    rows = [(1, twice)] + [(2 + i, f"mail or at {'abcdefgh'[i % 8] * 3}") for i in range(60)]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].count("term:") == 11 and not any(got[2 + i] for i in range(60))
+
+
 def test_personal_data_edges(edge, nothing):
     assert pii.sanitise(edge).columns == edge.columns
     assert sorted(map(str, pii.sanitise(edge).collect())) == sorted(map(str, edge.collect()))  # nothing personal in it
