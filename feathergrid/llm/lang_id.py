@@ -205,7 +205,8 @@ def predict(documents: DataFrame, model: LangModel, text: str = "text", keep: bo
 def keep_recognised(documents: DataFrame, model: LangModel) -> DataFrame:
     """The rows whose text has a recognised language, all columns unchanged.
 
-    Rejected are null texts and texts without a letter.
+    Rejected are null texts and texts without a letter, and no others: if the
+    model has learned no language, the letters alone decide.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     target = documents.schema
@@ -215,7 +216,11 @@ def keep_recognised(documents: DataFrame, model: LangModel) -> DataFrame:
         where = [f.name for f in target.fields].index("text")
         for batch in batches:
             if batch.num_rows:
-                langs, _ = fitted.predict(batch.column(where).to_pylist())
-                yield batch.filter(pa.array([x != UNDETERMINED for x in langs]))
+                texts = batch.column(where).to_pylist()
+                if fitted.langs:
+                    keep = [x != UNDETERMINED for x in fitted.predict(texts)[0]]
+                else:
+                    keep = [bool((code_points(t or "") != 32).any()) for t in texts]
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(run, target)

@@ -44,6 +44,12 @@ def test_pipeline_of_planted_cases(spark, tmp_path):
     assert {r.doc_id for r in pieces} == {1, 6, 7, None}
 
 
+def test_language_stage_without_labels_keeps_clean_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "clean words", None), (2, "12 34", None), (3, None, None), (None, "no id", "en")], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.recognise_language(spark, docs, str(tmp_path))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
+
+
 def test_pipeline_run_covers_all_documents(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).toPandas()
     docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
