@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_name, own_names, written
 
-#: A text is a phrase of the host, not of the page, if this many pages have it at the same single place.
+#: A text is a phrase of the host, not of the page, if this many different pages and most of the host's have it at the same single place.
 PHRASE_PAGES = 5
 #: Share of the text a region or one of its children must hold.
 MOST = 0.75
@@ -294,7 +294,7 @@ def rules(wrapper: list) -> dict:
     def collect(item: list, heading: bool) -> None:
         for kid in item[_KIDS]:
             if kid[_SIG] == "#":
-                if kid[_CONST] is not None and not kid[_REP] and not heading and kid[_PAGES] >= PHRASE_PAGES:
+                if kid[_CONST] is not None and not kid[_REP] and not heading and kid[_PAGES] >= PHRASE_PAGES and 2 * kid[_PAGES] > wrapper[_PAGES]:
                     phrases.add(kid[_CONST])
             else:
                 collect(kid, heading or kid[_REP] or re.match(r"h[1-6]\b|p\b", kid[_SIG]) is not None)
@@ -354,8 +354,23 @@ def host_of(url):
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """``host, rule`` (JSON) for every host; the pages are folded into wrappers where they lie."""
+    """``host, rule`` (JSON) for every host; the pages are folded into wrappers where they lie.
+
+    Pages of a host with equal text count once, so copies make no phrase of the
+    host.  Rows are known by their place in the table, which must read the same
+    each time.
+    """
     row = fresh_name(pages, "host")
+    pages = pages.select(host_of(F.col("url")).alias(row), "html", F.monotonically_increasing_id().alias("place"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ["\n".join(blocks(parse(html.as_py()), set())) if html.as_py() else "" for html in batch.column(1)]
+            digest = [xxhash.xxh3_128_hexdigest(t.encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digest, pa.string())], names=["host", "place", "digest"])
+
+    hashed = pages.where(f"{row} <> ''").mapInArrow(digests, "host string, place long, digest string")
+    once = written(hashed.groupBy("host", "digest").agg(F.min("place").alias("place")).select("place"), "page-texts")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -380,7 +395,7 @@ def infer(pages: DataFrame) -> DataFrame:
             whole = _merge(whole, json.loads(text))
         return pa.table({"host": group.column("host")[:1], "wrapper": pa.array([json.dumps(whole)])})
 
-    parts = pages.select(host_of(F.col("url")).alias(row), "html").where(f"{row} <> ''").mapInArrow(fold, "host string, wrapper string")
+    parts = pages.join(once, "place", "left_semi").select(row, "html").mapInArrow(fold, "host string, wrapper string")
     parts = written(parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))), "wrappers")
     some = parts.groupBy("host", "salt").applyInArrow(join, "host string, wrapper string")
 

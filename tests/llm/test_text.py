@@ -142,6 +142,18 @@ def test_main_text_edges(spark):
     assert html_text.main_text(frame.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_make_no_phrase_of_the_host(spark):
+    def page(title, body):
+        return f"<html><body><article><h1>{title}</h1>{body}<div class='end'>Thank you for reading</div></article></body></html>"
+
+    copied = page("Copied", "<p>Some words.</p><blockquote>A quoted saying.</blockquote><pre>x = 1</pre>")
+    rows = [(i, f"http://a.example/{i}", copied) for i in range(6)]
+    rows += [(10 + i, f"http://a.example/{10 + i}", page(f"T{i}", f"<p>Other words {i}.</p>")) for i in range(8)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert {got[i] for i in range(6)} == {"Copied\nSome words.\nA quoted saying.\nx = 1"}
+    assert [got[10 + i] for i in range(8)] == [f"T{i}\nOther words {i}." for i in range(8)]
+
+
 def test_wrappers_find_optional_and_repeated_groups():
     def wrap(html):
         return html_text.wrapper_of(html_text.parse(html))
