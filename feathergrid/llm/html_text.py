@@ -27,8 +27,6 @@ from .common import fresh_name, own_names, written
 
 #: A text is a phrase of the host, not of the page, if this many different pages and most of the host's have it at the same single place.
 PHRASE_PAGES = 5
-#: Share of the text a region or one of its children must hold.
-MOST = 0.75
 #: Rules of up to this many bytes altogether are sent to all executors; more are joined by a shuffle.
 SMALL_RULES = 8_000_000
 SALTS = 64
@@ -259,6 +257,13 @@ def _weight(item: list, slots_only: bool) -> int:
     return own + sum(_weight(k, slots_only) for k in item[_KIDS])
 
 
+def _own(item: list, pages: int) -> int:
+    """Characters of text that is no link and not the same in most of the host's pages; of one page all text."""
+    hosts = item[_CONST] is not None and not item[_REP] and pages > 1 and 2 * item[_PAGES] > pages
+    own = item[_CHARS] - item[_LINKS] if item[_SIG] == "#" and not hosts else 0
+    return own + sum(_own(k, pages) for k in item[_KIDS])
+
+
 def rules(wrapper: list) -> dict:
     """Where the main text is (the signatures from the root down) and which phrases belong to the host."""
     varied = wrapper[_PAGES] > 1 and _slots(wrapper)
@@ -282,22 +287,24 @@ def rules(wrapper: list) -> dict:
         articles = [x for x in named if x[1][-1].startswith("article")] or named
         _, path, node = max(articles, key=lambda x: x[0])
     else:
-        while True:
-            here = _weight(node, varied)
-            kids = [k for k in node[_KIDS] if k[_SIG] != "#" and k[_SIG].split(".")[0] not in TEXT_BLOCKS]
-            kid = max(kids, key=lambda k: _weight(k, varied), default=None)
-            if kid is None or not here or _weight(kid, varied) < MOST * here:
+        pages = wrapper[_PAGES] if varied else 1
+        while True:  # down as long as nothing of a page's own stands beside
+            kids = [k for k in node[_KIDS] if _own(k, pages)]
+            if len(kids) != 1 or kids[0][_SIG] == "#" or kids[0][_SIG].split(".")[0] in TEXT_BLOCKS:
                 break
-            path, node = [*path, kid[_SIG]], kid
+            path, node = [*path, kids[0][_SIG]], kids[0]
     phrases: set[int] = set()
 
-    def collect(item: list, heading: bool) -> None:
+    def collect(item: list, heading: bool, hosts: bool = False) -> None:
         for kid in item[_KIDS]:
             if kid[_SIG] == "#":
                 if kid[_CONST] is not None and not kid[_REP] and not heading and kid[_PAGES] >= PHRASE_PAGES and 2 * kid[_PAGES] > wrapper[_PAGES]:
                     phrases.add(kid[_CONST])
             else:
-                collect(kid, heading or kid[_REP] or re.match(r"h[1-6]\b|p\b", kid[_SIG]) is not None)
+                # A whole block without text of the pages' own is the host's with its headings and paragraphs.
+                all_hosts = hosts or not named and kid[_SIG].split(".")[0] not in TEXT_BLOCKS and not _own(kid, wrapper[_PAGES])
+                text = re.match(r"h[1-6]\b|p\b", kid[_SIG]) is not None and not all_hosts
+                collect(kid, heading or kid[_REP] or text, all_hosts)
 
     if varied:
         collect(node, False)

@@ -154,6 +154,23 @@ def test_copies_of_a_page_make_no_phrase_of_the_host(spark):
     assert [got[10 + i] for i in range(8)] == [f"T{i}\nOther words {i}." for i in range(8)]
 
 
+@pytest.mark.parametrize("count", [1, 8])
+def test_text_beside_the_body_is_kept(spark, count):
+    """No article or main: titles, intros and what few pages have stand beside the heaviest block."""
+    def page(i):
+        extra = "<div class='box'><p>Only here.</p></div>" if i == 3 else ""
+        menu = "<div class='top-nav'><a href='/'>Home</a></div><div class='links'><a href='/x'>More</a></div>"
+        body = f"<div class='body'><p>{f'long text {i} ' * 40}</p><p>end {i}</p></div>"
+        site = "<div class='site'><p>Our site</p></div>" if count > 1 else ""
+        return f"<html><body>{menu}{site}<div class='post'><h1>Title {i}</h1><div class='intro'>Intro {i}</div>{extra}{body}</div></body></html>"
+
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(count)]
+    for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        i = r.page_id
+        want = [f"Title {i}", f"Intro {i}", *["Only here."] * (i == 3), (f"long text {i} " * 40).strip(), f"end {i}"]
+        assert r.text == "\n".join(want)
+
+
 def test_wrappers_find_optional_and_repeated_groups():
     def wrap(html):
         return html_text.wrapper_of(html_text.parse(html))
