@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -50,6 +51,17 @@ def test_language_stage_without_labels_keeps_clean_documents(spark, tmp_path):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
 
 
+def test_pipeline_result_holds_the_tokens(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.createDataFrame([(1, "clean words only"), (2, None)], "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {r.doc_id: r.ids for r in corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect()}
+    want = [*tokenizer.encode("clean words only", add_special_tokens=False).ids, 1]
+    assert np.frombuffer(got[1], "<u4").tolist() == want and np.frombuffer(got[2], "<u4").tolist() == [1]
+
+
 def test_pipeline_run_covers_all_documents(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).toPandas()
     docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
