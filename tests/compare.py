@@ -35,7 +35,8 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
 
 
 def kinds(frame: pd.DataFrame) -> dict[str, str]:
-    return {c: str(frame[c].dtype) for c in sorted(frame.columns)}
+    # whole numbers with nulls come as float64 from one side and as Int64 from the other
+    return {c: str(frame[c].dtype).replace("Int64", "float64") for c in sorted(frame.columns)}
 
 
 def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
