@@ -10,15 +10,16 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from feathergrid.operators.binomial import binomial_glm, bootstrap_ci, likelihood_ratio, wald_interval  # noqa: F401
 from feathergrid.operators.ordered import join_groups
 from feathergrid.operators.series import along
+from feathergrid.operators.tails import chi2_tail
 
 
 def moments(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -100,17 +101,6 @@ def vif(df: DataFrame, xs: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "term string, vif double")
 
 
-def chi2_tail(x: float, df: int) -> float:
-    """Upper tail of chi-square by the recurrence in steps of two degrees of freedom."""
-    half = max(x, 0.0) / 2
-    tail = math.erfc(math.sqrt(half)) if df % 2 else math.exp(-half)
-    at = 1 if df % 2 else 2
-    while at < df:
-        tail += math.exp(-half + (at / 2) * math.log(half) - math.lgamma(at / 2 + 1)) if half > 0 else 0.0
-        at += 2
-    return min(tail, 1.0)
-
-
 def breusch_pagan(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     """n * R2 of the squared residuals on the predictors, with its chi-square p."""
     first = ols(df, y, xs)
@@ -129,107 +119,6 @@ def factor_dummies(df: DataFrame, factor: str, levels: Sequence, prefix: str) ->
     return df.withColumns({f"{prefix}{v}": F.when(F.col(factor) == v, 1).otherwise(0) for v in list(levels)[1:]})
 
 
-def binomial_glm(
-    df: DataFrame, successes: str, trials: str, xs: Sequence[str], offset: str | None = None
-) -> tuple[DataFrame, object]:
-    """Weighted logit on proportions; interactions and squares are columns of ``xs``."""
-    shares = df.withColumn("_share", F.col(successes) / F.col(trials)).withColumn("_w", F.col(trials).cast("double"))
-    data = VectorAssembler(inputCols=list(xs), outputCol="_x").transform(shares)
-    extra = {"offsetCol": offset} if offset else {}
-    model = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="_x", labelCol="_share", weightCol="_w", tol=1e-10, maxIter=100, **extra
-    ).fit(data)
-    s = model.summary
-    rows = [
-        (n, float(c), float(e), float(c / e))
-        for n, c, e in zip([*xs, "(intercept)"], [*model.coefficients.toArray(), model.intercept],
-                           s.coefficientStandardErrors, strict=True)
-    ]
-    return df.sparkSession.createDataFrame(rows, "term string, estimate double, std_error double, z double"), model
-
-
-def likelihood_ratio(df: DataFrame, successes: str, trials: str, small: Sequence[str], big: Sequence[str]) -> DataFrame:
-    """Deviance difference of nested binomial models and its chi-square p."""
-    a = binomial_glm(df, successes, trials, small)[1].summary.deviance
-    b = binomial_glm(df, successes, trials, big)[1].summary.deviance
-    step = len(big) - len(small)
-    return df.sparkSession.createDataFrame(
-        [(float(a - b), step, chi2_tail(a - b, step))], "deviance double, df int, p double"
-    )
-
-
-# fixed value: normal quantile of a 95 % interval
-Z95 = 1.959963984540054
-
-
-def wald_interval(df: DataFrame, successes: str, trials: str, x: str, at: Sequence[float], z: float = Z95) -> DataFrame:
-    """Probability and confidence bounds at given x: the interval is built on the logit scale."""
-    _, model = binomial_glm(df, successes, trials, [x])
-    b0, b1 = float(model.intercept), float(model.coefficients[0])
-    p = 1 / (1 + F.exp(-(F.lit(b0) + F.col(x) * b1)))
-    w = F.col(trials) * p * (1 - p)
-    row = df.agg(F.sum(w).alias("a"), F.sum(w * F.col(x)).alias("b"), F.sum(w * F.col(x) * F.col(x)).alias("c")).first()
-    cov = np.linalg.inv(np.array([[row["a"], row["b"]], [row["b"], row["c"]]]))
-    rows = []
-    for v in at:
-        eta, sd = b0 + b1 * v, math.sqrt(np.array([1, v]) @ cov @ np.array([1, v]))
-        rows.append((float(v), *[1 / (1 + math.exp(-e)) for e in (eta, eta - z * sd, eta + z * sd)]))
-    return df.sparkSession.createDataFrame(rows, "x double, probability double, lower double, upper double")
-
-
-def _logit_fit(x: np.ndarray, won: np.ndarray, n: np.ndarray, steps: int = 25) -> np.ndarray:
-    design = np.column_stack([np.ones_like(x), x])
-    beta = np.zeros(2)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        w = np.maximum(n * p * (1 - p), 1e-9)
-        step = np.linalg.solve(design.T @ (w[:, None] * design) + 1e-10 * np.eye(2), design.T @ (won - n * p))
-        beta = beta + step
-        if np.abs(step).max() < 1e-10:
-            break
-    return beta
-
-
-def bootstrap_ci(
-    df: DataFrame, successes: str, trials: str, x: str, at: Sequence[float], replicates: int = 1000, seed: int = 7,
-    parametric: bool = False,
-) -> DataFrame:
-    """5 % and 95 % quantiles of the fitted probability over resampled refits.
-
-    Whole rows are resampled, with the trials they hold.  Equal rows are counted
-    first: Poisson(count) copies of a row pattern equal Poisson(1) copies of each
-    of its rows, so a replicate costs one row per distinct pattern.
-    """
-    cells = df.groupBy(
-        F.col(x).cast("double").alias("x"), F.col(successes).cast("double").alias("won"), F.col(trials).cast("double").alias("n")
-    ).agg(F.count(F.lit(1)).alias("rows"))
-    whole = cells.select("x", (F.col("won") * F.col("rows")).alias("won"), (F.col("n") * F.col("rows")).alias("n"))
-    _, model = binomial_glm(whole, "won", "n", ["x"])
-    b0, b1 = float(model.intercept), float(model.coefficients[0])
-    points = [float(v) for v in at]
-
-    def refit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, int(key[0])])
-        pdf = pdf.sort_values(["x", "won", "n"])
-        x_, won, n, rows = (pdf[c].to_numpy(dtype=float) for c in ("x", "won", "n", "rows"))
-        if parametric:
-            total = n * rows
-            drawn = rng.binomial(total.astype(int), 1 / (1 + np.exp(-(b0 + b1 * x_)))).astype(float)
-        else:
-            copies = rng.poisson(rows)
-            drawn, total = won * copies, n * copies
-        beta = _logit_fit(x_, drawn, total)
-        p = 1 / (1 + np.exp(-(beta[0] + beta[1] * np.array(points))))
-        return pd.DataFrame({"x": points, "p": p})
-
-    copies = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
-    fits = cells.select("*", copies).groupBy("replicate").applyInPandas(refit, "x double, p double")
-    quantile = F.percentile("p", [0.05, 0.95])  # one value per replicate and x
-    return fits.groupBy("x").agg(F.count("p").alias("replicates"), quantile.alias("_q")).select(
-        "x", "replicates", F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper")
-    )
-
-
 def demean(df: DataFrame, entity: str, cols: Sequence[str]) -> DataFrame:
     """Columns minus their entity mean; means are an aggregate joined back, not a window over the entity."""
     means = df.groupBy(entity).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
@@ -251,9 +140,19 @@ def fixed_effects(
     return Fit(n, means, cross, names, used=entities + len(names)), within
 
 
-def clustered_se(within: DataFrame, fit: Fit, entity: str, y: str) -> DataFrame:
-    """Arellano standard errors: residual scores are summed per entity before the outer product."""
+def clustered_se(within: DataFrame, fit: Fit, entity: str, y: str, leverage: bool = False) -> DataFrame:
+    """Arellano standard errors: residual scores are summed per entity before the outer product.
+
+    With ``leverage`` (HC3) a residual is first divided by one minus its row's
+    diagonal of the hat matrix of the demeaned columns.
+    """
     e = F.col(y) - fit.predict()
+    if leverage:
+        hat = F.lit(0.0)
+        for i, a in enumerate(fit.names):
+            for j, b in enumerate(fit.names):
+                hat = hat + F.col(a) * F.col(b) * float(fit.inverse[i, j])
+        e = e / (1 - hat)
     rows = within.withColumn("_e", e)
     sums = rows.groupBy(entity).agg(*[F.sum(F.col(x) * F.col("_e")).alias(f"s{i}") for i, x in enumerate(fit.names)])
     return _sandwich(within.sparkSession, sums, fit)

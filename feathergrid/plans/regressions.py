@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from feathergrid.operators import regress as D
 from feathergrid.operators import series as S
+from feathergrid.operators.binomial import POISSON, PRIME, ROUNDS, Z95
 from feathergrid.plans.registry import query
+from feathergrid.plans.solving import hash_sql, hessian_sql, inverse_diagonal_sql, newton_ctes, pairs, solve_sql
 from feathergrid.plans.windows import acf_sql
 from feathergrid.session import table
 
@@ -100,29 +102,128 @@ def _trials(spark, d):
     ).withColumn("q2", F.col("l_quantity") * F.col("l_quantity")).withColumn("qt", F.col("l_quantity") * F.col("l_tax"))
 
 
-@query("d5_binomial_glm")
+_TRIALS = """select *, l_quantity * l_quantity as q2, l_quantity * l_tax as qt from (
+    select l_quantity, l_tax, sum(case when l_returnflag = 'R' and l_discount <= 0.05 then 1 else 0 end)::double as y,
+    count(*)::double as n from lineitem group by 1, 2)"""
+_LOGIT = "ln(sum(y) / (sum(n) - sum(y)))"
+
+
+def _pattern_rows(*xs):
+    columns = ", ".join(f"{x}::double as v{i}" for i, x in enumerate(("1.0", *xs)))
+    return f"(select y, n, l_quantity, l_tax, {columns} from ({_TRIALS}))"
+
+
+def _glm_sql(xs, steps=9, offset=""):
+    """Coefficients with standard errors of a binomial model on covariate patterns."""
+    k, rows = len(xs) + 1, _pattern_rows(*xs)
+    fit = newton_ctes("pr", k, steps, trials="n", start=_LOGIT, offset=offset)
+    inverse = inverse_diagonal_sql(hessian_sql("pr", k, f"b{steps}", "n", offset), k)
+    terms = " union all ".join(f"select {i} as i, '{t}' as term, b{i} as b from b{steps}" for i, t in enumerate(("(intercept)", *xs)))
+    return f"""with pr as materialized {rows}, {fit}, t as ({terms}), s as ({inverse})
+        select term, round(b, 5) as estimate, round(sqrt(d), 5) as std_error, round(b / sqrt(d), 4) as z from t join s using (i)"""
+
+
+def _glm_shape(df):
+    return df.select("term", F.round("estimate", 5).alias("estimate"), F.round("std_error", 5).alias("std_error"), F.round("z", 4).alias("z"))
+
+
+@query("d5_binomial_glm", _glm_sql(["l_quantity", "l_tax", "qt"]))
 def d5(spark, d):
-    return D.binomial_glm(_trials(spark, d), "won", "n", ["l_quantity", "l_tax", "qt"])[0]
+    return _glm_shape(D.binomial_glm(_trials(spark, d), "won", "n", ["l_quantity", "l_tax", "qt"])[0])
+
+
+@query("d5_binomial_glm_offset", _glm_sql(["l_tax"], offset="l_quantity / 40"))
+def d5_offset(spark, d):
+    rows = _trials(spark, d).withColumn("shift", F.col("l_quantity") / 40)
+    return _glm_shape(D.binomial_glm(rows, "won", "n", ["l_tax"], offset="shift")[0])
 
 
-@query("d6_likelihood_ratio")
+def _deviance_sql(size, model):
+    eta = " + ".join(f"b{i} * v{i}" for i in range(size))
+    terms = "case when y > 0 then y * ln(y / mu) else 0 end + case when n > y then (n - y) * ln((n - y) / (n - mu)) else 0 end"
+    return f"(select 2 * sum({terms}) as dev from (select *, n / (1 + exp(-({eta}))) as mu from pr, {model}))"
+
+
+@query(
+    "d6_likelihood_ratio",
+    f"""with pr as materialized {_pattern_rows("l_quantity", "l_tax", "q2")},
+        {newton_ctes("pr", 2, 9, trials="n", start=_LOGIT, name="small")},
+        {newton_ctes("pr", 4, 9, trials="n", start=_LOGIT, name="big")},
+        x as (select s.dev - b.dev as dev from {_deviance_sql(2, "small9")} s, {_deviance_sql(4, "big9")} b)
+        select round(dev, 5) as deviance, 2 as df, round(exp(-dev / 2), 6) as p from x""",
+)
 def d6(spark, d):
-    return D.likelihood_ratio(_trials(spark, d), "won", "n", ["l_quantity"], ["l_quantity", "l_tax", "q2"])
+    out = D.likelihood_ratio(_trials(spark, d), "won", "n", ["l_quantity"], ["l_quantity", "l_tax", "q2"])
+    return out.select(F.round("deviance", 5).alias("deviance"), "df", F.round("p", 6).alias("p"))
 
 
-@query("d7_wald_interval")
+@query(
+    "d7_wald_interval",
+    f"""with pr as materialized {_pattern_rows("l_quantity")}, {newton_ctes("pr", 2, 9, trials="n", start=_LOGIT)},
+        h as ({hessian_sql("pr", 2, "b9", "n")}),
+        e as (select x, b0 + b1 * x as eta, sqrt((a1_1 - 2 * x * a0_1 + x * x * a0_0) / (a0_0 * a1_1 - a0_1 * a0_1)) as sd
+          from h, b9, (select unnest([1.0, 25.0, 50.0])::double as x))
+        select x, round(1 / (1 + exp(-eta)), 6) as probability, round(1 / (1 + exp(-(eta - {Z95} * sd))), 6) as lower,
+          round(1 / (1 + exp(-(eta + {Z95} * sd))), 6) as upper from e""",
+)
 def d7(spark, d):
-    return D.wald_interval(_trials(spark, d), "won", "n", "l_quantity", [1, 25, 50])
+    out = D.wald_interval(_trials(spark, d), "won", "n", "l_quantity", [1, 25, 50])
+    return out.select("x", *[F.round(c, 6).alias(c) for c in ("probability", "lower", "upper")])
+
+
+def _bootstrap_sql(source, at, replicates=1000, seed=7):
+    """Percentile intervals over refits; ``source`` has x, y, n and key."""
+    reached = " + ".join(f"(z >= {edge})::integer" for edge in POISSON)
+    lanes = hash_sql(f"select i as rep, i + {seed * 1_000_003} as lane from range(1, {replicates + 1}) r(i)", "lane", ROUNDS, PRIME)
+    keyed = hash_sql(f"select * replace (key % {PRIME} as key) from (select x, y, n, key::bigint as key from ({source}))", "key", ROUNDS, PRIME)
+    drawn = hash_sql("select rep, x, y, n, xor(key, lane) as z from keyed, lanes", "z", ROUNDS, PRIME)
+    points = ", ".join(f"{float(v)}" for v in at)
+    full = newton_ctes("pr", 2, 9, trials="n", start=_LOGIT, name="f")
+    refit = newton_ctes("wt", 2, 5, keys="rep", trials="n", first="select rep, b0, b1 from lanes, f9")
+    return f"""with keyed as materialized ({keyed}), lanes as materialized ({lanes}),
+        pr as (select y, n, 1.0::double as v0, x as v1 from keyed), {full},
+        wt as materialized (select rep, y * w as y, n * w as n, 1.0::double as v0, x as v1 from (
+          select *, {reached} as w from ({drawn})) where w > 0), {refit}
+        select x, count(*) as replicates, round(quantile_cont(p, 0.05), 6) as lower, round(quantile_cont(p, 0.95), 6) as upper
+        from (select x, 1 / (1 + exp(-(b0 + b1 * x))) as p from b5, (select unnest([{points}])::double as x)) group by 1"""
+
+
+def _interval_shape(df):
+    return df.select("x", "replicates", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
 
 
-@query("d8_bootstrap_ci")
+@query(
+    "d8_bootstrap_ci",
+    _bootstrap_sql(f"select l_quantity::double as x, y, n, l_quantity * 1000 + round(l_tax * 100) as key from ({_TRIALS})", [1, 25, 50]),
+)
 def d8(spark, d):
-    return D.bootstrap_ci(_trials(spark, d), "won", "n", "l_quantity", [1, 25, 50])
+    rows = _trials(spark, d).withColumn("key", (F.col("l_quantity") * 1000 + F.round(F.col("l_tax") * 100)).cast("long"))
+    return _interval_shape(D.bootstrap_ci(rows, "won", "n", "l_quantity", [1, 25, 50], key="key"))
+
+
+@query(
+    "d8_bootstrap_ci_rows",
+    _bootstrap_sql(
+        """select l_extendedprice::double / 10000 as x, case when l_returnflag = 'R' then 1.0 else 0.0 end::double as y,
+           1.0::double as n, l_orderkey * 10 + l_linenumber as key from lineitem""",
+        [1, 5, 9],
+    ),
+)
+def d8_rows(spark, d):
+    """Every row resampled, on a covariate with nearly as many values as rows."""
+    rows = table(spark, d, "lineitem").select(
+        (F.col("l_extendedprice") / 10000).alias("x"),
+        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("won"),
+        F.lit(1).alias("n"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"),
+    )
+    return _interval_shape(D.bootstrap_ci(rows, "won", "n", "x", [1, 5, 9], key="key"))
 
 
 @query("d8_bootstrap_ci_parametric")
 def d8b(spark, d):
-    return D.bootstrap_ci(_trials(spark, d), "won", "n", "l_quantity", [1, 25, 50], parametric=True)
+    rows = _trials(spark, d).withColumn("key", (F.col("l_quantity") * 1000 + F.round(F.col("l_tax") * 100)).cast("long"))
+    return D.bootstrap_ci(rows, "won", "n", "l_quantity", [1, 25, 50], parametric=True, key="key")
 
 
 _PANEL = """select o_custkey, year(o_orderdate) as yr, sum(o_totalprice) / 1000 as y, count(*) as x1,
@@ -153,10 +254,29 @@ def d9(spark, d):
     return _rounded(out, 6).drop("t")
 
 
-@query("d9_fixed_effects_with_years")
+_YEARS = [f"yr_{y}" for y in range(1996, 2002)]
+_WITHIN_YEARS = f"""select o_custkey, {', '.join(f'{c} - avg({c}) over g as v{i}' for i, c in enumerate(['x1', 'x2', *_YEARS]))},
+    y - avg(y) over g as y from (select *, {', '.join(f"case when yr = {c[3:]} then 1.0 else 0.0 end::double as {c}" for c in _YEARS)}
+    from ({_PANEL})) window g as (partition by o_custkey)"""
+
+
+def _years_sql():
+    k = len(_YEARS) + 2
+    a = ", ".join(f"sum(v{i} * v{j}) as a{i}_{j}" for i, j in pairs(k))
+    r = ", ".join(f"sum(v{i} * y) as r{i}" for i in range(k))
+    system = f"select {a}, {r}, count(*) as n, count(distinct o_custkey) as g, sum(y * y) as yy from w"
+    terms = " union all ".join(f"select {i} as i, '{t}' as term, b{i} as b, r{i} as r from s, f" for i, t in enumerate(["x1", "x2", *_YEARS]))
+    return f"""with w as materialized ({_WITHIN_YEARS}), s as materialized ({system}), f as materialized ({solve_sql('s', k)}),
+        t as materialized ({terms}), d as ({inverse_diagonal_sql('s', k)}),
+        v as (select (any_value(yy) - sum(b * r)) / (any_value(n) - any_value(g) - {k}) as s2 from t, s)
+        select term, round(b, 6) as estimate, round(sqrt(s2 * d), 6) as std_error, round(b / sqrt(s2 * d), 4) as t from t join d using (i), v"""
+
+
+@query("d9_fixed_effects_with_years", _years_sql())
 def d9b(spark, d):
     fit, _ = D.fixed_effects(panel(spark, d), "o_custkey", "y", ["x1", "x2"], "yr", range(1995, 2002))
-    return _rounded(fit.table(spark), 6)
+    out = fit.table(spark).where(F.col("term") != "(intercept)")
+    return _rounded(out, 6).withColumn("t", F.round("t", 4))
 
 
 @query("d10_pooled_ols", _terms_sql(f"({_PANEL})", "y", "x1", "x2", 6))
@@ -192,6 +312,17 @@ def d11b(spark, d):
     return _rounded(D.hc3_se(rows, fit, "y"), 6).drop("t")
 
 
+@query(
+    "d11_robust_se_arellano_hc3",
+    f"""with w as {_WITHIN1}, b as (select sum(x1 * y) / sum(x1 * x1) as b, sum(x1 * x1) as s from w),
+        g as (select sum(x1 * (y - b * x1) / (1 - x1 * x1 / s)) as u from w, b group by o_custkey)
+        select 'x1' as term, round(any_value(b), 6) as estimate, round(sqrt(sum(u * u)) / any_value(s), 6) as std_error from g, b""",
+)
+def d11c(spark, d):
+    fit, within = D.fixed_effects(panel(spark, d), "o_custkey", "y", ["x1"])
+    return _rounded(D.clustered_se(within, fit, "o_custkey", "y", leverage=True), 6).drop("t")
+
+
 _SERIES = """select 0 as one, date_trunc('month', o_orderdate)::date as month, avg(o_totalprice) / 1000 as y from orders
     where o_orderdate < timestamp '2001-07-01' group by 2"""
 _T = f"(select *, pow(t, 2) as t2, ln(y) as ly from (select y, month, (row_number() over (order by month))::double as t from ({_SERIES})))"

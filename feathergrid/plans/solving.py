@@ -23,18 +23,20 @@ def solve_sql(source: str, size: int, keys: str = "", carry: str = "") -> str:
 
 
 def newton_ctes(
-    rows: str, size: int, steps: int, link: str = "logit", keys: str = "", ridge: float = 0.0, start: str = "0.0", name: str = "b", trials: str = "1"
+    rows: str, size: int, steps: int, keys: str = "", ridge: float = 0.0, start: str = "0.0", name: str = "b", trials: str = "1",
+    first: str = "", offset: str = "",
 ) -> str:
     """CTEs ``{name}0 .. {name}{steps}``: coefficients ``b0..`` per key after each Newton step of a binomial model.
 
     ``rows`` names a relation with ``keys``, features ``v0..`` (v0 is 1), hits
-    ``y`` of ``trials``.  ``ridge`` penalises all but ``b0``.
+    ``y`` of ``trials``.  ``ridge`` penalises all but ``b0``; ``offset`` is a
+    column of the rows.  Steps begin at ``start`` for ``b0`` and 0, or at the select ``first``.
     """
     group = f" group by {keys}" if keys else ""
     lead = f"{keys}, " if keys else ""
     zero = ", ".join(f"{start if not i else '0.0'} as b{i}" for i in range(size))
-    out = [f"{name}0 as materialized (select {lead}{zero} from {rows}{group})"]
-    eta = " + ".join(f"b{i} * v{i}" for i in range(size))
+    out = [f"{name}0 as materialized ({first or f'select {lead}{zero} from {rows}{group}'})"]
+    eta = " + ".join([f"b{i} * v{i}" for i in range(size)] + [offset] * bool(offset))
     for s in range(1, steps + 1):
         prior = f"{rows} join {name}{s - 1} using ({keys})" if keys else f"{rows}, {name}{s - 1}"
         work = f"select *, {trials} / (1 + exp(-({eta}))) as mu, {trials} * exp(-({eta})) / pow(1 + exp(-({eta})), 2) as w from {prior}"
@@ -48,3 +50,27 @@ def newton_ctes(
         new = ", ".join(f"o{i} + b{i} as b{i}" for i in range(size))
         out.append(f"{name}{s} as materialized (select {lead}{new} from ({solved}))")
     return ",\n".join(out)
+
+
+def inverse_diagonal_sql(source: str, size: int) -> str:
+    """Rows ``i, d``: the diagonal of the inverse of the one system in ``source``."""
+    parts = []
+    for i in range(size):
+        unit = ", ".join(f"{float(i == j)}::double as r{j}" for j in range(size))
+        a = ", ".join(f"a{p}_{q}" for p, q in pairs(size))
+        parts.append(f"select {i} as i, b{i} as d from ({solve_sql(f'select {a}, {unit} from ({source})', size)})")
+    return " union all ".join(parts)
+
+
+def hessian_sql(rows: str, size: int, model: str, trials: str = "1", offset: str = "") -> str:
+    """The negative Hessian of a binomial model over ``rows`` at the coefficients in ``model``."""
+    eta = " + ".join([f"b{i} * v{i}" for i in range(size)] + [offset] * bool(offset))
+    a = ", ".join(f"sum(w * v{i} * v{j}) as a{i}_{j}" for i, j in pairs(size))
+    return f"select {a} from (select *, {trials} * exp(-({eta})) / pow(1 + exp(-({eta})), 2) as w from {rows}, {model})"
+
+
+def hash_sql(source: str, column: str, rounds: tuple[tuple[int, int], ...], prime: int) -> str:
+    """``source`` with a whole number in ``column`` hashed by rounds of shift, exclusive or and multiplication."""
+    for shift, factor in rounds:
+        source = f"select * replace (xor({column}, {column} >> {shift}) * {factor} % {prime} as {column}) from ({source})"
+    return source
