@@ -93,6 +93,27 @@ def f7(spark, d):
     return docs.select("doc_id", X.dictionary_replace(F.col("text"), _WORDS).alias("text"))
 
 
+#: Terms of the dictionary of phrases.
+_TERMS = 6000
+
+
+def phrase_dictionary(spark, d):
+    """Words and runs of two and three words of the benchmark texts, the longest first, each with its replacement."""
+    word = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("w")
+    rows = table(spark, d, "benchmark").select(F.posexplode(word).alias("at", "first"), word)
+    runs = F.array(*[F.array_join(F.slice("w", F.col("at") + 1, k), " ") for k in (1, 2, 3)])
+    terms = rows.select(F.explode(runs).alias("term")).where("term <> ''").distinct()
+    chosen = terms.orderBy(F.desc(F.length("term")), F.sha2("term", 256)).limit(_TERMS)  # the dictionary's size
+    return {r["term"]: f"<{r['term'][:3].upper()}>" for r in chosen.orderBy(F.desc(F.length("term")), "term").collect()}
+
+
+@query("f7_dictionary_phrases")
+def f7_phrases(spark, d):
+    """Thousands of words and phrases at once, on every text."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", X.dictionary_replace(F.col("text"), phrase_dictionary(spark, d)).alias("text"))
+
+
 @query(
     "f8_changed_flag",
     """select lang, count(*) as n, sum(case when text = trim(lower(text)) then 0 else 1 end)::bigint as changed
