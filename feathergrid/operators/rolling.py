@@ -1,13 +1,14 @@
 """Rolling sums over time ranges, safe for hot keys and long frames.
 
 A sliding frame re-reads every row of the frame for every row, and keeps one
-key in one task.  Rolling sums need neither.  Rows are first summed per (key,
-second).  A value at second ``s`` counts for rows at ``t`` in ``[s-end, s-start]``,
-so it becomes a ``+v`` event where that interval starts and a ``-v`` event after
-it ends, and a plain running total gives the rolling sum.  Time is cut into
-blocks at least as long as a frame: an interval touches at most two blocks and
-is written to each, so blocks need nothing from each other and a hot key runs
-in as many tasks as it has blocks.
+key in one task.  Rolling sums need neither.  A value at second ``s`` counts for
+rows at ``t`` in ``[s-end, s-start]``, so it becomes a ``+v`` event where that
+interval starts and a ``-v`` event after it ends.  Rows and events lie in one
+frame, and a plain running total along time gives each row its rolling sums: one
+exchange per set of keys, and no join back.  Time is cut into blocks at least as
+long as a frame: an interval touches at most two blocks and is written to each,
+so blocks need nothing from each other and a hot key runs in as many tasks as it
+has blocks.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, FractionalType
 
-from feathergrid.operators.ordered import join_groups
-
 DAY = 86_400
 HOUR = 3_600
 
@@ -35,17 +34,30 @@ def safe_frame(span: int, lead: int = 2 * HOUR) -> tuple[int, int]:
     return (-(span + lead), -lead - 1)
 
 
-def _exact(df: DataFrame, measure: Column) -> Column:
+#: Bits of the two limbs that hold a fraction; sums of 2**35 rows fit a whole number.
+LIMBS = (26, 27)
+
+
+def _limbs(df: DataFrame, measure: Column) -> list[Column]:
+    """A measure as columns whose sums are exact: itself if a whole number or decimal, else whole part and two limbs."""
     kind = df.select(measure.alias("m")).schema["m"].dataType
     if isinstance(kind, DecimalType):
-        return measure
+        return [measure]
     if not isinstance(kind, FractionalType):
-        return measure.cast("long")
-    whole = measure.isNull() | (measure == F.floor(measure))
-    return F.when(whole, measure.cast("long")).otherwise(F.raise_error(F.lit("rolling sums take whole numbers or decimals")))
+        return [measure.cast("long")]
+    value = measure.cast("double")
+    upper = (value - F.floor(value)) * float(2 ** LIMBS[0])
+    return [F.floor(value).cast("long"), F.floor(upper).cast("long"), F.floor((upper - F.floor(upper)) * float(2 ** LIMBS[1])).cast("long")]
+
+
+def _joined(limbs: list[Column]) -> Column:
+    if len(limbs) == 1:
+        return limbs[0]
+    whole, upper, lower = (c.cast("double") for c in limbs)
+    return whole + (upper + lower / float(2 ** LIMBS[1])) / float(2 ** LIMBS[0])
 
 
-def rolling_sums(
+def with_rolling(
     df: DataFrame,
     keys: Sequence[str],
     seconds: str,
@@ -53,62 +65,61 @@ def rolling_sums(
     frames: Mapping[str, tuple[int, int]],
     block_seconds: int = DAY,
 ) -> DataFrame:
-    """One row per (keys, second) with ``<measure>_<frame>`` sums of whole numbers or decimals.
+    """``df`` with ``<measure>_<frame>`` sums: rows of the same keys whose second lies in the frame around the row's.
 
     Running totals of floating-point numbers would not come back to zero, so
-    measures are summed exactly: a decimal as such, any other number as a whole
-    number, and a fraction in it stops the query.
-    A block holds at most one row per second and frame edge of its span,
-    whatever the number of rows behind it.
+    they are exact: whole numbers and decimals as such, other numbers as a whole
+    part and 53 bits of fraction (what lies below 2**-53 is cut off; infinite
+    values stop the query).  Null measures count as 0, null keys are a key, rows
+    without a second get null.
     """
     width = max([block_seconds, *[end - start + 1 for start, end in frames.values()]])
-    names = [f"{m}_{f}" for m in measures for f in frames]
+    limbs = {m: _limbs(df, e) for m, e in measures.items()}
+    moves = {(m, f, i): F.coalesce(limb, F.lit(0)) for m, cols in limbs.items() for f in frames for i, limb in enumerate(cols)}
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     t = F.col(seconds)
-    exact = {m: _exact(df, e) for m, e in measures.items()}
-    per_second = df.where(t.isNotNull()).groupBy(*keys, seconds).agg(
-        *[F.coalesce(F.sum(e), F.lit(0)).alias(f"_v_{m}") for m, e in exact.items()]
-    )
-    zeros = {m: F.lit(0).cast(per_second.schema[f"_v_{m}"].dataType) for m in measures}
-
-    def event(at: Column, block: Column, own: int, signs: Mapping[str, int]) -> Column:
-        moved = [
-            {1: F.col(f"_v_{m}"), -1: -F.col(f"_v_{m}")}.get(signs.get(f), zeros[m]).alias(f"_d_{m}_{f}")
-            for m in measures
-            for f in frames
-        ]
-        return F.struct(block.alias("block"), at.alias("at"), F.lit(own).alias("own"), *moved)
+    kinds = df.select(row.alias("row"), *[v.alias(f"v{n}") for n, v in enumerate(moves.values())]).schema
+    no_row = F.lit(None).cast(kinds["row"].dataType)
+
+    def event(at: Column, block: Column, signs: Mapping[str, int], payload: Column) -> Column:
+        """``signs`` say which frames a row's measures enter (1) or leave (-1) at that second."""
+        moved = []
+        for n, ((_, frame, _), value) in enumerate(moves.items()):
+            signed = {1: value, -1: -value}.get(signs.get(frame, 0), F.lit(0))
+            moved.append(signed.cast(kinds[f"v{n}"].dataType).alias(f"_d{n}"))
+        return F.struct(block.alias("_block"), at.alias("_at"), payload.alias("_row"), *moved)
 
     def block_of(at: Column) -> Column:
         return F.floor(at / width)
 
-    # frames that start to count at the same second share one event
+    # frames that start to count at the same second share one event; rows without a second are spread
     starts: dict[int, dict[str, int]] = {0: {}}
     for f, (_, end) in frames.items():
         starts.setdefault(-end, {})[f] = 1
-    events = [event(t + shift, block_of(t + shift), int(shift == 0), signs) for shift, signs in starts.items()]
+    own = event(t, F.coalesce(block_of(t), F.xxhash64(row)), starts.pop(0), row)
+    others = [event(t + shift, block_of(t + shift), signs, no_row) for shift, signs in starts.items()]
     for f, (start, end) in frames.items():
         first, stop = t - end, t - start + 1
         entered, left = block_of(first), block_of(stop)
         # leaves in a later block: that block starts with the value and drops it
-        events.append(F.when(left > entered, event(left * width, left, 0, {f: 1})))
-        events.append(event(stop, left, 0, {f: -1}))
-    exploded = per_second.select(*keys, F.explode(F.array(*events)).alias("e")).where("e is not null").select(*keys, "e.*")
-    so_far = W.partitionBy(*keys, "block").orderBy("at").rangeBetween(W.unboundedPreceding, 0)
-    totals = exploded.select(*keys, F.col("at").alias(seconds), "own", *[F.sum(f"_d_{n}").over(so_far).alias(n) for n in names])
-    return totals.where(F.col("own") == 1).drop("own")
-
-
-def with_rolling(
-    df: DataFrame,
-    keys: Sequence[str],
-    seconds: str,
-    measures: Mapping[str, Column],
-    frames: Mapping[str, tuple[int, int]],
-    block_seconds: int = DAY,
-) -> DataFrame:
-    """``df`` with its rolling sums; the join key (keys, second) spreads a hot key."""
-    sums = rolling_sums(df, keys, seconds, measures, frames, block_seconds)
-    return join_groups(df, sums, [*keys, seconds], "left")
+        others.append(F.when(left > entered, event(left * width, left, {f: 1}, no_row)))
+        others.append(event(stop, left, {f: -1}, no_row))
+    names = [f"_k{i}" for i in range(len(keys))]
+    listed = F.explode(F.array(own, *others)).alias("e")
+    exploded = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], listed)
+    events = exploded.where("e._at is not null or e._row is not null").select(*names, "e.*")
+    # rows that lie together by key alone, after a join say, would keep a hot key in one task
+    events = events.repartition(*names, "_block")
+    so_far = W.partitionBy(*names, "_block").orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
+    totals = events.select("_row", *[F.sum(f"_d{n}").over(so_far).alias(f"_s{n}") for n in range(len(moves))])
+    rows = totals.where("_row is not null")
+    numbered = {key: F.col(f"_s{n}") for n, key in enumerate(moves)}
+    sums = [
+        F.when(F.col(f"_row.`{seconds}`").isNotNull(), _joined([numbered[m, f, i] for i in range(len(cols))])).alias(f"{m}_{f}")
+        for m, cols in limbs.items()
+        for f in frames
+    ]
+    return rows.select("_row.*", *sums)
 
 
 def rolling_mean_of_flag(df: DataFrame, keys: Sequence[str], seconds: str, flag: Column, span: int, name: str) -> DataFrame:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feathergrid.operators.rolling import DAY, leaky_frame, rolling_sums
+from feathergrid.operators.rolling import DAY, leaky_frame, with_rolling
 from feathergrid.operators.joins import lookup
-from feathergrid.operators.ordered import join_groups
 from feathergrid.functions.timefns import epoch_seconds
 from feathergrid.plans.registry import query
 from feathergrid.session import table
@@ -34,11 +33,11 @@ def flagship(spark, d):
         epoch_seconds(F.col("l_shipdate")).alias("t"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("late"),
     )
-    # the report needs no single rows: collapse to (key, second, supplier) before joining
+    # the report needs no single rows: collapse to (key, second, supplier) first
     per_second = f.groupBy("l_partkey", "t", "l_suppkey").agg(
         F.count(F.lit(1)).alias("n"), F.sum("late").alias("late")
     )
-    rolled = rolling_sums(
+    rolled = with_rolling(
         per_second, ["l_partkey"], "t", {"late": F.col("late"), "seen": F.col("n")}, {"month": leaky_frame(30 * DAY)}
     )
     rate = F.col("late_month") / F.col("seen_month")
@@ -46,7 +45,7 @@ def flagship(spark, d):
     nations = table(spark, d, "supplier").join(
         table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey")
     ).select(F.col("s_suppkey").alias("l_suppkey"), "n_name")
-    joined = lookup(join_groups(per_second, rolled, ["l_partkey", "t"]), nations, "l_suppkey")
+    joined = lookup(rolled, nations, "l_suppkey")
     return joined.groupBy("n_name").agg(
         F.sum("n").alias("flights"),
         F.sum("late").alias("late_flights"),

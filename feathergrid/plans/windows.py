@@ -8,7 +8,6 @@ from feathergrid.operators import rolling as RO
 from feathergrid.operators import rows as R
 from feathergrid.operators import series as S
 from feathergrid.operators.joins import lookup
-from feathergrid.operators.ordered import join_groups
 from feathergrid.plans import roles
 from feathergrid.plans.registry import query
 from feathergrid.session import table
@@ -62,19 +61,17 @@ def _families_sql(frame):
 
 
 def rolling_families(spark, d, frame):
-    """All five families; families on the same key share one pass."""
+    """All five families; families on the same key share one exchange, and nothing is joined back."""
     f = roles.flights(spark, d)
     hubs = R.rank_global_label(f.groupBy("origin").agg(F.count(F.lit(1)).alias("n")), "origin", "n")
     kept = f.where(F.col("cancelled") != 1.0).select(*ID, "dest", "carrier", "dep_t", "dep_del15", "arr_del15")
     out = lookup(kept, hubs.select("origin", F.col("hub_status").alias("origin_hub_status")), "origin")
-    base = out
     frames = {s: frame(h * 3600) for s, h in SPANS.items()}
     for key in dict.fromkeys(k for k, *_ in FAMILIES):
         wanted = [(flag, what, name) for k, flag, what, name in FAMILIES if k == key]
         measures = {f"{what}_{name}": F.col(flag) for flag, what, name in wanted}
-        sums = RO.rolling_sums(base, [key], "dep_t", measures, frames)
         names = {f"{what}_{name}_{s}": f"{what}_{s}_{name}" for _, what, name in wanted for s in SPANS}
-        out = join_groups(out, sums.withColumnsRenamed(names), [key, "dep_t"], "left")
+        out = RO.with_rolling(out, [key], "dep_t", measures, frames).withColumnsRenamed(names)
     return out.select(*ID, *[f"{what}_{s}_{name}" for _, _, what, name in FAMILIES for s in SPANS])
 
 

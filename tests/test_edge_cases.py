@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import uuid
 from decimal import Decimal
 
@@ -17,6 +18,7 @@ from feathergrid.operators import joins as J
 from feathergrid.operators import regress as D
 from feathergrid.operators import rolling as RO
 from feathergrid.operators import series as S
+from feathergrid.plans.windows import rolling_families
 from feathergrid.sources import writers
 
 
@@ -38,13 +40,35 @@ def test_cumulative_return_through_total_loss_and_negative_growth(spark):
     assert got["b"] == pytest.approx([0.0, -3.0, -4.0, 2.0])
 
 
-def test_rolling_sums_are_exact_or_refuse(spark):
-    df = spark.createDataFrame([("a", 10, 0.5, Decimal("0.50")), ("a", 20, 0.75, Decimal("0.75")), (None, 20, 1.0, Decimal("0.25"))], "k string, t long, x double, y decimal(8,2)")
+def test_rolling_sums_of_decimals_and_fractions_are_exact(spark):
+    rows = [("a", 10, 0.5, Decimal("0.50")), ("a", 20, 0.75, Decimal("0.75")), (None, 20, 1.0, Decimal("0.25")), ("a", None, 1.0, None)]
+    df = spark.createDataFrame(rows, "k string, t long, x double, y decimal(8,2)")
     frames = {"w": (-60, 0)}
-    got = RO.with_rolling(df, ["k"], "t", {"y": F.col("y")}, frames).orderBy("k", "t").collect()
-    assert [r["y_w"] for r in got] == [Decimal("0.25"), Decimal("0.50"), Decimal("1.25")]  # the null key is a key
-    with pytest.raises(Exception, match="whole numbers"):
-        RO.with_rolling(df, ["k"], "t", {"x": F.col("x")}, frames).collect()
+    got = RO.with_rolling(df, ["k"], "t", {"y": F.col("y"), "x": F.col("x")}, frames).orderBy("k", "t").collect()
+    assert [r["y_w"] for r in got] == [Decimal("0.25"), None, Decimal("0.50"), Decimal("1.25")]  # the null key is a key
+    assert [r["x_w"] for r in got] == [1.0, None, 0.5, 1.25]
+
+
+def test_rolling_sums_of_fractions_come_back_to_zero(spark):
+    """Large and tiny values enter and leave; a running total of doubles would keep their rounding."""
+    rng = random.Random(2)
+    values = [(i, i * 10, rng.choice([1e15, -1e15, 0.1, -0.3, 1e-9, 123456.789])) for i in range(400)]
+    df = spark.createDataFrame(values, "id int, t long, x double").withColumn("_row", F.lit(1)).withColumn("k", F.lit("h"))
+    for r in RO.with_rolling(df, ["k"], "t", {"x": F.col("x")}, {"w": (-45, -5)}, block_seconds=100).collect():
+        inside = [v for _, t, v in values if r["t"] - 45 <= t <= r["t"] - 5]
+        assert r["x_w"] == pytest.approx(math.fsum(inside), rel=1e-15, abs=1e-14)
+
+
+def test_rolling_families_need_one_exchange_per_key(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rolling_families(spark, sf_dir, RO.leaky_frame)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == 1 and plan.count("Window [") == 4  # the join looks up the hub status
+        text = rolling_families(spark, sf_dir, RO.leaky_frame)._jdf.queryExecution().executedPlan().toString()
+        own = [line for line in text.splitlines() if "Exchange hashpartitioning" in line and "_block" in line]
+        assert len(own) == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_verified_checkpoint_with_null_category(spark, tmp_path):
