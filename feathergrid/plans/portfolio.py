@@ -97,13 +97,13 @@ def _shape(df):
     return df.select(
         F.col("start_date").cast("string").alias("start_date"),
         F.col("datadate").cast("string").alias("datadate"),
-        (F.round("average", 8) + 0.0).alias("average"),
-        (F.round("cumulative", 8) + 0.0).alias("cumulative"),
+        (F.round("average", 6) + 0.0).alias("average"),
+        (F.round("cumulative", 6) + 0.0).alias("cumulative"),
     )
 
 
 _SHAPE = """select cast(start_date as varchar) as start_date, cast(datadate as varchar) as datadate,
-    round(average, 8) + 0.0 as average, round(cumulative, 8) + 0.0 as cumulative"""
+    round(average, 6) + 0.0 as average, round(cumulative, 6) + 0.0 as cumulative"""
 
 
 @query("b3o_pick_returns", f"with {CTES} {_SHAPE} from own")
