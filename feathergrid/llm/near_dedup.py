@@ -9,13 +9,12 @@ and two coordinates agree with the probability of weighted Jaccard similarity.
 Only darts of the first ranks are thrown, about k log k per document, and more
 while a coordinate is still empty.
 
-Equal shingle sets become one node.  Nodes meet in bands of the signature; in
-each band a few centres are compared with the band's other nodes, exactly, and
-linked nodes merge.  Before that, nodes are passed over whose sizes, less what no
-other node has, rule the similarity out.  A centre that has been compared with all nodes outside its
-component leaves the band, and a band whose nodes are all in one component is
-done; so in the end every pair in a band was compared or is already connected,
-without writing down all pairs of a large group.
+Equal shingle sets become one node.  Nodes meet in bands of the signature.  A
+band's centre is compared with the band's other nodes, exactly, and linked nodes
+merge.  Bands that still hold several components are cut into chunks of bounded
+size; a task holds one chunk of the nodes outside the band's largest component
+and one chunk of all its nodes, and writes links only, never pairs.  So in the
+end every pair in a band was compared or is already connected.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, fresh_name, mix, uniform, words_of, written
@@ -37,7 +36,8 @@ COORDINATES = 128
 ROWS_PER_BAND = 4
 #: A table of nodes up to this many rows (a long each) is sent to all executors, a larger one is shuffled.
 SMALL_NODES = 200_000
-_MORE_CENTRES, _CENTRE_GROWTH = 8, 8
+#: Elements of one chunk of a band on either side of a comparison (8 bytes each).
+CHUNK_ELEMENTS = 1 << 20
 
 _ODD = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -164,7 +164,10 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, weight
     smallest ``doc_id`` of the class, and exactly one row with it is ``kept``
     (the first by ``row``, the place in the table; null ids come last).  Null
     texts and texts without words are like no other: each is a class of its own.
-    A text of fewer than five words is one shingle.  ``documents`` must be a
+    A text of fewer than five words is one shingle; long texts are read whole, and
+    a task holds the sets of about ``CHUNK_ELEMENTS`` shingles a side.  Repeated
+    rows are rows of one class, an empty table gives no rows, further columns play
+    no part whatever their names.  ``documents`` must be a
     table that reads the same each time; if it is not, the job stops.
     """
     row = fresh_name(documents, "row")
@@ -197,29 +200,9 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, weight
     live = live.join(centre.select("band", F.col("c.node").alias("node")), ["band", "node"], "left_anti")
     live = written(_open(live, roots), "open-bands")
 
-    # Further rounds where a band holds several components: more centres each time.
-    places = live.groupBy("node").agg(F.array_sort(F.collect_list("band")).alias("common"))  # at most all bands of a signature
-    places, centres = written(places, "places"), _MORE_CENTRES
-    while live.limit(1).count():
-        order = Window.partitionBy("band").orderBy(F.xxhash64("node"), "node")
-        member = written(live.join(_hopeful(live, sets, similarity), "node").join(places, "node"), "members")
-        chosen = member.withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres)
-        chosen = written(chosen, "centres")
-        mine = written(member.join(chosen.select("band", "node", "k"), ["band", "node"], "left"), "ranked")
-        a, b = mine.alias("a"), chosen.alias("b")
-        # No pair is lost by these: sizes of linked sets are alike, what only one set has is in no intersection, a
-        # pair that shares several bands is compared in the first of them, and two centres are compared once.
-        likely = _alike("a.n", "b.n", similarity)
-        likely &= F.least("a.s", "b.s") * (1 + similarity) >= similarity * (F.col("a.n") + F.col("b.n")) - 1e-9
-        once = F.array_min(F.array_intersect("a.common", "b.common")) == F.col("a.band")
-        once &= F.col("a.k").isNull() | (F.col("a.k") < F.col("b.k"))
-        pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & likely & once)
-        found = written(_verified(_ordered(pairs, "a.node", "b.node"), sets, similarity), "verified")
-        links = links.union(found)
-        roots = components(links)
-        live = mine.where("k IS NULL").select("band", "node", "n")
-        live = written(_open(live, roots), "open-bands")
-        centres *= _CENTRE_GROWTH
+    # What the centres left open.
+    links = links.union(written(_block_links(live, sets, similarity), "block-links"))
+    roots = components(links)
 
     rooted = written(nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class")), "classes")
     classed = sketch.select(row, "doc_id", "digest").join(rooted, "digest", "left").select(
@@ -252,26 +235,124 @@ def _open(live: DataFrame, roots: DataFrame) -> DataFrame:
     return member.join(written(still, "bands-of-several"), "band")
 
 
-def _hopeful(live: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``node, s``: how many of a node's elements another of these nodes has too, for nodes with enough of them.
+def _block_links(live: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links that connect what can be connected inside each band of ``live`` (``band, node, n, root``).
 
-    No other node has the rest, so the similarity to any of them is at most s / n.
-    What a hopeless node shares then counts no more, which the next passes see.
+    A pair of different components has a node outside the largest, so only
+    chunks of such nodes meet the chunks of all.  Small bands share a task.
     """
-    nodes = written(live.select("node", "n").distinct(), "open-nodes")
-    for _ in range(2):
-        nodes = written(_with_shared(nodes.select("node", "n"), sets, similarity), "hopeful-nodes")
-    return _with_shared(nodes.select("node", "n"), sets, similarity).select("node", "s")
-
-
-def _with_shared(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    mine = sets.join(nodes, "node")
-    every = mine.select("node", F.explode("elements").alias("e"))
-    single = every.groupBy("e").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
-    own = single.groupBy("node").agg(F.count("*").alias("own"))
-    sized = mine.select("node", "n", F.size("elements").alias("size")).join(own, "node", "left")
-    sized = sized.select("node", "n", (F.col("size") - F.coalesce("own", F.lit(0))).cast("double").alias("s"))
-    return sized.where(F.col("s") >= similarity * F.col("n") - 1e-9)
+    weights = live.groupBy("band", "root").agg(F.sum("n").alias("n"))
+    total, most = F.sum("n").alias("total"), F.max("n").alias("most")
+    bands_ = weights.groupBy("band").agg(total, most, F.max_by("root", F.struct("n", "root")).alias("major"))
+
+    def chunks(elements: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(elements / CHUNK_ELEMENTS)).cast("int")
+
+    shape = written(bands_.select("band", "major", chunks(F.col("total")).alias("wide"), chunks(F.col("total") - F.col("most")).alias("high"), "total"), "band-shapes")
+    bins = int(shape.agg(F.sum("total")).first()[0] or 0) // CHUNK_ELEMENTS + 1
+    bins = max(bins, int(live.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Bands of one chunk share a task; a larger band has tasks of its own.
+    lane = F.when((F.col("wide") == 1) & (F.col("high") == 1), F.pmod(F.xxhash64("band"), F.lit(bins))).otherwise(F.xxhash64("band"))
+    places = live.groupBy("node").agg(F.array_sort(F.collect_list("band")).alias("common"))  # at most all bands of a signature
+    known = sets.select("node", "elements").join(places, "node")
+    member = live.select("band", "node", "root").join(shape, "band").join(known, "node")
+
+    def side(rows: DataFrame, own: str, other: str, mine: str, yours: str) -> DataFrame:
+        """Rows with the cell they take part in: their own chunk, and each of the other side's."""
+        return rows.select(
+            lane.alias("lane"),
+            F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias(mine),
+            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(yours),
+            "band", "node", "root", (F.col("root") == F.col("major")).alias("inside"), "common", "elements",
+        )
+
+    few, all_ = side(member.where("root <> major"), "high", "wide", "i", "j"), side(member, "wide", "high", "j", "i")
+    few = few.toDF(*[f"x_{c}" for c in few.columns])  # both sides come from the same rows
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        x = x.rename_columns([c.removeprefix("x_") for c in x.column_names])
+        found = _Cell(x, y, similarity).links() if x.num_rows and y.num_rows else []
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    cell = ["lane", "i", "j"]
+    return few.groupBy(*[f"x_{c}" for c in cell]).cogroup(all_.groupBy(*cell)).applyInArrow(compare, "a long, b long")
+
+
+class _Cell:
+    """The nodes of one task: ``x`` are compared with ``y``, band by band."""
+
+    def __init__(self, x: pa.Table, y: pa.Table, similarity: float):
+        self.similarity = similarity
+        (self.x_band, self.x_node, self.x_root, _), (self.y_band, self.y_node, self.y_root, self.y_inside) = (
+            [t[c].to_numpy() for c in ("band", "node", "root", "inside")] for t in (x, y)
+        )
+        (self.x_common, self.x_at), (self.y_common, self.y_at) = (self._lists(t["common"]) for t in (x, y))
+        (x_flat, self.x_from), (y_flat, self.y_from) = (self._lists(t["elements"]) for t in (x, y))
+        # elements as small numbers, so that "has it" is a look-up
+        known, small = np.unique(np.concatenate([x_flat, y_flat]), return_inverse=True)
+        self.x_flat, self.y_flat = small[: len(x_flat)], small[len(x_flat) :]
+        self.has = np.zeros(len(known), dtype=bool)
+
+    @staticmethod
+    def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        lists = column.combine_chunks()
+        offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+        return lists.flatten().to_numpy(), offsets
+
+    def links(self) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        x_order, y_order = np.argsort(self.x_band, kind="stable"), np.argsort(self.y_band, kind="stable")
+        for band in np.unique(self.x_band):
+            x, y = (
+                order[np.searchsorted(of[order], band, "left") : np.searchsorted(of[order], band, "right")]
+                for order, of in ((x_order, self.x_band), (y_order, self.y_band))
+            )
+            out += self._band(band, x, y)
+        return out
+
+    def _band(self, band: int, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+        """Links between ``x`` and ``y`` that join components; pairs of an earlier common band are left to it."""
+        out: list[tuple[int, int]] = []
+        sizes = np.diff(self.y_from)[y]
+        flat = np.concatenate([self.y_flat[self.y_from[k] : self.y_from[k + 1]] for k in y])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        earlier: dict[int, list[int]] = {}
+        for at, k in enumerate(y):
+            for other in self.y_common[self.y_at[k] : self.y_at[k + 1]]:
+                if other >= band:
+                    break
+                earlier.setdefault(int(other), []).append(at)
+        label = self.y_root[y].copy()
+        became: dict[int, int] = {}
+
+        def component(r: int) -> int:
+            while r in became:
+                became[r] = r = became.get(became[r], became[r])
+            return r
+
+        node, inside, s = self.y_node[y], self.y_inside[y], self.similarity
+        for k in x:
+            mine, root = self.x_flat[self.x_from[k] : self.x_from[k + 1]], component(int(self.x_root[k]))
+            size = len(mine)
+            may = (label != root) & (inside | (node > self.x_node[k]))
+            may &= np.minimum(sizes, size) >= s * np.maximum(sizes, size) - 1e-9
+            for other in self.x_common[self.x_at[k] : self.x_at[k + 1]]:
+                if other >= band:
+                    break
+                if int(other) in earlier:
+                    may[earlier[int(other)]] = False
+            if not may.any():
+                continue
+            self.has[mine] = True
+            common = np.add.reduceat(self.has[flat], starts, dtype=np.int64)
+            self.has[mine] = False
+            for at in np.flatnonzero(may & (common >= s * (sizes + size - common) - 1e-9)):
+                if label[at] != root:
+                    out.append((int(min(self.x_node[k], node[at])), int(max(self.x_node[k], node[at]))))
+                    gone = int(label[at])
+                    label[label == gone] = became[gone] = root
+        return out
 
 
 def _same_rows(sets: DataFrame, nodes: DataFrame) -> None:

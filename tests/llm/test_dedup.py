@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from feathergrid.llm import exact_dedup, near_dedup, substring_dedup
-from feathergrid.llm.common import mix
+from feathergrid.llm.common import mix, written
 
 LAST = 1 << 63
 
@@ -226,3 +226,40 @@ def test_equal_windows_have_equal_anchors():
     offset = np.repeat(anchor, last - first + 1) - np.arange(len(mixed) - 49)
     assert (offset[100:251] == offset[2500:2651]).all()
     assert (offset >= 10).all() and (offset <= 40).all()
+
+
+def roughly_alike(n, words=60, changed=6, seed=9):
+    """Copies of one text, each with a few words of its own: some pairs reach the threshold, most do not."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    texts = []
+    for k in range(n):
+        own = list(base)
+        for at in rng.sample(range(words), rng.randint(0, changed)):
+            own[at] = f"o{k}_{at}"
+        texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("chunk", [near_dedup.CHUNK_ELEMENTS, 3000])
+def test_near_classes_of_a_large_rough_group(spark, monkeypatch, chunk):
+    """All pairs that reach the similarity are connected, whatever the size of the chunks."""
+    monkeypatch.setattr(near_dedup, "CHUNK_ELEMENTS", chunk)
+    texts = roughly_alike(300) + roughly_alike(5, seed=3, words=45)
+    docs = written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), "rough")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    assert got == {i: top(i) for i in range(len(texts))}
+    assert 5 < len(set(got.values())) < 300
