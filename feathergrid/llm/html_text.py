@@ -30,6 +30,8 @@ PHRASE_PAGES = 5
 #: Rules of up to this many bytes altogether are sent to all executors; more are joined by a shuffle.
 SMALL_RULES = 8_000_000
 SALTS = 64
+#: Blocks nested deeper than this lie side by side in the deepest one kept, as browsers do; no text is lost.
+MAX_DEPTH = 200
 
 # HTML's element classes.
 VOID = set("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
@@ -73,10 +75,20 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Element:
     """A block element: its signature, whether it is marked as noise, and its children (elements and texts)."""
 
-    __slots__ = ("name", "sig", "noise", "children", "inline")
+    __slots__ = ("name", "sig", "noise", "children", "inline", "depth", "dead", "shares")
 
     def __init__(self, name: str, sig: str, noise: bool, inline: bool = False):
         self.name, self.sig, self.noise, self.inline, self.children = name, sig, noise, inline, []
+        self.depth, self.dead, self.shares = 0, noise, False
+
+    def add(self, child: Element) -> None:
+        """``child`` as the last one; too deep, it writes into this element's list behind a break."""
+        child.depth, child.dead = self.depth + 1, self.dead or child.noise
+        if self.depth < MAX_DEPTH or child.noise and not self.dead:
+            self.children.append(child)
+        else:
+            self.children.append(Element("", "", False))
+            child.depth, child.children, child.shares = self.depth, self.children, True
 
 
 def _marked(attr: str) -> tuple[str, bool]:
@@ -98,6 +110,13 @@ def parse(html: str) -> Element:
     """The page's blocks.  Texts are ``(raw text, in a link)``; missing, stray and unclosed tags are tolerated."""
     root = Element("html", "html", False)
     stack, links, at = [root], 0, 0
+
+    def close(k: int) -> None:
+        shared = any(e.shares and not e.inline for e in stack[k:])
+        del stack[k:]
+        if shared:
+            stack[-1].children.append(Element("", "", False))  # a block has ended
+
     for m in _TOKEN.finditer(html):
         if m.start() > at:
             stack[-1].children.append((html[at : m.start()], links > 0))
@@ -113,7 +132,7 @@ def parse(html: str) -> Element:
                 links = max(0, links - 1)
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
-                    del stack[k:]
+                    close(k)
                     break
                 if name in INLINE and not stack[k].inline:
                     break
@@ -127,17 +146,17 @@ def parse(html: str) -> Element:
             links += name == "a" and not m["attr"].endswith("/")
             if noise and name != "a":
                 part = Element(name, name + sig, True, True)
-                stack[-1].children.append(part)
+                stack[-1].add(part)
                 stack.append(part)
             continue
         while len(stack) > 1 and (stack[-1].inline or name in CLOSED_BY.get(stack[-1].name, ())):
-            stack.pop()
+            close(len(stack) - 1)
         links = 0
         noise = (noise and name not in ("article", "main")) or name in DROPPED
         if name == "header" and not any(e.name in ("article", "main") for e in stack):
             noise = True
         part = Element(name, name + sig, noise)
-        stack[-1].children.append(part)
+        stack[-1].add(part)
         if not m["attr"].endswith("/"):
             stack.append(part)
     if at < len(html):
@@ -218,23 +237,43 @@ def align(a: list[list], b: list[list], within: bool = False) -> list[list]:
     if [x[_SIG] for x in a] == [x[_SIG] for x in b]:
         return [_merge(x, y, within) for x, y in zip(a, b)]
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][_SIG] == b[j][_SIG] else max(best[i + 1][j], best[i][j + 1])
+    steps = _common(a, b)
+
+    def best(i: int, j: int) -> int:
+        """Most items that a[i:] and b[j:] have in common in order."""
+        return (steps[i] >> j).bit_count()
+
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][_SIG] == b[j][_SIG]:
             out.append(_merge(a[i], b[j], within))
             i, j = i + 1, j + 1
         else:
-            take_a = j >= m or (i < n and best[i + 1][j] >= best[i][j + 1])
+            take_a = j >= m or (i < n and best(i + 1, j) >= best(i, j + 1))
             item = a[i] if take_a else b[j]
             i, j = (i + 1, j) if take_a else (i, j + 1)
             out.append([*item[:_OPT], True, *item[_OPT + 1 :]])
     return _fold_alike(out)
 
 
+def _common(a: list[list], b: list[list]) -> list[int]:
+    """For each i, bits j where the longest common subsequence of a[i:] and b[j:] is one more than that of b[j+1:].
+
+    A row of the table is one whole number, computed with a few operations on it.
+    """
+    m = len(b)
+    full, where = (1 << m) - 1, {}
+    for j, item in enumerate(b):
+        # reversed, so that carries run from the end of b to its front
+        where[item[_SIG]] = where.get(item[_SIG], 0) | 1 << (m - 1 - j)
+    row, rows = full, [0]
+    for item in reversed(a):
+        match = row & where.get(item[_SIG], 0)
+        row = ((row + match) | (row - match)) & full
+        rows.append(int(f"{~row & full:0{m}b}"[::-1], 2) if m else 0)
+    return rows[::-1]
+
+
 def _fold_alike(kids: list[list]) -> list[list]:
     """After an alignment: optional items of one shape side by side are one repeated item."""
     out: list[list] = []
@@ -420,6 +459,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     and blocks are joined by line feeds in page order.  A null or empty page, or
     one without text, gives an empty text.  Repeated pages give equal texts; an
     empty table gives no rows.  Pages without a host are each their own wrapper.
+    Pages are read whole, however long; blocks nested deeper than ``MAX_DEPTH``
+    are taken side by side.  Further columns are left out.
     """
     pages = own_names(pages, "page_id", "url", "html")
     found = written(infer(pages), "host-rules")

@@ -389,3 +389,32 @@ def test_differencing_is_near_equal_and_complete():
         assert max(sums) - min(sums) <= 60 or windows == 1
     assert [sorted(w) for w in packing.fill([3, 3, 3], 5)] and len(packing.fill([3, 3, 3], 5)) == 3  # the count rises
     assert packing.difference([], 3) == []
+
+
+@pytest.mark.parametrize("depth", [100, 900, 50_000])
+def test_html_nested_to_any_depth(depth):
+    page = "<article>" + "<div>" * depth + "<p>deep  text</p>tail" + "</div>more</article>"
+    assert html_text.extract(page, None) == "deep text\ntail\nmore"
+    every = html_text.extract("<article>" + "".join(f"<div>x{i}" for i in range(depth)) + "</div>y" * depth + "</article>", None)
+    assert every.split("\n") == [*[f"x{i}" for i in range(depth)], *["y"] * depth]
+    gone = "<article>" + "<nav>" * depth + "gone<div>gone" + "</nav>" * depth + "<p>stays</p></article>"
+    assert html_text.extract(gone, None) == "stays"
+
+
+def test_html_deep_pages_through_spark(spark):
+    deep = ["".join(f"<div>w{i} of {k}" for i in range(1200)) for k in range(6)]  # never closed
+    pages = [(k, "https://deep.example/x", f"<main><p>page {k}</p>{deep[k]}") for k in range(6)]
+    rows = html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(rows) == 6 and all(f"page {r['page_id']}" in r["text"] and f"w1199 of {r['page_id']}" in r["text"] for r in rows)
+
+
+def test_html_alignment_keeps_a_longest_common_order():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = (["abcdef"[rng.randrange(6)] for _ in range(rng.randint(0, 9))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        steps = html_text._common([[x] for x in a], [[x] for x in b])
+        assert [[(steps[i] >> j).bit_count() for j in range(len(b) + 1)] for i in range(len(a) + 1)] == best
