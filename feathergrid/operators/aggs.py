@@ -6,9 +6,12 @@ import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feathergrid.operators.blocks import array_sums
 from feathergrid.operators.ordered import exact_percentiles, join_groups, value_counts_running
 
 # the quantiles a column summary reports
@@ -96,16 +99,40 @@ def group_moments(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
 
 
 def corr_pairs(df: DataFrame, cols: Sequence[str], fill: float | None = 0.0) -> DataFrame:
-    """Long Pearson matrix ``(f1, f2, r)`` of all column pairs from one aggregate; nulls become ``fill``."""
-    filled = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    if fill is not None:
-        filled = filled.na.fill(fill)
-    pairs = list(combinations(cols, 2))
-    wide = filled.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [
-        F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)
-    ]
-    return wide.select(F.inline(F.array(*rows)))
+    """Long Pearson matrix ``(f1, f2, r)`` of all column pairs; nulls become ``fill``.
+
+    One pass for the means, one for the cross products of the centred columns as
+    matrix products of blocks of rows, whatever the number of columns.  Without
+    ``fill`` a pair counts the rows that have both.  A column without variance has
+    no correlation (null).  The driver holds a few numbers per pair.
+    """
+    k = len(cols)
+    data = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    data = data.na.fill(fill) if fill is not None else data
+    found = data.agg(*[F.avg(F.nanvl(f"c{i}", F.lit(None).cast("double"))) for i in range(k)]).first() or []
+    means = np.array([m or 0.0 for m in found])
+
+    def make():
+        total = np.zeros((k, 4 * k))
+
+        def add(batch: pa.RecordBatch | None):
+            if batch is None:
+                return dict(enumerate(total))
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) - means
+            has = ~np.isnan(x)
+            x, has = np.where(has, x, 0.0), has.astype(np.float64)
+            total[:] += np.hstack([has.T @ has, x.T @ has, (x * x).T @ has, x.T @ x])
+
+        return add
+
+    rows = array_sums(data, make)
+    n, sums, squares, products = np.hsplit(np.stack([rows.get(i, np.zeros(4 * k)) for i in range(k)]), 4)
+    seen = np.maximum(n, 1)
+    spread = squares - sums * sums / seen
+    both = spread * spread.T
+    r = np.divide(products - sums * sums.T / seen, np.sqrt(both), out=np.full((k, k), np.nan), where=both > 0)
+    listed = [(a, b, float(r[i, j]) if r[i, j] == r[i, j] else None) for (i, a), (j, b) in combinations(enumerate(cols), 2)]
+    return df.sparkSession.createDataFrame(listed, "f1 string, f2 string, r double")
 
 
 def high_corr_pairs(pairs: DataFrame, above: float = 0.7) -> DataFrame:

@@ -41,11 +41,16 @@ def pick_top_k(scores: DataFrame, prices: DataFrame, k: int = PICKS, hold: int =
     """``scores(month, ticker, probability)`` to ``(start_date, ticker, probability, pick)``.
 
     A cohort starts the month after its score; a ticker needs a price while held.
+    Each ticker has one row with the months it has prices in (the calendar bounds
+    it), so a score meets one row and no score is copied per month.
     """
-    months = prices.select(F.col("tic").alias("ticker"), F.trunc("datadate", "month").alias("_month")).distinct()
-    dated = scores.withColumn("start_date", F.add_months(F.col("month"), 1)).drop("month")
-    priced = holding_months(dated, "start_date", hold).join(months, ["ticker", "_month"], "left_semi")
-    known = priced.drop("_month").distinct()
+    month = (F.year("datadate") * 12 + F.month("datadate")).alias("m")
+    months = prices.select(F.col("tic").alias("ticker"), month).distinct()
+    present = months.groupBy("ticker").agg(F.collect_list("m").alias("_months"))
+    start = F.add_months(F.col("month"), 1)
+    dated = scores.withColumn("start_date", start).withColumn("_m", F.year(start) * 12 + F.month(start)).drop("month")
+    held = F.exists("_months", lambda m: (m >= F.col("_m")) & (m < F.col("_m") + hold))
+    known = dated.join(present, "ticker").where(held).drop("_months", "_m").distinct()
     return top_k_per_group(known, ["start_date"], "ticker", "probability", k)
 
 

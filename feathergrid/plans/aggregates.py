@@ -165,6 +165,27 @@ def a13(spark, d):
     return pairs(spark, d).withColumn("r", F.round("r", 6))
 
 
+#: 64 components, their squares and two more: the width of the published feature table.
+_WIDE = 130
+
+
+@query(
+    "a13_corr_matrix_wide",
+    """with e as (select vec_id, embedding::double[] as v, label from embeddings),
+       c as materialized (select vec_id, unnest(range(130)) as i,
+         unnest(list_concat(list_concat(v, list_transform(v, lambda x: x * x)), [label::double, (vec_id % 10)::double])) as x from e)
+       select 'c' || a.i as f1, 'c' || b.i as f2, round(corr(a.x, b.x), 6) as r
+       from c a join c b on a.vec_id = b.vec_id and a.i < b.i group by a.i, b.i""",
+)
+def a13_wide(spark, d):
+    """All pairs of 130 columns."""
+    e = table(spark, d, "embeddings")
+    v = [F.col("embedding")[i].cast("double") for i in range(64)]
+    wide = [*v, *[x * x for x in v], F.col("label"), F.col("vec_id") % 10]
+    rows = e.select(*[x.alias(f"c{i}") for i, x in enumerate(wide)])
+    return A.corr_pairs(rows, [f"c{i}" for i in range(_WIDE)]).withColumn("r", F.round("r", 6))
+
+
 @query(
     "a14_high_corr_pairs",
     f"with base as ({_CORR_SQL}), p as ({_PAIRS_SQL}) select f1, f2, round(r, 6) as r from p where abs(r) > 0.7",

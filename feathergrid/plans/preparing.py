@@ -301,11 +301,11 @@ def m23(spark, d):
 _FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 
-def _permuted_sql(feature, seed):
-    h = "md5('{s}:' || event_id::varchar)"
-    return f"""select r.y, r.value, r.k, x.{feature} as shuffled from (select *, row_number() over (order by
-        {h.format(s=seed)}, event_id) as rn from base) r join (select {feature}, row_number() over (order by
-        {h.format(s=seed + 1)}, event_id) as rn from base) x using (rn)"""
+def _permuted_sql(feature, seed, j, k):
+    """Rows in hash order; the feature comes from the row a fixed share of all rows further on."""
+    order = f"row_number() over (order by md5('{seed}:' || event_id::varchar), event_id) - 1"
+    return f"""select r.y, r.value, r.k, x.{feature} as shuffled from (select *, {order} as rn, count(*) over () as n from base) r
+        join (select {feature}, {order} as rn from base) x on x.rn = (r.rn + greatest(1, {j + 1} * r.n // {k + 1})) % r.n"""
 
 
 def _rule(value, k):
@@ -320,9 +320,9 @@ _BASE = """base as materialized (select event_id, value, json_extract(props, '$.
     "m24_permutation_importance",
     f"""with {_BASE}, b as (select avg(({_rule('value', 'k')} = y)::integer) as a from base)
         select 'value' as feature, round((select a from b) - avg(({_rule('shuffled', 'k')} = y)::integer), 6) as importance
-        from ({_permuted_sql('value', 5)})
+        from ({_permuted_sql('value', 5, 0, 2)})
         union all select 'k', round((select a from b) - avg(({_rule('value', 'shuffled')} = y)::integer), 6)
-        from ({_permuted_sql('k', 7)})""",
+        from ({_permuted_sql('k', 5, 1, 2)})""",
 )
 def m24(spark, d):
     k = F.get_json_object("props", "$.k").cast("double")
