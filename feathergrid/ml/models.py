@@ -8,10 +8,12 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 from feathergrid.functions.columns import sigmoid
 from feathergrid.ml import evaluate as E
 from feathergrid.ml.prep import TimeSeriesCrossValidator
+from feathergrid.operators.blocks import array_sums
 from feathergrid.operators.rows import dense_row_id
 from feathergrid.session import cut_lineage
 
@@ -83,10 +86,125 @@ def param_grid(estimator: Estimator, grid: Mapping[str, Sequence]) -> list:
     return builder.build()
 
 
-def random_search(grid: Mapping[str, Sequence], n_iter: int, seed: int = SEED) -> list[dict]:
-    """n_iter distinct seeded draws from the full grid."""
-    full = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
-    return random.Random(seed).sample(full, min(n_iter, len(full)))
+@dataclass(frozen=True)
+class Uniform:
+    """Draws from ``[low, low + width)``."""
+
+    low: float
+    width: float
+
+    def draw(self, rng: random.Random) -> float:
+        return self.low + self.width * rng.random()
+
+
+@dataclass(frozen=True)
+class LogUniform:
+    """Draws whose logarithm is uniform between those of ``low`` and ``high``."""
+
+    low: float
+    high: float
+
+    def draw(self, rng: random.Random) -> float:
+        return math.exp(rng.uniform(math.log(self.low), math.log(self.high)))
+
+
+# fixed values: the published search space of boosted trees, in the terms of this library
+BOOSTED_SPACE: dict[str, Uniform | LogUniform | list] = {
+    "stepSize": Uniform(0.01, 0.25),
+    "featureSubsetStrategy": ["0.4", "0.5", "0.6", "0.7", "0.8", "0.9"],
+    "maxIter": [100, 500, 1000, 2000],
+    "maxDepth": [3, 5, 6, 10],
+}
+
+
+def random_search(space: Mapping[str, Uniform | LogUniform | Sequence], n_iter: int, seed: int = SEED) -> list[dict]:
+    """``n_iter`` distinct seeded draws; each parameter has a distribution or a list of values.
+
+    Raises if the space is all lists and holds fewer than ``n_iter`` maps.
+    """
+    lists = [list(v) for v in space.values() if not hasattr(v, "draw")]
+    if len(lists) == len(space):
+        full = [dict(zip(space, values, strict=True)) for values in product(*lists)]
+        if len(full) < n_iter:
+            raise ValueError(f"the space has {len(full)} maps, fewer than {n_iter}")
+        return random.Random(seed).sample(full, n_iter)
+    rng, drawn = random.Random(seed), {}
+    while len(drawn) < n_iter:
+        one = {name: v.draw(rng) if hasattr(v, "draw") else rng.choice(list(v)) for name, v in space.items()}
+        drawn.setdefault(tuple(one.items()), one)
+    return list(drawn.values())
+
+
+def logistic_search(
+    train: DataFrame, test: DataFrame, label: str, inputs: Sequence[str], draws: Sequence[Mapping[str, float]], steps: int = 8
+) -> DataFrame:
+    """``draw, penalty, positive_weight, accuracy, loss``: ridge logistic models of all draws, fitted together.
+
+    A draw has a ``penalty`` (times the squared slopes, halved, next to the mean
+    loss) and a ``positive_weight`` (of rows with label 1).  Inputs are scaled by
+    mean and deviation of the training rows.  A Newton step of all draws is one
+    aggregate; so are all scores on ``test``.  Rows with nulls take no part.
+    """
+    cols = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(inputs)]
+    rows, held = (df.select(F.col(label).cast("double").alias("y"), *cols).na.drop() for df in (train, test))
+    stats = rows.agg(F.count(F.lit(1)), *[f(f"x{i}") for i in range(len(cols)) for f in (F.avg, F.stddev_samp)]).first()
+    n, centre, scale = stats[0], np.array(stats[1::2], dtype=float), np.array([s or 1.0 for s in stats[2::2]])
+    size, many = len(cols) + 1, len(draws)
+    penalty = np.array([d["penalty"] for d in draws]) * n
+    weight = np.array([d["positive_weight"] for d in draws], dtype=float)
+    inner = np.triu_indices(size)
+
+    def design(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        y, *xs = (c.to_numpy() for c in batch.columns)
+        return y[:, None], np.column_stack([np.ones(len(y)), (np.stack(xs, axis=1) - centre) / scale])
+
+    def newton(beta: np.ndarray):
+        def make():
+            total = np.zeros((many, size + len(inner[0])))
+
+            def add(batch: pa.RecordBatch | None):
+                if batch is None:
+                    return dict(enumerate(total))
+                y, x = design(batch)
+                p = 1 / (1 + np.exp(-(x @ beta.T)))
+                w = np.where(y > 0.5, weight, 1.0)
+                total[:, :size] += (x.T @ (w * (y - p))).T
+                total[:, size:] += ((x[:, inner[0]] * x[:, inner[1]]).T @ (w * p * (1 - p))).T
+
+            return add
+
+        return make
+
+    def judged(beta: np.ndarray):
+        def make():
+            total = np.zeros((many, 3))
+
+            def add(batch: pa.RecordBatch | None):
+                if batch is None:
+                    return dict(enumerate(total))
+                y, x = design(batch)
+                eta = x @ beta.T
+                total[:, 0] += len(y)
+                total[:, 1] += ((eta >= 0) == (y > 0.5)).sum(axis=0)
+                total[:, 2] += (np.logaddexp(0, eta) - y * eta).sum(axis=0)
+
+            return add
+
+        return make
+
+    beta, free = np.zeros((many, size)), np.array([0.0] + [1.0] * (size - 1))
+    for _ in range(steps):
+        sums = array_sums(rows, newton(beta))
+        for r in range(many):
+            hessian = np.zeros((size, size))
+            hessian[inner] = hessian.T[inner] = sums[r][size:]
+            beta[r] += np.linalg.solve(hessian + penalty[r] * np.diag(free), sums[r][:size] - penalty[r] * free * beta[r])
+    found = array_sums(held, judged(beta))
+    table = []
+    for r, d in enumerate(draws):
+        seen, right, loss = found.get(r, np.zeros(3))
+        table.append((r, float(d["penalty"]), float(weight[r]), float(right / seen) if seen else None, float(loss / seen) if seen else None))
+    return train.sparkSession.createDataFrame(table, "draw int, penalty double, positive_weight double, accuracy double, loss double")
 
 
 def all_maps(kind: str) -> list[dict]:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feathergrid.functions.geo import haversine_km
+from feathergrid.session import cut_lineage
 
 
 def left_multi_key(left: DataFrame, right: DataFrame, on: Sequence[str], suffix: str = "_right") -> DataFrame:
@@ -121,70 +122,103 @@ def asof_join_all_ties(
     return matched.join(reports, [*keys, "_s"], "inner").drop("_s")
 
 
-# The unit sphere is cut into cubes; level 0 has edge 2, each further level a quarter of it (about 3 km at level 6).
-SPHERE_LEVELS = 6
+# Points of a cube that is cut no further.
+LEAF_POINTS = 32
+# The children of a cube: its edge in quarters.
+_CUT = 4
 
 
-def _cube(axis: Column, size: Column) -> Column:
-    return F.floor((axis + 1.0) / size).cast("int")
+def _on_sphere(df: DataFrame, lat: str, lon: str, *more: str) -> DataFrame:
+    phi, lam = F.radians(lat), F.radians(lon)
+    x, y, z = F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)
+    return df.select(lat, lon, *more, x.alias("x"), y.alias("y"), z.alias("z"))
+
+
+def _cubes(level: int) -> list[Column]:
+    """The cube of a point at a level: level 0 has edge 2, each further one a quarter of it."""
+    return [F.floor((F.col(a) + 1.0) / (2.0 / _CUT**level)).cast("long").alias(f"c{a}") for a in "xyz"]
+
+
+def _chord(a: str, b: str) -> Column:
+    return F.sqrt(sum(((F.col(f"{a}{x}") - F.col(f"{b}{x}")) ** 2 for x in "xyz"), F.lit(0.0)))
+
+
+_CUBE = ["cx", "cy", "cz"]
+
+
+class _CubeTree:
+    """Points of the sphere in cubes that are cut as long as they hold more than ``leaf`` points.
+
+    ``levels[l]`` has one row per cube of level ``l`` whose parent was cut: its
+    coordinates, one point of it (``px, py, pz``) and whether it is a leaf;
+    ``leaves[l]`` has the points of its leaves.  The depth comes from the data:
+    only crowded cubes go on, and points differ, so every cube ends as a leaf.
+    """
+
+    def __init__(self, points: DataFrame, leaf: int):
+        self.levels, self.leaves = [], []
+        left, level = cut_lineage(points), 0
+        while True:
+            placed = left.select("*", *_cubes(level))
+            cubes = placed.groupBy(*_CUBE).agg(
+                F.count(F.lit(1)).alias("n"), F.min(F.struct("x", "y", "z")).alias("_p")
+            )
+            cubes = cut_lineage(cubes.select(*_CUBE, "n", *[F.col(f"_p.{a}").alias(f"p{a}") for a in "xyz"], (F.col("n") <= leaf).alias("leaf")))
+            marked = placed.join(cubes.select(*_CUBE, "leaf"), _CUBE)
+            self.levels.append(cubes.drop("n"))
+            self.leaves.append(cut_lineage(marked.where("leaf").drop("leaf")))
+            if not cubes.where("not leaf").limit(1).count():
+                return
+            left, level = cut_lineage(marked.where("not leaf").select(points.columns)), level + 1
 
 
 def nearest_point(
-    left: DataFrame, left_id: str, right: DataFrame, right_id: str, lat: str = "lat", lon: str = "lon"
+    left: DataFrame, left_id: str, right: DataFrame, right_id: str, lat: str = "lat", lon: str = "lon", leaf: int = LEAF_POINTS
 ) -> DataFrame:
     """Nearest right point on the sphere for each left point, without comparing all pairs.
 
-    Points live on the unit sphere, cut into cubes whose edge is quartered per
-    level.  The finest level with a right point in the 27 cubes around a left
-    point bounds the nearest distance by ``2*sqrt(3)`` edges, so the 27 cubes one
-    level up (four times the edge) hold the nearest point for certain.  Ties go
-    to the smallest right id.  Equal coordinates are compared once.
+    Right points lie in a tree of cubes.  Level by level a left point keeps the
+    cubes that may hold a nearer point than the nearest of the cubes' sample
+    points; their children are next.  The distance to a sample point is at most a
+    diagonal more than to its cube, so a left point keeps a few cubes at any level
+    and is compared with the points of a few leaves, however dense the place.
+    Ties go to the smallest right id.  Equal coordinates are compared once.
     """
-    def sphere(df: DataFrame) -> DataFrame:
-        phi, lam = F.radians(lat), F.radians(lon)
-        return df.select(
-            lat,
-            lon,
-            (F.cos(phi) * F.cos(lam)).alias("x"),
-            (F.cos(phi) * F.sin(lam)).alias("y"),
-            F.sin(phi).alias("z"),
-            *[c for c in df.columns if c not in (lat, lon)],
-        )
-
-    def cells(df: DataFrame, level: Column, around: bool) -> DataFrame:
-        size = 2 * F.pow(F.lit(0.25), level)
-        steps = (-1, 0, 1) if around else (0,)
-        placed = df.select(
-            "*", *[_cube(F.col(a), size).alias(f"c{a}") for a in "xyz"]
-        )
-        moves = [F.struct(*[F.lit(v).alias(n) for n, v in zip("ijk", (i, j, k))])
-                 for i in steps for j in steps for k in steps]
-        return placed.withColumn("_mv", F.explode(F.array(*moves))).select(
-            *df.columns,
-            (F.col("cx") + F.col("_mv.i")).alias("cx"),
-            (F.col("cy") + F.col("_mv.j")).alias("cy"),
-            (F.col("cz") + F.col("_mv.k")).alias("cz"),
-        )
-
-    cube = ["level", "cx", "cy", "cz"]
-    levels = F.explode(F.sequence(F.lit(0), F.lit(SPHERE_LEVELS))).alias("level")
-    places = sphere(right.groupBy(lat, lon).agg(F.min(right_id).alias("_rid")))
-    points = sphere(left.select(lat, lon).distinct())
-    held = cells(places.select("*", levels), F.col("level"), False)
-    probes = cells(points.select("*", levels), F.col("level"), True)
-    finest = (
-        probes.join(held.select(*cube).distinct(), cube, "left_semi")
-        .groupBy(lat, lon, "x", "y", "z")
-        .agg(F.greatest(F.max("level") - 1, F.lit(0)).alias("level"))
-    )
-    final = cells(finest, F.col("level"), True)
-    near = final.join(held.select(*cube, F.col(lat).alias("_rlat"), F.col(lon).alias("_rlon"), "_rid"), cube)
-    dist = haversine_km(F.col(lat), F.col(lon), F.col("_rlat"), F.col("_rlon"))
-    best = near.groupBy(lat, lon).agg(F.min(F.struct(dist.alias("km"), F.col("_rid").alias("id"))).alias("_b"))
-    picked = best.select(lat, lon, F.col("_b.id").alias(right_id), F.col("_b.km").alias("distance_km"))
-    return left.select(left_id, lat, lon).join(picked, [lat, lon], "left").select(
-        left_id, right_id, "distance_km"
-    )
+    # a point without coordinates is near to none
+    known = (F.col(lat).isNotNull()) & (F.col(lon).isNotNull())
+    places = right.where(known).groupBy(lat, lon).agg(F.min(right_id).alias("_rid"))
+    tree = _CubeTree(_on_sphere(places, lat, lon, "_rid"), leaf)
+    points = _on_sphere(left.where(known).select(lat, lon).distinct(), lat, lon)
+    front = points.withColumns({f"q{a}": F.lit(0).cast("long") for a in "xyz"}).withColumn("_bound", F.lit(4.0))
+    found = None
+    for level, cubes in enumerate(tree.levels):
+        edge = 2.0 / _CUT**level
+        if level == 0:
+            first = cubes.collect()  # at most 8 cubes of edge 2
+            if not first:
+                return left.select(left_id, lat, lon).select(
+                    left_id, F.lit(None).cast(right.schema[right_id].dataType).alias(right_id), F.lit(None).cast("double").alias("distance_km")
+                )
+            listed = [F.struct(*[F.lit(v).alias(c) for c, v in r.asDict().items()]) for r in first]
+            met = front.select("*", F.inline(F.array(*listed)))
+        else:
+            children = cubes.withColumns({f"q{a}": F.floor(F.col(f"c{a}") / _CUT) for a in "xyz"})
+            met = front.join(children, ["qx", "qy", "qz"])
+        # distance to the cube itself, from its corner nearest to the point
+        gaps = [F.greatest(F.lit(0.0), F.col(f"c{a}") * edge - 1.0 - F.col(a), F.col(a) - ((F.col(f"c{a}") + 1) * edge - 1.0)) for a in "xyz"]
+        low = F.sqrt(sum((g * g for g in gaps), F.lit(0.0)))
+        sample = F.least("_bound", F.min(_chord("", "p")).over(W.partitionBy(lat, lon)))
+        near = met.withColumn("_bound", sample).where(low <= F.col("_bound") * (1 + 1e-9) + 1e-12)
+        near = cut_lineage(near.select(lat, lon, "x", "y", "z", "_bound", *_CUBE, "leaf"))
+        there = tree.leaves[level].select(*_CUBE, F.col(lat).alias("_rlat"), F.col(lon).alias("_rlon"), "_rid")
+        hits = near.where("leaf").join(there, _CUBE)
+        km = haversine_km(F.col(lat), F.col(lon), F.col("_rlat"), F.col("_rlon"))
+        best = hits.groupBy(lat, lon).agg(F.min(F.struct(km.alias("km"), F.col("_rid").alias("id"))).alias("_b"))
+        found = best if found is None else found.unionByName(best)
+        front = near.where("not leaf").select(lat, lon, "x", "y", "z", "_bound", *[F.col(f"c{a}").alias(f"q{a}") for a in "xyz"])
+    picked = found.groupBy(lat, lon).agg(F.min("_b").alias("_b"))
+    picked = picked.select(lat, lon, F.col("_b.id").alias(right_id), F.col("_b.km").alias("distance_km"))
+    return left.select(left_id, lat, lon).join(picked, [lat, lon], "left").select(left_id, right_id, "distance_km")
 
 
 def align_full_outer(series: Mapping[str, DataFrame], on: str, value: str) -> DataFrame:

@@ -12,6 +12,7 @@ from feathergrid.ml import neighbors as N
 from feathergrid.ml import prep
 from feathergrid.plans import roles
 from feathergrid.plans.registry import query
+from feathergrid.plans.solving import newton_ctes
 from feathergrid.session import spread, table
 
 NUM = ["l_quantity", "l_discount", "l_tax", "weather_delay"]
@@ -32,6 +33,7 @@ def delays(spark, d):
         "l_linenumber",
         "l_extendedprice",
         "fl_date",
+        F.col("dep_del15").alias("late"),
         F.when(signal > 1.3, 1.0).otherwise(0.0).alias("label"),
         (F.col("yr") - 1995).alias("fold"),
     )
@@ -114,10 +116,41 @@ def m17(spark, d):
     return spark.createDataFrame(rows, "step int, loss double")
 
 
-@query("m18_random_search")
+#: 50 draws of a search space of a continuous and a discrete parameter.
+_DRAWS = M.random_search({"penalty": M.LogUniform(1e-4, 1.0), "positive_weight": [0.5, 1.0, 2.0, 4.0]}, n_iter=50)
+_SEARCHED = ["l_quantity", "l_discount", "carrier", "late"]
+
+
+def _search_sql(steps=8):
+    """All draws' ridge logistic models by unrolled Newton steps, and their scores on the last year."""
+    draws = ", ".join(f"({i}, {d['penalty']!r}::double, {d['positive_weight']!r}::double)" for i, d in enumerate(_DRAWS))
+    scaled = ", ".join(f"({c} - m.{c}_m) / m.{c}_s as v{i}" for i, c in enumerate(_SEARCHED, 1))
+    stats = ", ".join(f"avg({c}) as {c}_m, stddev_samp({c}) as {c}_s" for c in _SEARCHED)
+    eta = " + ".join(f"b{i} * v{i}" for i in range(5))
+    return f"""with f as ({roles.FLIGHTS_SQL}),
+        known as materialized (select yr, l_quantity::double as l_quantity, l_discount::double as l_discount, carrier::double as carrier,
+          dep_del15::double as late, case when l_quantity / 50 + l_discount * 5 + dep_del15 * 0.5::double + carrier * 0.05::double > 1.3::double then 1.0 else 0.0 end as hit
+          from f where dep_del15 is not null),
+        m as materialized (select count(*) as rows_, {stats} from known where yr <> 2001),
+        z as materialized (select yr, hit::double as hit, 1.0::double as v0, {scaled} from known, m),
+        draws as materialized (select draw, penalty, penalty * rows_ as pen, positive_weight from (values {draws}) t(draw, penalty, positive_weight), m),
+        tr as materialized (select draw, pen, hit * positive_weight as y, case when hit > 0.5 then positive_weight else 1.0 end as n,
+          v0, v1, v2, v3, v4 from z, draws where yr <> 2001),
+        {newton_ctes('tr', 5, steps, keys='draw', ridge='any_value(pen)', trials='n')}
+        select draw, round(any_value(penalty), 8) as penalty, any_value(positive_weight) as positive_weight,
+          round(avg(case when ({eta} >= 0) = (hit > 0.5) then 1.0 else 0.0 end), 6) as accuracy,
+          round(avg(ln(1 + exp({eta})) - hit * ({eta})), 6) as loss
+        from z, draws join b{steps} using (draw) where yr = 2001 group by draw"""
+
+
+@query("m18_random_search", _search_sql())
 def m18(spark, d):
-    train, test = parts(spark, d)
-    return M.grid_scores(train, test, "logistic", "label", CAT, NUM, M.random_search(M.GRIDS["logistic"], n_iter=50))
+    rows = delays(spark, d).select(
+        "yr", "l_quantity", "l_discount", F.col("carrier").cast("int").alias("carrier"), F.col("late").alias("late"), "label"
+    )
+    train, test = prep.holdout_by_time(rows, F.col("yr"), 2001)
+    found = M.logistic_search(train, test, "label", _SEARCHED, _DRAWS)
+    return found.select("draw", F.round("penalty", 8).alias("penalty"), "positive_weight", *[F.round(c, 6).alias(c) for c in ("accuracy", "loss")])
 
 
 @query("m24_feature_importance")

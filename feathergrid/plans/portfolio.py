@@ -8,7 +8,7 @@ from feathergrid.operators import backtest as B
 from feathergrid.plans import roles
 from feathergrid.plans.joining import _RATE_SQL, monthly_rates
 from feathergrid.plans.registry import query
-from feathergrid.session import table
+from feathergrid.session import cut_lineage, table
 
 # a calm price, so that a year of daily changes stays readable
 PX_SQL = f"select tic, datadate, round(100 + 50 * ratio, 6) as price from ({roles.PRICES_SQL})"
@@ -134,7 +134,9 @@ def b4(spark, d):
         as annual_of_value from s""",
 )
 def b5(spark, d):
-    out = B.cohort_summary(own(spark, d), bench(spark, d))
+    chosen = cut_lineage(picks(spark, d))  # both sides start from the same picks
+    starts = chosen.select("start_date").distinct()
+    out = B.cohort_summary(B.pick_returns(chosen, px(spark, d)), B.benchmark_returns(starts, bx(spark, d)))
     six = ["outperform", "risk", "benchmark_risk", "total", "benchmark_total"]
     eight = ["annual_of_gains", "benchmark_annual_of_gains", "annual_of_value"]
     return out.select(

@@ -23,7 +23,7 @@ def solve_sql(source: str, size: int, keys: str = "", carry: str = "") -> str:
 
 
 def newton_ctes(
-    rows: str, size: int, steps: int, keys: str = "", ridge: float = 0.0, start: str = "0.0", name: str = "b", trials: str = "1",
+    rows: str, size: int, steps: int, keys: str = "", ridge: float | str = 0.0, start: str = "0.0", name: str = "b", trials: str = "1",
     first: str = "", offset: str = "",
 ) -> str:
     """CTEs ``{name}0 .. {name}{steps}``: coefficients ``b0..`` per key after each Newton step of a binomial model.

@@ -201,3 +201,34 @@ def test_null_is_a_group_like_any_other(spark):
     assert sorted((r["key"] or "", r["t"], r["h_w"]) for r in rolled.collect()) == [("", 10, 1), ("", 20, 2), ("a", 10, 0)]
     assert O.exact_percentiles(df, ["key"], "t", {"m": 0.5}).where("key is null").first()["m"] == 15.0
     assert R.cap_per_group(df, ["key"], ["t"], 1, block=F.col("t")).count() == 2
+
+
+def test_nearest_point_in_a_crowded_city(spark):
+    """Thousands of stations within three kilometres, one place held by many, and a few far away."""
+    rng = random.Random(11)
+    stations = [(i, 40.7 + rng.random() * 0.03, -74.0 + rng.random() * 0.03) for i in range(20_000)]
+    stations += [(30_000 + i, 40.71, -73.99) for i in range(500)] + [(40_000, -33.0, 151.0), (40_001, 89.9, 10.0), (40_002, None, 1.0)]
+    cities = [(i, 40.7 + rng.random() * 0.03, -74.0 + rng.random() * 0.03) for i in range(60)]
+    cities += [(100, 40.71, -73.99), (101, -34.0, 150.0), (102, 90.0, 0.0), (103, 41.5, -75.0), (104, None, None)]
+    left = spark.createDataFrame(cities, "city int, lat double, lon double")
+    right = spark.createDataFrame(stations, "station int, lat double, lon double").repartition(4)
+
+    def km(a, b, c, d):
+        p, q = math.radians(a), math.radians(c)
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(h))
+
+    for r in J.nearest_point(left, "city", right, "station").collect():
+        _, lat, lon = next(c for c in cities if c[0] == r["city"])
+        if lat is None:
+            assert r["station"] is None
+            continue
+        best = min((km(lat, lon, s[1], s[2]), s[0]) for s in stations if s[1] is not None)
+        assert r["distance_km"] == pytest.approx(best[0], rel=2e-3, abs=1e-6)
+        assert r["station"] == best[1]
+    places = right.where("lat is not null").groupBy("lat", "lon").agg(F.min("station").alias("_rid"))
+    tree = J._CubeTree(J._on_sphere(places, "lat", "lon", "_rid"), 32)
+    held = [leaves.groupBy("cx", "cy", "cz").count().agg(F.max("count")).first()[0] or 0 for leaves in tree.leaves]
+    assert max(held) <= 32 and sum(leaves.count() for leaves in tree.leaves) == places.count() and len(held) > 6
+    nothing = J.nearest_point(left, "city", right.limit(0), "station").collect()
+    assert len(nothing) == len(cities) and all(r["station"] is None for r in nothing)
