@@ -10,10 +10,12 @@ import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
@@ -31,11 +33,10 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from feathergrid.functions.columns import sigmoid
 from feathergrid.ml import evaluate as E
 from feathergrid.ml.prep import TimeSeriesCrossValidator
 from feathergrid.operators.blocks import array_sums
@@ -225,24 +226,29 @@ def scores(model: Model, test: DataFrame, label: str, name: str) -> DataFrame:
 
 def grid_scores(
     train: DataFrame, test: DataFrame, kind: str, label: str, categoricals: Sequence[str], numerics: Sequence[str],
-    grid: Sequence[Mapping],
+    grid: Sequence[Mapping], parallelism: int = 3,
 ) -> DataFrame:
     """One row per parameter map: train on the past, score on the hold-out.
 
-    Features are prepared once for all maps and released when the scores are known.
+    Features are prepared once for all maps and released when the scores are
+    known; ``parallelism`` maps are fitted at a time.
     """
     prepare = Pipeline(stages=feature_stages(categoricals, numerics)).fit(train)
     ready, held = (prepare.transform(x).select("features", label).persist() for x in (train, test))
-    out = None
-    for params in grid:
+
+    def one(params: Mapping) -> Row:
         model = classifier(kind, label, **params).fit(ready)
         name = f"{kind} " + " ".join(f"{k}={v}" for k, v in params.items())
-        one = scores(model, held, label, name)
-        out = one if out is None else out.unionByName(one)
-    out = cut_lineage(out)
-    ready.unpersist()
-    held.unpersist()
-    return out
+        return scores(model, held, label, name).first()
+
+    try:
+        with ThreadPool(parallelism) as pool:
+            rows = pool.map(inheritable_thread_target(train.sparkSession)(one), grid)
+    finally:
+        ready.unpersist()
+        held.unpersist()
+    schema = "model string, n long, " + ", ".join(f"{c} double" for c in rows[0].asDict() if c not in ("model", "n"))
+    return train.sparkSession.createDataFrame(rows, schema)
 
 
 def timeseries_cv(
@@ -275,26 +281,41 @@ def logistic_gd(
     Each pass is one aggregate that returns one row: the gradient at the current
     weights and their loss.  The bias is free of the penalty in both.
     """
-    y = F.col(label)
-    first = df.agg(F.avg(y).alias("p"), F.count(y).alias("n")).first()
-    n = first["n"]
+    rows = df.select(F.col(label).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(inputs)])
+    first = rows.agg(F.avg("y").alias("p"), F.count("y").alias("n")).first()
+    n, size = first["n"], len(inputs) + 1
     weights = np.array([math.log(first["p"] / (1 - first["p"])), *([0.0] * len(inputs))])
     losses: list[float] = []
+
+    def sums(beta: np.ndarray):
+        """Gradient and loss at the weights."""
+
+        def make():
+            total = np.zeros(size + 1)
+
+            def add(batch: pa.RecordBatch | None):
+                if batch is None:
+                    return {0: total}
+                y, *xs = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                x = np.column_stack([np.ones(len(y)), *xs])
+                known = ~np.isnan(x).any(axis=1) & ~np.isnan(y)
+                x, y = x[known], y[known]
+                eta = x @ beta
+                total[:size] += x.T @ (1 / (1 + np.exp(-eta)) - y)
+                total[-1] += (np.logaddexp(0, eta) - y * eta).sum()
+
+            return add
+
+        return make
+
     for step in range(steps + 1):
-        p = sigmoid([float(w) for w in weights], [F.col(c) for c in inputs])
-        error = F.col("_p") - y
-        row = df.withColumn("_p", p).agg(
-            F.sum(-(y * F.log("_p") + (1 - y) * F.log(1 - F.col("_p")))).alias("loss"),
-            F.sum(error).alias("g0"),
-            *[F.sum(error * F.col(c)).alias(f"g{i}") for i, c in enumerate(inputs, 1)],
-        ).first()
+        found = array_sums(rows, sums(weights))[0]
         free = np.concatenate([[0.0], weights[1:]])
         if step:
             penalty = enet * reg / n * np.abs(free).sum() + (1 - enet) * reg / (2 * n) * free.dot(free)
-            losses.append(row["loss"] / n + float(penalty))
+            losses.append(float(found[-1] / n + penalty))
         if step < steps:
-            gradient = np.array([row[f"g{i}"] for i in range(len(weights))]) / n
-            gradient = gradient + enet * reg * np.sign(free) / n + (1 - enet) * reg * free / n
+            gradient = found[:size] / n + enet * reg * np.sign(free) / n + (1 - enet) * reg * free / n
             weights = weights - rate * gradient
     return [float(w) for w in weights], losses
 

@@ -204,6 +204,21 @@ def trend_season_regression(series: DataFrame, keys: Sequence[str], order: str,
     return fits, series.sparkSession.createDataFrame(rows, "model string, sse double, aic double")
 
 
+def trend_fitted(series: DataFrame, keys: Sequence[str], order: str, y: str) -> DataFrame:
+    """``keys, order, model, fitted, residual`` of every period and model; the log-linear one on the log scale."""
+    fits, _ = trend_season_regression(series, keys, order, y)
+    data = trend_columns(series, keys, order, season=True)
+    rows = [
+        F.struct(
+            F.lit(name).alias("model"),
+            fit.predict().alias("fitted"),
+            ((F.log(y) if name == "log" else F.col(y)) - fit.predict()).alias("residual"),
+        )
+        for name, fit in fits.items()
+    ]
+    return data.select(*keys, order, F.inline(F.array(*rows)))
+
+
 def trend_forecast(series: DataFrame, order: str, y: str, fit: Fit, horizon: int) -> DataFrame:
     """Predictions of a trend fit for the ``horizon`` months after the last one."""
     last = series.agg(F.max(order).alias("d"), F.count(F.lit(1)).alias("n"))

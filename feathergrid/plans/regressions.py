@@ -369,6 +369,39 @@ def d12b(spark, d):
     return _rounded(fits["seasonal"].table(spark), 6).select("term", "estimate")
 
 
+_SEASONAL = f"""s as materialized (select month, y, ly, t, month(month) as m from {_T}),
+    g as (select m, avg(y) as my, avg(t) as mt from s group by 1),
+    b as (select sum((t - mt) * y) / sum((t - mt) * (t - mt)) as b from s join g using (m)),
+    q as (select b0, b1, b2 from {two_predictors_sql(_T, 'y', 't', 't2')}),
+    l as (select regr_slope(y, t) as lb, regr_intercept(y, t) as la, regr_slope(ly, t) as gb, regr_intercept(ly, t) as ga from s),
+    r as (select month, unnest(['linear', 'quadratic', 'log', 'seasonal']) as model,
+      unnest([la + lb * t, b0 + b1 * t + b2 * t * t, ga + gb * t, my + b * (t - mt)]) as fitted, unnest([y, y, ly, y]) as seen
+      from s join g using (m), b, q, l)"""
+
+
+@query(
+    "d12_fitted_and_residuals",
+    f"""with {_SEASONAL} select cast(month as varchar) as month, model, round(fitted, 6) as fitted,
+        round(seen - fitted, 6) + 0.0 as residual from r""",
+)
+def d12_rows(spark, d):
+    out = D.trend_fitted(monthly(spark, d), ["one"], "month", "y")
+    return out.select(
+        F.col("month").cast("string").alias("month"), "model", F.round("fitted", 6).alias("fitted"), (F.round("residual", 6) + 0.0).alias("residual")
+    )
+
+
+@query(
+    "d12_all_models",
+    f"""with {_SEASONAL}, e as (select model, count(*) as n, sum(pow(seen - fitted, 2)) as rss,
+          case model when 'quadratic' then 4 when 'seasonal' then 14 else 3 end as k from r group by 1)
+        select model, round(rss, 6) as sse, round(n * (ln(2 * pi()) + ln(rss / n) + 1) + 2 * k, 5) as aic from e""",
+)
+def d12_models(spark, d):
+    out = D.trend_season_regression(monthly(spark, d), ["one"], "month", "y")[1]
+    return out.select("model", F.round("sse", 6).alias("sse"), F.round("aic", 5).alias("aic"))
+
+
 _FC = f"""with s as materialized (select * from {_T}), f as (select regr_slope(y, t) as b, regr_intercept(y, t) as a, count(*) as n,
     max(month) as last from s), fc as (select (last + to_months(h::integer))::date as month, a + b * (n + h) as y
     from f, (select unnest(range(1, 7)) as h))"""
