@@ -122,10 +122,11 @@ class LangModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, values = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        points = [code_points(t or "") for t in texts]
-        rows = [i for i, p in enumerate(points) if self.langs and (p != 32).any()]
-        for at in range(0, len(rows), _ROWS):
-            some = rows[at : at + _ROWS]
+        for at in range(0, len(texts) if self.langs else 0, _ROWS):  # code points of a few texts at a time
+            points = {at + k: code_points(t) for k, t in enumerate(texts[at : at + _ROWS]) if t}
+            some = [i for i, p in points.items() if (p != 32).any()]
+            if not some:
+                continue
             found = np.clip(self.scores([points[i] for i in some]), 1e-6, 1.0)
             best = found.argmax(axis=1)
             share = found[np.arange(len(some)), best] / found.sum(axis=1)

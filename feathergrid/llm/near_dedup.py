@@ -36,6 +36,8 @@ COORDINATES = 128
 ROWS_PER_BAND = 4
 #: A table of nodes up to this many rows (a long each) is sent to all executors, a larger one is shuffled.
 SMALL_NODES = 200_000
+#: Documents whose sets are handed on together.
+SLICE_ROWS = 512
 #: Elements of one chunk of a band on either side of a comparison (8 bytes each).
 CHUNK_ELEMENTS = 1 << 20
 
@@ -111,12 +113,19 @@ def _weights(counts: np.ndarray, weighted: bool) -> np.ndarray:
     return counts.astype(np.float64) if weighted else np.ones(len(counts))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: what a task holds of its results is theirs."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def _sketch(documents: DataFrame, row: str, weighted: bool) -> DataFrame:
     """``row, doc_id, digest, n, bands`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
-        for batch in batches:
+        for batch in _slices(batches):
             digest, size, found = [], [], []
             for text in batch.column(2):
                 element, count = shingles(text.as_py(), words)
@@ -139,7 +148,7 @@ def _sets(documents: DataFrame, row: str, weighted: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
-        for batch in batches:
+        for batch in _slices(batches):
             digest, found = [], []
             for text in batch.column(1):
                 element, count = shingles(text.as_py(), words)
