@@ -44,9 +44,18 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, documents: DataFrame) -> DataFrame:
+    def close(self) -> None:
+        """Forget the table's name in the catalog; the index at ``path`` stays, and so do results of ``add``."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def add(self, documents: DataFrame, batch: str | None = None) -> DataFrame:
         """Take in a batch (columns ``doc_id``, ``text``); return a decision per row.
 
+        ``batch`` names this input.  A job that died can be repeated with the same
+        name and the same rows: texts it had already indexed under that name count
+        as its own, so the decisions are those of the first time.  Without a name
+        every call is another batch.
+
         Result: ``doc_id, row, text_sha256, keep_id, group_size, kept``.  Of equal
         texts the one already indexed stays; else the row with the smallest
         ``doc_id``, null ids last, and of repeated rows with that id exactly one
@@ -54,7 +63,7 @@ class DigestIndex:
         that text, ``row`` is the row's number in the batch as scanned.  Null texts
         count as empty.  An empty batch gives no rows and leaves the index alone.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         rows = written(
             own_names(documents, "doc_id", "text").select(
                 "doc_id", F.monotonically_increasing_id().alias("row"), text_digest(F.col("text")).alias("digest")
@@ -84,14 +93,17 @@ class DigestIndex:
         )
 
 
-def drop_copies(documents: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``documents`` whose text is new, one per text, with all their columns.
+def drop_copies(documents: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
+    """The rows of ``documents`` whose text is new, one per text, with all their columns; ``batch`` as in ``add``.
 
     ``documents`` must give the same rows in the same order each time it is read
     (a table, not a shuffled query): rows are told apart by their place in it.
     """
+    own = index is None
     index = index or DigestIndex(documents.sparkSession)
-    dropped = index.add(documents).where("NOT kept").select("row")
+    dropped = index.add(documents, batch).where("NOT kept").select("row")
+    if own:
+        index.close()
     row = fresh_name(documents, "row")
     placed = documents.withColumn(row, F.monotonically_increasing_id())
     return placed.join(dropped.withColumnRenamed("row", row), row, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -26,7 +26,9 @@ __all__ = ["ORACLES", "QUERIES"]
     """,
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = exact_dedup.DigestIndex(spark).add(table(spark, sf_dir, "documents"))
+    index = exact_dedup.DigestIndex(spark)
+    decided = index.add(table(spark, sf_dir, "documents"))
+    index.close()
     return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

@@ -263,3 +263,23 @@ def test_near_classes_of_a_large_rough_group(spark, monkeypatch, chunk):
                 root[b] = a
     assert got == {i: top(i) for i in range(len(texts))}
     assert 5 < len(set(got.values())) < 300
+
+
+def test_a_repeated_batch_decides_as_the_first_time(spark):
+    docs = written(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (None, "c")], "doc_id long, text string").coalesce(1), "batch")
+    later = written(spark.createDataFrame([(9, "b"), (10, "new")], "doc_id long, text string").coalesce(1), "later")
+    index = exact_dedup.DigestIndex(spark)
+    tables = {t.name for t in spark.catalog.listTables()}
+
+    def decided(rows, batch):
+        return sorted(((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in index.add(rows, batch).collect()), key=str)
+
+    first = decided(docs, "monday")
+    assert [x[3] for x in first].count(True) == 3
+    assert decided(docs, "monday") == first  # the job is repeated
+    assert decided(later, "tuesday") == [(10, 10, 1, True), (9, 3, 1, False)]
+    assert decided(later, "tuesday") == [(10, 10, 1, True), (9, 3, 1, False)] and decided(docs, "monday") == first
+    assert not any(x[3] for x in decided(docs, "wednesday"))
+    assert exact_dedup.drop_copies(docs, index, "monday").count() == 3
+    index.close()
+    assert len({t.name for t in spark.catalog.listTables()}) == len(tables) - 1
