@@ -36,10 +36,12 @@ COORDINATES = 128
 ROWS_PER_BAND = 4
 #: A table of nodes up to this many rows (a long each) is sent to all executors, a larger one is shuffled.
 SMALL_NODES = 200_000
+#: Words whose hashes a task remembers.
+KNOWN_WORDS = 100_000
 #: Documents whose sets are handed on together.
 SLICE_ROWS = 512
 #: Elements of one chunk of a band on either side of a comparison (8 bytes each).
-CHUNK_ELEMENTS = 1 << 20
+CHUNK_ELEMENTS = 1 << 18
 
 _ODD = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -124,7 +126,7 @@ def _sketch(documents: DataFrame, row: str, weighted: bool) -> DataFrame:
     """``row, doc_id, digest, n, bands`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
+        words = WordHash(KNOWN_WORDS)
         for batch in _slices(batches):
             digest, size, found = [], [], []
             for text in batch.column(2):
@@ -147,7 +149,7 @@ def _sets(documents: DataFrame, row: str, weighted: bool) -> DataFrame:
     """``node, digest, elements`` of the given documents; a weighted element stands once per unit of weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
+        words = WordHash(KNOWN_WORDS)
         for batch in _slices(batches):
             digest, found = [], []
             for text in batch.column(1):
@@ -299,8 +301,8 @@ class _Cell:
         (self.x_common, self.x_at), (self.y_common, self.y_at) = (self._lists(t["common"]) for t in (x, y))
         (x_flat, self.x_from), (y_flat, self.y_from) = (self._lists(t["elements"]) for t in (x, y))
         # elements as small numbers, so that "has it" is a look-up
-        known, small = np.unique(np.concatenate([x_flat, y_flat]), return_inverse=True)
-        self.x_flat, self.y_flat = small[: len(x_flat)], small[len(x_flat) :]
+        known = np.unique(np.concatenate([x_flat, y_flat]))
+        self.x_flat, self.y_flat = (np.searchsorted(known, flat).astype(np.int32) for flat in (x_flat, y_flat))
         self.has = np.zeros(len(known), dtype=bool)
 
     @staticmethod
