@@ -93,17 +93,21 @@ def b2(spark, d):
     )
 
 
+# returns are fractions of prices in cents, so exact halves occur; this moves them off the edge in both engines
+_OFF = 3e-12
+
+
 def _shape(df):
     return df.select(
         F.col("start_date").cast("string").alias("start_date"),
         F.col("datadate").cast("string").alias("datadate"),
-        (F.round("average", 6) + 0.0).alias("average"),
-        (F.round("cumulative", 6) + 0.0).alias("cumulative"),
+        (F.round(F.col("average") + _OFF, 7) + 0.0).alias("average"),
+        (F.round(F.col("cumulative") + _OFF, 7) + 0.0).alias("cumulative"),
     )
 
 
-_SHAPE = """select cast(start_date as varchar) as start_date, cast(datadate as varchar) as datadate,
-    round(average, 6) + 0.0 as average, round(cumulative, 6) + 0.0 as cumulative"""
+_SHAPE = f"""select cast(start_date as varchar) as start_date, cast(datadate as varchar) as datadate,
+    round(average + {_OFF!r}, 7) + 0.0 as average, round(cumulative + {_OFF!r}, 7) + 0.0 as cumulative"""
 
 
 @query("b3o_pick_returns", f"with {CTES} {_SHAPE} from own")
