@@ -64,7 +64,7 @@ class _Chunks(dict):
     anew when full.
     """
 
-    def __init__(self, path: str, size: int = 600_000, pretokens: int = 900_000):
+    def __init__(self, path: str, size: int = 400_000, pretokens: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__()
