@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -109,6 +110,23 @@ def test_permuted_column_keeps_its_values(labelled):
     assert lost["x"] > 0.15 and lost["z"] == 0.0
 
 
+def test_importance_shuffles_each_feature_by_two_orders(spark):
+    """Not by one order and a fixed distance, which pairs neighbours of one feature with neighbours again."""
+    n = 500
+    df = spark.range(n).select("id", F.col("id").alias("x"), F.col("id").alias("z"), F.lit(1).alias("y"))
+    digest = lambda seed, i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest()
+    order = lambda seed: sorted(range(n), key=lambda i: digest(seed, i))
+    rule = F.when((F.col("x") * 7 + F.col("z") * 3) % 101 < 60, 1).otherwise(0)
+    hit = lambda x, z: (x * 7 + z * 3) % 101 < 60
+    base = sum(hit(i, i) for i in range(n)) / n
+    want = {
+        "x": base - sum(hit(other, i) for i, other in zip(order(11), order(12))) / n,
+        "z": base - sum(hit(i, other) for i, other in zip(order(13), order(14))) / n,
+    }
+    got = {r["feature"]: r["importance"] for r in E.permutation_importance(df, ["id"], ["x", "z"], "y", rule, 11).collect()}
+    assert got == pytest.approx(want) and want["x"] != 0
+
+
 @pytest.mark.parametrize("piece_rows", [4096, 16])
 def test_knn_equals_brute_force(spark, piece_rows):
     rng = np.random.default_rng(2)
