@@ -1,4 +1,4 @@
-"""Chat formatting: a state machine over roles, and turns as text segments with loss flags.
+"""Chat formatting: a state machine over roles writes turns as text segments with loss flags.
 
 A ``Template`` says, as data, how a turn of each role begins and ends, which
 roles are trained on, and which role may follow which.  Control strings inside
@@ -72,6 +72,10 @@ class Template:
     def unescaped(self, text: str) -> str:
         return re.sub(re.escape(self.escape) + "(.)", r"\1", text, flags=re.DOTALL)
 
+    def after(self, state: str | None, role: str) -> str | None:
+        """The state that a turn of ``role`` leads to; None out of turn, and from there on."""
+        return self.moves.get(state, {}).get(role)
+
 
 CHAT = Template()
 
@@ -128,29 +132,48 @@ def _orders(turns: DataFrame, template: Template) -> DataFrame:
 
 
 def segments(turns: DataFrame, template: Template = CHAT) -> DataFrame:
-    """``conv_id, turn, segments``, a row per turn: its text in order as ``array<struct<text, loss>>``.
-
-    Read in the order of ``turn``, then of the segments themselves, the rows of a
-    conversation are its formatted text.  Null texts and roles count as empty,
-    null turns come first, null ids are one conversation; repeated rows are turns
-    of their own.  Unknown roles are written and never trained on.  All rows are
-    written, whatever the state machine says (``checked``).  An empty table gives
-    no rows; further columns are left out.
+    """``conv_id, turn, state, segments``, a row per turn: its text in order as ``array<struct<text, loss>>``.
+
+    The state machine runs over the turns of a conversation and writes each as it
+    takes it in: ``state`` is where the turn leads to, null from the first role out of
+    turn on, and the loss flag is that of the role.  Rows of a conversation lie
+    in order in one partition, by ``turn``, then by the segments themselves, and are
+    its formatted text; they stream by, so a task holds no conversation.
+
+    Null texts and roles count as empty, null turns come first, null ids are one
+    conversation; repeated rows are turns of their own.  Unknown roles are written
+    and never trained on.  All rows are written, whatever the state.  An empty
+    table gives no rows; further columns are left out.
     """
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
     name = F.concat(F.lit("?"), template.escaped(role, template.closing))
-    trained = F.lit(False)
     for known, written_as in template.names.items():
         name = F.when(role == known, F.lit(written_as)).otherwise(name)
-        if known in template.trained:
-            trained = trained | (role == known)
-    parts = [
-        (F.concat(F.lit(template.opening), name, F.lit(template.closing)), F.lit(False)),
-        (template.escaped(text), trained),
-        (F.lit(template.end), F.lit(False)),
-    ]
+    head = F.concat(F.lit(template.opening), name, F.lit(template.closing))
+    rows = own_names(turns, "conv_id", "turn", "role", "text").select(
+        "conv_id", "turn", role.alias("role"), head.alias("head"), template.escaped(text).alias("body")
+    )
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "head", "body")
+    trained = [r for r in template.names if r in template.trained]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, conv, state = False, None, None
+        for batch in batches:
+            states, losses = [], []
+            for key, said_by in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if not begun or key != conv:
+                    begun, conv, state = True, key, template.start
+                state = template.after(state, said_by)
+                states.append(state)
+                losses.append(said_by in trained)
+            columns = [batch.column(0), batch.column(1), pa.array(states, pa.string()), batch.column(3), batch.column(4), pa.array(losses, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "turn", "state", "head", "body", "loss"])
+
+    conv_type, turn_type = (rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
+    taken = rows.mapInArrow(run, f"conv_id {conv_type}, turn {turn_type}, state string, head string, body string, loss boolean")
+    parts = [(F.col("head"), F.lit(False)), (F.col("body"), F.col("loss")), (F.lit(template.end), F.lit(False))]
     listed = F.array(*[F.struct(t.alias("text"), loss.alias("loss")) for t, loss in parts])
-    return own_names(turns, "conv_id", "turn", "role", "text").select("conv_id", "turn", listed.alias("segments"))
+    return taken.select("conv_id", "turn", "state", listed.alias("segments"))
 
 
 def checked(turns: DataFrame, template: Template = CHAT) -> DataFrame:
@@ -169,6 +192,7 @@ class Reader:
         self.template = template
         self.roles = {name: role for role, name in template.names.items()}
         self.rest, self.n_turns, self.chars, self.loss_chars = "", 0, 0, 0
+        self.state: str | None = template.start
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
 
     def feed(self, text: str, loss: bool) -> None:
@@ -186,6 +210,7 @@ class Reader:
                 raise ValueError(f"not a turn: {turn[:80]!r}")
             role = t.unescaped(name[1:]) if name.startswith("?") else self.roles[name]
             self.turns.update(f"{role}\n{t.unescaped(said)}\n".encode("utf-8", "surrogatepass"))
+            self.state = t.after(self.state, role)
             self.n_turns += 1
 
     def row(self) -> tuple:
@@ -194,12 +219,15 @@ class Reader:
         return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
-def read_back(formatted: DataFrame, template: Template = CHAT) -> DataFrame:
+def read_back(formatted: DataFrame, template: Template = CHAT, ordered: bool = False) -> DataFrame:
     """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`` from the rows of ``segments``.
 
     The digests run over whole conversations in order.  They are taken from
     sorted rows as these stream by, so that a conversation of any length needs
     the memory of one turn; a digest being sequential, its rows do meet in one task.
+    ``ordered`` says that ``formatted`` is what ``segments`` returned, unmoved, so that
+    it is not shuffled again.  The roles read back must lead the state machine to
+    the states that were written.
     """
     conv_type = formatted.schema["conv_id"].dataType.simpleString()
     target = (
@@ -210,7 +238,7 @@ def read_back(formatted: DataFrame, template: Template = CHAT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, conv, reader = [], None, None
         for batch in batches:
-            for key, pieces in zip(batch.column(0), batch.column(1)):
+            for key, pieces, state in zip(batch.column(0), batch.column(1), batch.column(2)):
                 key = key.as_py()
                 if reader is None or key != conv:
                     if reader is not None:
@@ -218,6 +246,8 @@ def read_back(formatted: DataFrame, template: Template = CHAT) -> DataFrame:
                     conv, reader = key, Reader(template)
                 for piece in pieces.as_py():
                     reader.feed(piece["text"], piece["loss"])
+                if reader.state != state.as_py():
+                    raise ValueError(f"read back as {reader.state}, written as {state.as_py()}: conversation {key}")
             if done:
                 yield batch_of(done)
                 done = []
@@ -227,5 +257,7 @@ def read_back(formatted: DataFrame, template: Template = CHAT) -> DataFrame:
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    rows = formatted.select("conv_id", "turn", "segments").repartition("conv_id")
-    return rows.sortWithinPartitions("conv_id", "turn", "segments").select("conv_id", "segments").mapInArrow(run, target)
+    rows = formatted
+    if not ordered:
+        rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segments")
+    return rows.select("conv_id", "segments", "state").mapInArrow(run, target)

@@ -186,6 +186,23 @@ def test_segments_equal_brute_force(spark):
     assert {r["turn"]: [tuple(s) for s in r["segments"]] for r in got} == {t: written_turn(r, x) for _, t, r, x in rows}
 
 
+def test_segments_are_written_by_the_state_machine(spark):
+    roles = {1: "suaua", 2: "uau", 3: "uaaua", 4: "xua", None: "ua"}
+    names = {"u": "user", "a": "assistant", "s": "system", "x": None}
+    rows = [(c, k, names[r], "### x") for c, said in roles.items() for k, r in enumerate(said)]
+    random.Random(4).shuffle(rows)
+    made = chat.segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {}
+    for r in made.collect():
+        got.setdefault(r["conv_id"], []).append((r["turn"], r["state"], r["segments"][1]["loss"]))
+    states = {1: ["told", "asked", "answered", "asked", "answered"], 2: ["asked", "answered", "asked"], 3: ["asked", "answered", None, None, None], 4: [None] * 3, None: ["asked", "answered"]}
+    assert got == {c: [(k, states[c][k], r == "a") for k, r in enumerate(said)] for c, said in roles.items()}
+    moved, in_place = (sorted(map(str, chat.read_back(made, ordered=o).collect())) for o in (False, True))
+    assert moved == in_place and len(moved) == 5
+    with pytest.raises(Exception, match="read back as"):
+        chat.read_back(made.withColumn("state", F.lit("told"))).collect()
+
+
 def test_state_machine_across_partitions(spark):
     rng = random.Random(3)
     kinds = {"good": "uaua", "long": "s" + "ua" * 3000, "open": "su", "twice": "uaa", "late": "uas", "bad": "ua" * 2000 + "x" + "ua" * 2000, "first": "au"}
