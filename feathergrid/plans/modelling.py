@@ -19,6 +19,10 @@ NUM = ["l_quantity", "l_discount", "l_tax", "weather_delay"]
 CAT = ["carrier", "dest"]
 
 
+#: Rows in a partition of a fit: a forest keeps a number per tree beside each, so that splits of a packed file are too large.
+ROWS = 500_000
+
+
 def delays(spark, d):
     """Flights with a known label that depends on the features, and a fold per year."""
     f = roles.flights(spark, d).where(F.col("dep_del15").isNotNull())
@@ -41,12 +45,13 @@ def delays(spark, d):
 
 def parts(spark, d):
     """Past years to train, the last year held out."""
-    return prep.holdout_by_time(spread(delays(spark, d), "l_orderkey").cache(), F.col("yr"), 2001)
+    rows = spread(delays(spark, d), "l_orderkey", ROWS).select(*CAT, *NUM, "label", "yr")
+    return prep.holdout_by_time(rows.cache(), F.col("yr"), 2001)
 
 
 @query("m11_timeseries_cv")
 def m11(spark, d):
-    train = delays(spark, d).cache()
+    train = spread(delays(spark, d), "l_orderkey", ROWS).select(*CAT, *NUM, "label", "fold").cache()
     folds = train.agg(F.max("fold")).first()[0]
     return M.timeseries_cv(train, "logistic", "label", "fold", folds, CAT, NUM, M.GRIDS["logistic"])[1]
 
@@ -270,7 +275,8 @@ def squared(spark, d):
     f = VectorAssembler(inputCols=NUM, outputCol="features", handleInvalid="skip").transform(
         delays(spark, d).na.fill(0.0, subset=["weather_delay"])
     )
-    return prep.holdout_by_time(spread(f, "l_orderkey").cache(), F.col("yr"), 2001)
+    rows = spread(f, "l_orderkey", ROWS).select("features", "label", "yr", "fl_date", "l_quantity", "l_discount")
+    return prep.holdout_by_time(rows.cache(), F.col("yr"), 2001)
 
 
 @query("m29_linear_models_as_classifier")

@@ -66,6 +66,28 @@ def test_time_series_cross_validation_fits(labelled):
     assert M.scores(model, labelled, "y", "best").first()["accuracy"] > 0.7
 
 
+@pytest.mark.parametrize("kind, params", [("logistic", {"regParam": 0.01}), ("svm", {"regParam": 0.1, "maxIter": 50}), ("boosted", {"maxDepth": 2, "maxIter": 5})])
+def test_equal_rows_are_fitted_once(spark, monkeypatch, kind, params):
+    rng = random.Random(8)
+    rows = [(rng.choice("abc"), float(rng.randint(0, 9)), None if rng.random() < 0.1 else rng.randint(0, 4) / 4) for _ in range(2000)]
+    rows = [(c, x, z, float(x + 4 * (z or 0) + (c == "a") + rng.gauss(0, 2) > 6)) for c, x, z in rows]
+    df = spark.createDataFrame(rows, "c string, x double, z double, y double")
+    ready, fitted = M.classifier, []
+
+    def watched(*args, **kwargs):
+        made = ready(*args, **kwargs)
+        fit = made.fit
+        made.fit = lambda d: fitted.append(d.count()) or fit(d)
+        return made
+
+    monkeypatch.setattr(M, "classifier", watched)
+    got = M.grid_scores(df, df, kind, "y", ["c"], ["x", "z"], [params]).first()
+    model = M.fit(df, kind, "y", ["c"], ["x", "z"], **params)
+    want = M.scores(model, df, "y", "all rows").first()
+    assert fitted[0] < 400 and got["n"] == 2000
+    assert list(got)[2:] == pytest.approx(list(want)[2:], abs=2e-3)
+
+
 def test_walk_forward_has_a_gap_for_labels(spark):
     months = spark.sql("select explode(sequence(date'2000-01-01', date'2010-12-01', interval 1 month)) as m")
     first, *_, last = prep.walk_forward_windows(months, "m", cycles=12, train_years=3).orderBy("cycle").collect()
