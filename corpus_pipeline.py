@@ -36,9 +36,13 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return pii.sanitise(docs, everywhere=True)
 
 
+#: Chunks and pre-tokens a worker remembers; they stay in its memory while other stages run.
+KNOWN = (200_000, 400_000)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequence, place in it and token ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True, known=KNOWN)
 
 
 STAGES = [

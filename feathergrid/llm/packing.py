@@ -64,7 +64,7 @@ class _Chunks(dict):
     anew when full.
     """
 
-    def __init__(self, path: str, size: int = 600_000, pretokens: int = 900_000):
+    def __init__(self, path: str, size: int, pretokens: int):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -100,14 +100,18 @@ def encode_whole(tokenizer, text: str) -> bytes:
     return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+#: Most chunks and pre-tokens that a Python worker remembers.
+KNOWN = (600_000, 900_000)
 _CHUNKS: dict[str, _Chunks] = {}
 
 
-def chunk_ids(path: str) -> _Chunks:
-    """The chunk table of the tokenizer file; it lives as long as the Python worker."""
-    if path not in _CHUNKS:
-        _CHUNKS[path] = _Chunks(path)
-    return _CHUNKS[path]
+def chunk_ids(path: str, known: tuple[int, int] = KNOWN) -> _Chunks:
+    """The chunk table of the tokenizer file; it lives as long as the Python worker, or until another size is asked for."""
+    found = _CHUNKS.get(path)
+    if found is None or (found.size, found.pretokens.size) != tuple(known):
+        _CHUNKS.pop(path, None)
+        found = _CHUNKS[path] = _Chunks(path, *known)
+    return found
 
 
 def cut(n: int, capacity: int = CAPACITY, part: int = PART) -> Iterator[tuple[int, int]]:
@@ -123,7 +127,7 @@ def cut(n: int, capacity: int = CAPACITY, part: int = PART) -> Iterator[tuple[in
             yield whole + a, b - a
 
 
-def tokenised(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, part: int = PART, with_ids: bool = False) -> DataFrame:
+def tokenised(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, part: int = PART, with_ids: bool = False, known: tuple[int, int] = KNOWN) -> DataFrame:
     """The pieces of all documents: ``doc_id, start, length, ids_crc32, doc_tokens`` and, if wanted, ``ids``.
 
     ``ids`` is the piece's ids as little-endian 32-bit bytes.  Every document
@@ -132,7 +136,7 @@ def tokenised(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, pa
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = chunk_ids(tokenizer)
+        chunks = chunk_ids(tokenizer, known)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
@@ -200,16 +204,17 @@ def fill(lengths: list[int], capacity: int) -> list[list[int]]:
         windows += 1
 
 
-def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, part: int = PART, with_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, part: int = PART, with_ids: bool = False, known: tuple[int, int] = KNOWN) -> DataFrame:
     """Pieces with their place: the columns of ``tokenised`` plus ``sequence_id`` and ``offset``.
 
     Null or empty texts hold only the end id.  Documents are never told apart by
     ``doc_id``, so null and repeated ids are packed like any other row.  An
-    empty table gives no pieces.
+    empty table gives no pieces.  ``known`` bounds what a worker remembers of the
+    tokenizer's work, and changes no result.
     """
     if part > capacity:
         raise ValueError("a part must fit into a window")
-    pieces = written(tokenised(documents, tokenizer, capacity, part, with_ids), "pieces")
+    pieces = written(tokenised(documents, tokenizer, capacity, part, with_ids, known), "pieces")
     pieces = pieces.withColumn("piece", F.monotonically_increasing_id())
     parts = pieces.where(F.col("length") < capacity)
     total = parts.agg(F.sum("length")).first()[0] or 0

@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from feathergrid.llm import html_text, lang_id, packing, pii, queries, spm_fst, toxicity
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -369,6 +370,15 @@ def test_packing_edges(edge, nothing, edge_rows):
     assert packing.pack(nothing, WORDS).count() == 0
 
 
+def test_small_chunk_tables_take_the_place_of_large_ones():
+    words = [f"{a}x{b}é" for a in range(40) for b in "abcdefgh"]
+    want = [packing.chunk_ids(WORDS)[w] for w in words]
+    few = packing.chunk_ids(WORDS, (50, 70))
+    assert [few[w] for w in words] == want and len(few) <= 51 and len(few.pretokens) <= 70
+    assert list(packing._CHUNKS.values()) == [few] and packing.chunk_ids(WORDS, (50, 70)) is few
+    assert corpus_pipeline.KNOWN < packing.KNOWN
+
+
 def test_chunk_ids_equal_the_tokenizer():
     tokenizer, chunks = Tokenizer.from_file(WORDS), packing.chunk_ids(WORDS)
     rng = random.Random(8)
