@@ -3,7 +3,10 @@
 A Newton step is one aggregate: tasks add up gradient and Hessian of their rows.
 The bootstrap takes the steps of all replicates in the same aggregate; a row's
 weight in a replicate is a Poisson(1) number hashed from row key and replicate,
-so no row is copied and no replicate is a group.
+so no row is copied and no replicate is a group.  The gradient of every replicate
+is expanded around the full fit, whose sums need one pass; a bound on what the
+expansion leaves out says which replicates are settled by it, and only if some
+are not do Newton steps over the rows follow.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from feathergrid.session import scratch_path
 
 # fixed value: normal quantile of a 95 % interval
 Z95 = 1.959963984540054
-# rows whose weights of all replicates are held at a time
-CHUNK = 256
+# rows whose weights of all replicates are held at a time: the arrays stay in a core's cache
+CHUNK = 64
+# highest derivative of the logistic function in the expansion of a replicate's gradient, and a bound on the next one
+ORDER, NEXT_DERIVATIVE = 4, 0.25
 
 
 class BinomialFit:
@@ -141,21 +146,43 @@ ROUNDS = ((15, 48271), (13, 69621), (16, 40692))
 POISSON = tuple(math.ceil(PRIME * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(12))
 
 
+#: Weights by the leading bits of a hash; NaN where an edge lies among the hashes with these bits.
+LOW_BITS = 16
+_STARTS = np.arange(2 ** (31 - LOW_BITS), dtype=np.int64) << LOW_BITS
+WEIGHTS = np.searchsorted(POISSON, _STARTS, side="right").astype(np.float64)
+WEIGHTS[[edge >> LOW_BITS for edge in POISSON]] = np.nan
+
+
 def hashed(z: np.ndarray) -> np.ndarray:
     for shift, factor in ROUNDS:
         z = (z ^ (z >> shift)) * factor % PRIME
     return z
 
 
+def _hash_matrix(z: np.ndarray) -> np.ndarray:
+    """``hashed`` of numbers below 2**31, in place."""
+    part = np.empty_like(z)
+    for shift, factor in ROUNDS:
+        np.right_shift(z, shift, out=part)
+        z ^= part
+        z *= factor
+        # modulo 2**31 - 1: what lies above 31 bits is added to the rest, then the prime taken off once if reached
+        np.right_shift(z, 31, out=part)
+        z &= PRIME
+        z += part
+        np.add(z, 1, out=part)
+        part >>= 31
+        z += part
+        z &= PRIME
+    return z
+
+
 def row_weights(keys: np.ndarray, lanes: np.ndarray) -> np.ndarray:
     """Poisson(1) weights, rows by replicates; ``lanes`` are the replicates' hashes."""
-    z = hashed(hashed(keys % PRIME)[:, None] ^ lanes)
-    out = np.zeros(z.shape)
-    for edge in POISSON:
-        reached = z >= edge
-        if not reached.any():
-            break
-        out += reached
+    z = _hash_matrix(hashed(keys % PRIME)[:, None] ^ lanes)
+    out = WEIGHTS[z >> LOW_BITS]
+    near = np.isnan(out)
+    out[near] = np.searchsorted(POISSON, z[near], side="right")
     return out
 
 
@@ -168,21 +195,90 @@ def _drawn(won, n, key, p, replicates, seed):
     return np.stack([np.random.default_rng([seed, int(k) & (2**63 - 1)]).binomial(int(t), q, replicates) for t, q, k in zip(n, p, key)])
 
 
-def _bootstrap_sums(beta: np.ndarray, base: np.ndarray, replicates: int, seed: int, parametric: bool, wins: bool):
-    """Per replicate: sums of (won, x won) if ``wins``, else of (np, x np, v, x v, x x v) at ``beta``, v = np(1 - p)."""
+def _powers(order: int) -> list[tuple[int, int]]:
+    """Pairs (m, j): sums of the m-th derivative times the j-th power of x that the expansion needs."""
+    return [(m, j) for m in range(order + 1) for j in range(m + 2)]
+
+
+def _slopes(order: int) -> list[np.polynomial.Polynomial]:
+    """The logistic function and its derivatives, as polynomials of its value."""
+    out = [np.polynomial.Polynomial([0.0, 1.0])]
+    while len(out) <= order:
+        out.append(out[-1].deriv() * np.polynomial.Polynomial([0.0, 1.0, -1.0]))
+    return out
+
+
+def _bootstrap_moments(base: np.ndarray, centre: float, scale: float, replicates: int, seed: int, parametric: bool):
+    """Per replicate: sums of won, x won, trials and the terms of ``_powers`` at the full fit, x centred and scaled."""
+    lanes, slopes = _lanes(replicates, seed), _slopes(ORDER)
+
+    def make():
+        total = np.zeros((3 + len(_powers(ORDER)), replicates))
+
+        def add(batch: pa.RecordBatch | None):
+            if batch is None:
+                return dict(enumerate(total))
+            x, won, n, key = _columns(batch)
+            p = 1 / (1 + np.exp(-(base[0] + base[1] * x)))
+            z = (x - centre) / scale
+            design, steep = np.stack([np.ones(len(x)), z]), [slope(p) for slope in slopes]
+            terms = np.stack([n, *[n * steep[m] * z**j for m, j in _powers(ORDER)]])
+            if parametric:
+                total[2:] += terms.sum(axis=1)[:, None]
+            else:
+                terms = np.concatenate([design * won, terms])
+            for s in range(0, len(x), CHUNK):
+                few = slice(s, s + CHUNK)
+                if parametric:
+                    total[:2] += design[:, few] @ _drawn(won[few], n[few], key[few], p[few], replicates, seed)
+                else:
+                    total[:] += terms[:, few] @ row_weights(key[few], lanes)
+
+        return add
+
+    return make
+
+
+def _expanded_fits(won: np.ndarray, terms: np.ndarray, reach: float, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """Moves (2 x replicates, x centred and scaled) that bring the expanded gradient to 0, and bounds on their error."""
+    sums = dict(zip(_powers(ORDER), terms[1:]))
+    move = np.zeros_like(won)
+
+    def around(d0, d1, power, order):
+        """Sum of z**power times the logistic function's ``order``-th derivative, expanded."""
+        out = 0.0
+        for m in range(ORDER + 1 - order):
+            for j in range(m + 1):
+                out = out + math.comb(m, j) / math.factorial(m) * d0 ** (m - j) * d1**j * sums[m + order, j + power]
+        return out
+
+    with np.errstate(all="ignore"):
+        for _ in range(steps):
+            g, h = won[0] - around(*move, 0, 0), won[1] - around(*move, 1, 0)
+            a, b, c = (around(*move, power, 1) for power in range(3))
+            det = a * c - b * b
+            step = np.stack([c * g - b * h, a * h - b * g]) / det
+            move = move + step
+            if np.all(np.abs(step) <= 1e-13 * (1 + np.abs(move))):
+                break
+        # what the expansion leaves out of both gradients, through the inverse of the Hessian
+        far = np.abs(move[0]) + np.abs(move[1]) * reach
+        # rows of weight 0 add nothing, so the next derivative's bound times all trials bounds the rest
+        left = terms[0] * NEXT_DERIVATIVE * far ** (ORDER + 1) / math.factorial(ORDER + 1)
+        error = np.stack([np.abs(c) + np.abs(b) * reach, np.abs(a) * reach + np.abs(b)]) * left / np.abs(det)
+    return move, np.where(np.isfinite(error) & np.isfinite(move) & (det > 0), error, np.inf)
+
+
+def _bootstrap_sums(beta: np.ndarray, replicates: int, seed: int, parametric: bool):
+    """Per replicate: sums of (np, x np, v, x v, x x v) at ``beta``, v = np(1 - p)."""
     lanes = _lanes(replicates, seed)
 
     def make():
-        total = np.zeros((2 if wins else 5, replicates))
+        total = np.zeros((5, replicates))
 
         def few(x, won, n, key):
             design = np.stack([np.ones(len(x)), x])
-            if wins and parametric:
-                p = 1 / (1 + np.exp(-(base @ design)))
-                return design @ _drawn(won, n, key, p, replicates, seed)
             weight = np.ones((len(x), replicates)) if parametric else row_weights(key, lanes)
-            if wins:
-                return (design * won) @ weight
             p = 1 / (1 + np.exp(-np.clip(design.T @ beta, -30, 30)))
             weight *= n[:, None]
             weight *= p
@@ -220,9 +316,11 @@ def bootstrap_fits(
     draws every row's successes anew from the full fit.  ``key`` is a whole
     number that names a row, so that results do not depend on partitions; without
     one rows are numbered as they are written.  Nulls and rows without trials
-    take no part.  Every step reads the rows once; the driver gets five numbers
-    per replicate.  Steps end when no replicate moves by more than ``tol`` of its
-    scale, or after ``steps`` if one is separated.
+    take no part.  One pass sums the gradients' expansions around the full fit;
+    if these leave out less than ``tol`` of every coefficient's scale, that is all.
+    Else Newton steps follow, each of which reads the rows once, until no
+    replicate moves by more than ``tol`` of its scale, or for ``steps`` if one is
+    separated.  The driver gets a few numbers per replicate.
     """
     full = fit_binomial(df, successes, trials, [x]).coef
     spark = df.sparkSession
@@ -231,12 +329,22 @@ def bootstrap_fits(
     path = scratch_path(spark, "bootstrap")
     rows.na.drop().where("n > 0").write.parquet(path)
     kept = spark.read.parquet(path)
-    sums = partial(_bootstrap_sums, base=full, replicates=replicates, seed=seed, parametric=parametric)
-    found = array_sums(kept, sums(None, wins=True))
-    won = np.stack([found[0], found[1]])
-    beta = np.repeat(full[:, None], replicates, axis=1)
+    known = kept.agg(F.avg("x").alias("centre"), F.min("x").alias("low"), F.max("x").alias("high")).first()
+    centre = known["centre"]
+    scale = max(known["high"] - centre, centre - known["low"]) or 1.0
+    found = array_sums(kept, _bootstrap_moments(full, centre, scale, replicates, seed, parametric))
+    moments = np.stack([found[i] for i in range(len(found))])
+    move, error = _expanded_fits(moments[:2], moments[2:], 1.0)
+    start = np.stack([full[0] + move[0] - move[1] * centre / scale, full[1] + move[1] / scale])
+    error = np.stack([error[0] + error[1] * abs(centre) / scale, error[1] / scale])
+    if np.all(error <= tol * (1 + np.abs(start))):
+        return start
+    won = np.stack([moments[0], moments[1] * scale + moments[0] * centre])
+    # replicates far from the full fit start there
+    beta = np.where(np.all(error <= 1e-3, axis=0), start, full[:, None])
+    sums = partial(_bootstrap_sums, replicates=replicates, seed=seed, parametric=parametric)
     for _ in range(steps):
-        found = array_sums(kept, sums(beta, wins=False))
+        found = array_sums(kept, sums(beta))
         expected, (a, b, c) = np.stack([found[0], found[1]]), (found[2], found[3], found[4])
         g, h = won - expected
         det = a * c - b * b

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,30 @@ def test_clusters_with_leverage(spark):
     got = {r["term"]: r["std_error"] for r in D.clustered_se(within, fit, "g", "y", leverage=True).collect()}
     assert [got["x"], got["v"]] == pytest.approx(want, rel=1e-9)
     assert {r["term"]: r["std_error"] for r in D.clustered_se(within, fit, "g", "y").collect()}["x"] < got["x"]
+
+
+def test_large_samples_need_one_pass_for_all_replicates(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(0, 4, 200_000)
+    won = (rng.random(len(x)) < 1 / (1 + np.exp(1.0 - 0.5 * x))).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "x": x, "won": won, "n": 1.0}))
+    passes, sums = [], B.array_sums
+    monkeypatch.setattr(B, "array_sums", lambda rows, make: passes.append(1) or sums(rows, make))
+    B.fit_binomial(df, "won", "n", ["x"])
+    full, passes[:] = len(passes), []
+    got = B.bootstrap_fits(df, "won", "n", "x", replicates=20, key="id")
+    assert len(passes) - full == 1
+    weights = B.row_weights(np.arange(len(x)), B._lanes(20, 7))
+    for r in range(3):
+        design, beta = np.column_stack([np.ones(len(x)), x]), np.zeros(2)
+        for _ in range(12):
+            p = 1 / (1 + np.exp(-design @ beta))
+            w = weights[:, r]
+            beta = beta + np.linalg.solve(design.T @ ((w * p * (1 - p))[:, None] * design), design.T @ (w * (won - p)))
+        assert got[:, r] == pytest.approx(beta, abs=1e-8)
+
+
+def test_row_weights_follow_the_hash_and_its_edges():
+    keys, lanes = np.array([0, 1, B.PRIME, 2**62 + 11, -5]), B._lanes(4000, 7)
+    z = B.hashed(B.hashed(keys % B.PRIME)[:, None] ^ lanes)
+    assert (B.row_weights(keys, lanes) == sum((z >= edge).astype(float) for edge in B.POISSON)).all()
