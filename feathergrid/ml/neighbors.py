@@ -88,7 +88,7 @@ class _Block:
         return out
 
     def nearest(self, q: np.ndarray, t: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query and row numbers and distances, at least all pairs that can be among a query's k nearest."""
+        """Query and row numbers and distances of the k nearest rows of each query among those that can matter, ties to the earlier row."""
         turned = (t - self.mean) @ self.axes
         rest = [np.sqrt((turned[:, p:] ** 2).sum(1)) for p in self.cuts]
         parts = [self._few(q[s : s + QUERY_ROWS], t, turned, rest, bound[s : s + QUERY_ROWS], s) for s in range(0, len(q), QUERY_ROWS)]
@@ -119,9 +119,20 @@ class _Block:
                 alive &= low <= limit[:, None]
         row, col = np.nonzero(alive & np.isnan(known))
         known[row, col] = self._score(q, t, row, col)
-        row, col = np.nonzero(~np.isnan(known))
+        row, col = np.nonzero(self._closest(known))
         return row + first, col, known[row, col]
 
+    def _closest(self, known: np.ndarray) -> np.ndarray:
+        """Which of the scored pairs are a query's k smallest; few pairs leave a block, however many were scored."""
+        scored = ~np.isnan(known)
+        if known.shape[1] <= self.k:
+            return scored
+        known = np.where(scored, known, np.inf)
+        kth = np.partition(known, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+        under, tied = known < kth, (known == kth) & scored
+        room = self.k - under.sum(axis=1)[:, None]
+        return under | tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= room)
+
 
 def knn(
     train: DataFrame,
@@ -185,6 +196,7 @@ def knn(
         def closest(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(t):
                 return pd.DataFrame({"id": [], "neighbour": [], "label": [], "distance": []})
+            t = t.sort_values("id")
             block = _Block(k, mean, axes)
             row, col, distance = block.nearest(_stack(q["v"]), _stack(t["v"]), q["bound"].fillna(np.inf).to_numpy())
             if counters is not None:
@@ -227,8 +239,13 @@ def knn(
             slack = 1e-9 * (1 + bound + d.max())
             near = (floor <= (bound + slack)[:, None]) & (size > 0)
             near[np.arange(len(v)), own] = False
-            row, cell = np.nonzero(near)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "bound": bound[row], "cell": cell})
+            rows, cells = np.nonzero(near)
+            # a query may have as many probes as there are cells: a few pieces' worth at a time
+            for s in range(0, len(rows), PIECE_ROWS):
+                row = rows[s : s + PIECE_ROWS]
+                yield pd.DataFrame(
+                    {"id": pdf["id"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "bound": bound[row], "cell": cells[s : s + PIECE_ROWS]}
+                )
 
     bounded = asked.select("id", "v", "cell").join(kth, "id", "left")
     probes = bounded.mapInPandas(others, "id long, v array<double>, bound double, cell int")

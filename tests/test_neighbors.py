@@ -65,3 +65,16 @@ def test_clusters_leave_out_nearly_all_pairs(spark):
     rows = [(i, (middle[i % 40] + rng.normal(size=16)).tolist(), 0.0) for i in range(8000)]
     t = spark.createDataFrame(rows, "id long, v array<double>, label double")
     assert left_out(spark, t, t.where(F.col("id") % 20 == 0), "id", "v", "label", 5) > 0.9
+
+
+def test_a_block_returns_k_pairs_a_query_however_many_it_scores():
+    rng = np.random.default_rng(3)
+    t, q = rng.normal(size=(900, 6)), rng.normal(size=(300, 6))
+    t[500:] = t[0]  # copies tie
+    block = N._Block(4, t.mean(axis=0), np.eye(6))
+    row, col, distance = block.nearest(q, t, np.full(len(q), np.inf))
+    assert len(row) == 4 * len(q)
+    full = np.sqrt(((q[:, None] - t) ** 2).sum(2))
+    want = np.argsort(full, axis=1, kind="stable")[:, :4]
+    for i in range(len(q)):
+        assert sorted(col[row == i]) == sorted(want[i])
