@@ -115,7 +115,7 @@ def m17(spark, d):
     li = table(spark, d, "lineitem")
     y = F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.03), 1).otherwise(0)
     names = ["l_quantity", "l_discount", "l_tax"]
-    z = zscore(spread(li.select("l_orderkey", *names, y.alias("y")), "l_orderkey"), names).cache()
+    z = zscore(spread(li.select("l_orderkey", *names, y.alias("y")), "l_orderkey"), names)
     _, losses = M.logistic_gd(z, "y", names, _GD_STEPS)
     rows = [(i, round(v, 8)) for i, v in enumerate(losses, 1)]
     return spark.createDataFrame(rows, "step int, loss double")

@@ -207,3 +207,13 @@ def test_pipeline_indexes_unseen_labels(spark):
     model = Pipeline(stages=M.feature_stages(["c"], ["x"])).fit(train)
     out = model.transform(spark.createDataFrame([("zzz", 1.0, 0.0)], "c string, x double, y double")).first()
     assert out["c_idx"] == 2.0
+
+
+def test_descent_reads_equal_rows_once(spark, monkeypatch):
+    df = spark.range(4000).selectExpr("cast(id % 2 as double) as x", "cast(id % 5 + id % 2 > 2 as double) as y")
+    sizes, sums = [], M.array_sums
+    monkeypatch.setattr(M, "array_sums", lambda rows, make: sizes.append(rows.count()) or sums(rows, make))
+    weights, losses = M.logistic_gd(df, "y", ["x"], steps=2)
+    assert sizes == [4, 4, 4]
+    odd = df.limit(10)  # one of each ten rows
+    assert M.logistic_gd(odd, "y", ["x"], steps=2, reg=0.1 / 400)[1] == pytest.approx(losses, abs=1e-12)
