@@ -73,13 +73,18 @@ def _received(links: DataFrame, ranks: DataFrame) -> DataFrame:
 def _iterate(edges: DataFrame, steps: int, alpha: float, teleport: bool) -> DataFrame:
     """x <- alpha/N + (1 - alpha) (m/N + sum x p), or x <- x P without teleport and dangling mass.
 
-    Links and nodes are written once as bucketed tables, so a step moves ranks
-    and what they add up to, but no links.
+    The edges are computed once and written; links and nodes are written once as
+    bucketed tables, so a step moves ranks and what they add up to, but no links.
     """
     spark = edges.sparkSession
+    # degrees, links and nodes all come from the edges, which may be a join or an aggregate
+    given = scratch_path(spark, "edges")
+    edges.write.parquet(given)
+    edges = spark.read.schema(edges.schema).parquet(given)
     raw_links, salts = _salted(edges)
     links = bucketed(raw_links, ["src", "salt"], "links")
     base = bucketed(nodes(edges).join(salts, "id", "left"), ["id"], "nodes")
+    remove_path(spark, given)
     size = base.agg(F.count("id").alias("n")).first()["n"]
     ranks, before = base.withColumn("x", F.lit(1.0) / size), None
     for step in range(1, steps + 1):

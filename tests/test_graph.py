@@ -79,3 +79,17 @@ def test_vertices_and_parallel_edges(spark):
     v, e = G.vertices_edges_frames(frame(spark, GOLDEN_11))
     assert v.count() == 11
     assert e.where("src = '5' and dst = '4'").count() == 3
+
+
+def test_pagerank_computes_its_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(1, 2, 1), (2, 3, 2), (3, 1, 1), (1, 3, 4)], "src long, dst long, w long")
+    got = ranks(G.pagerank(edges.mapInArrow(passed, edges.schema), 3))
+    assert seen.value == 4
+    assert got == pytest.approx(ranks(G.pagerank(edges, 3)))
