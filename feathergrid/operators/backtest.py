@@ -21,9 +21,11 @@ from feathergrid.operators.series import along, cumulative_return, lead_forward_
 PICKS, HOLD_MONTHS, STAKE = 5, 12, 100.0
 
 
-def outperform_label(prices: DataFrame, benchmark: DataFrame, day: str, price: str, entity: str, rows: int = 250) -> DataFrame:
-    """1 where the entity's one-year return beats the benchmark's; unknown counts as 0."""
-    own = lead_forward_return(prices, [entity], day, price, rows).select(entity, day, "forward_return")
+def outperform_label(
+    prices: DataFrame, benchmark: DataFrame, day: str, price: str, entity: str, rows: int = 250, keep: Sequence[str] = ()
+) -> DataFrame:
+    """1 where the entity's one-year return beats the benchmark's; unknown counts as 0.  Columns to ``keep`` go along."""
+    own = lead_forward_return(prices, [entity], day, price, rows).select(entity, day, *keep, "forward_return")
     series = benchmark.select(F.lit(0).alias("_one"), day, price)
     bench = lead_forward_return(series, ["_one"], day, price, rows)
     bench = bench.select(day, F.col("forward_return").alias("benchmark_return"))

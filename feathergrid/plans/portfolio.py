@@ -38,13 +38,18 @@ bench as materialized (select *, product(1 + coalesce(average, 0)) over (partiti
 """
 
 
-def px(spark, d):
-    return roles.prices(spark, d).select("tic", "datadate", F.round(100 + 50 * F.col("ratio"), 6).alias("price"))
+def px(spark, d, *also):
+    return roles.prices(spark, d).select("tic", "datadate", F.round(100 + 50 * F.col("ratio"), 6).alias("price"), *also)
 
 
-def bx(spark, d):
+def mean_price(prices):
+    """Daily mean over all tickers."""
     mean = F.sum(F.col("price").cast("decimal(18,6)")).cast("double") / F.count(F.lit(1))
-    return px(spark, d).groupBy("datadate").agg(mean.alias("price"))
+    return prices.groupBy("datadate").agg(mean.alias("price"))
+
+
+def bx(spark, d):
+    return mean_price(px(spark, d))
 
 
 def scores(spark, d):

@@ -11,27 +11,33 @@ from feathergrid.operators import backtest as B
 from feathergrid.operators.project import universe_filter
 from feathergrid.operators.series import last_day_in_period
 from feathergrid.plans import roles
-from feathergrid.plans.portfolio import BX_SQL, PX_SQL, bx, px
+from feathergrid.plans.portfolio import BX_SQL, PX_SQL, mean_price, px
 from feathergrid.plans.registry import query
 from feathergrid.plans.solving import newton_ctes, pairs, solve_sql
+from feathergrid.session import scratch_path
 
 # fixed values: cycles, years of training, lowest price and market capitalisation
 CYCLES = Cycles(date(1985, 1, 1), count=300, train_years=10)
 MIN_PRICE, MIN_CAP, STEPS, LEAST = 5, 300, 6, 30
 
 
-def monthly_rows(spark, d):
-    """The last row of each ticker and month inside the universe, with its label a year ahead."""
-    prices = px(spark, d)
-    label = B.outperform_label(prices, bx(spark, d), "datadate", "price", "tic").select("tic", "datadate", "outperformed")
-    sold = roles.prices(spark, d).select("tic", "datadate", "volume")
-    last = last_day_in_period(prices.join(sold, ["tic", "datadate"]), ["tic"], "datadate").where("is_last = 1")
-    inside = universe_filter(last.withColumn("market_cap", F.col("price") * F.col("volume")), "price", "market_cap", MIN_PRICE, MIN_CAP)
-    return inside.join(label, ["tic", "datadate"])
+def sold(spark, d):
+    """Price and volume by ticker and day, written once: labels, benchmark and holding months all read them."""
+    rows = px(spark, d, "volume")
+    path = scratch_path(spark, "walk-prices")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
-def walk(spark, d):
-    return WalkForward(monthly_rows(spark, d), "tic", "datadate", "outperformed", ["price", "volume"], CYCLES, least=LEAST)
+def monthly_rows(prices):
+    """The last row of each ticker and month inside the universe, with its label a year ahead; one shuffle by ticker, no join back."""
+    labelled = B.outperform_label(prices, mean_price(prices), "datadate", "price", "tic", keep=["price", "volume"])
+    last = last_day_in_period(labelled.where("tic is not null and datadate is not null"), ["tic"], "datadate").where("is_last = 1")
+    return universe_filter(last.withColumn("market_cap", F.col("price") * F.col("volume")), "price", "market_cap", MIN_PRICE, MIN_CAP)
+
+
+def walk(prices):
+    return WalkForward(monthly_rows(prices), "tic", "datadate", "outperformed", ["price", "volume"], CYCLES, least=LEAST)
 
 
 _FIRST, _AHEAD = CYCLES.first, CYCLES.ahead
@@ -88,7 +94,7 @@ def report(walk: WalkForward, coef, scores, cut: float):
 
 @query("m12_walk_forward_linear", f"with {ROWS_SQL} {_report_sql(_LINEAR_SQL, _ETA, 0.5)}")
 def m12_linear(spark, d):
-    w = walk(spark, d)
+    w = walk(sold(spark, d))
     coef = w.linear()
     return report(w, coef, w.scores(coef, "identity"), 0.5)
 
@@ -101,17 +107,18 @@ _LOGISTIC_CTES = newton_ctes("tr", 4, STEPS, keys="cycle", ridge=1.0)
     f"with {ROWS_SQL}, {_LOGISTIC_CTES} {_report_sql(f'select * from b{STEPS}', f'1 / (1 + exp(-({_ETA})))', 0.5)}",
 )
 def m12_logistic(spark, d):
-    w = walk(spark, d)
+    w = walk(sold(spark, d))
     coef, _ = w.logistic(STEPS)
     return report(w, coef, w.scores(coef), 0.5)
 
 
 def walked_picks(spark, d):
     """Picks of each month by the model of its cycle."""
-    w = walk(spark, d)
+    prices = sold(spark, d)
+    w = walk(prices)
     scored = w.scores(w.logistic(STEPS)[0])
     rounded = scored.select("month", F.col("entity").alias("ticker"), F.round("probability", 9).alias("probability"))
-    return B.pick_top_k(rounded, px(spark, d))
+    return B.pick_top_k(rounded, prices)
 
 
 @query(

@@ -127,3 +127,9 @@ def test_no_rows_no_models(spark):
     assert paths and not any(os.path.exists(p) for p in paths) and w.paths == []
 
 
+def test_monthly_rows_join_the_benchmark_only(spark, sf_dir):
+    from feathergrid.plans import walking
+
+    rows = walking.monthly_rows(walking.sold(spark, sf_dir))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "lineitem" not in plan and rows.count() > 0
