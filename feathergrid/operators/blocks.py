@@ -6,8 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +17,9 @@ def array_sums(df: DataFrame, make: Callable[[], Adder]) -> dict[int, np.ndarray
     """The arrays of all tasks added up by key.
 
     ``make()`` starts a task.  Keys and widths must not grow with the rows: the
-    driver gets one array per key.  The arrays of a key meet in one aggregate,
-    combined before the shuffle; many keys spread over many tasks.
+    driver gets one array per key.  The arrays of a key, one per task, meet in one
+    group; many keys spread over many tasks.  They are really added: whole numbers
+    stay whole, which a mean times its weight (``Summarizer.sum``) does not promise.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,9 +32,10 @@ def array_sums(df: DataFrame, make: Callable[[], Adder]) -> dict[int, np.ndarray
                 [pa.array([key], pa.int32()), pa.array([sums], pa.list_(pa.float64()))], names=["key", "sums"]
             )
 
-    parts = df.mapInArrow(run, "key int, sums array<double>").select("key", array_to_vector("sums").alias("sums"))
-    total = parts.groupBy("key").agg(Summarizer.sum(F.col("sums")).alias("sums"))
-    return {r["key"]: r["sums"].toArray() for r in total.collect()}
+    parts = df.mapInArrow(run, "key int, sums array<double>").groupBy("key").agg(F.collect_list("sums").alias("parts"))
+    rest = F.slice("parts", F.lit(2), F.size("parts"))
+    total = parts.select("key", F.aggregate(rest, F.element_at("parts", 1), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("sums"))
+    return {r["key"]: np.array(r["sums"], dtype=np.float64) for r in total.collect()}
 
 
 def matrix(column: pa.Array) -> np.ndarray:

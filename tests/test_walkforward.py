@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feathergrid.ml.walkforward import Cycles, WalkForward
+from feathergrid.operators.blocks import array_sums
 
 CYCLES = Cycles(date(2000, 1, 1), count=30, train_years=2, years_ahead=1, step=2)
 
@@ -133,3 +134,20 @@ def test_monthly_rows_join_the_benchmark_only(spark, sf_dir):
     rows = walking.monthly_rows(walking.sold(spark, sf_dir))
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "lineitem" not in plan and rows.count() > 0
+
+
+def test_sums_of_whole_numbers_stay_whole(spark):
+    def make():
+        total = np.zeros(60)
+
+        def add(batch):
+            if batch is None:
+                return {0: total}
+            ids = batch.column(0).to_numpy()
+            total[:] += [(ids % (k + 2) == 0).sum() for k in range(60)]
+
+        return add
+
+    df = spark.range(0, 9650, 1, 11)
+    got = array_sums(df, make)[0]
+    assert got.tolist() == [-(-9650 // (k + 2)) for k in range(60)]
