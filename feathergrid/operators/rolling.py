@@ -1,19 +1,21 @@
 """Rolling sums over time ranges, safe for hot keys and long frames.
 
 A sliding frame re-reads every row of the frame for every row, and keeps one
-key in one task.  Rolling sums need neither.  A value at second ``s`` counts for
-rows at ``t`` in ``[s-end, s-start]``, so it becomes a ``+v`` event where that
-interval starts and a ``-v`` event after it ends.  Rows and events lie in one
-frame, and a plain running total along time gives each row its rolling sums: one
-exchange per set of keys, and no join back.  Time is cut into blocks at least as
-long as a frame: an interval touches at most two blocks and is written to each,
-so blocks need nothing from each other and a hot key runs in as many tasks as it
-has blocks.
+key in one task.  Rolling sums need neither.  The sum of a frame is the running
+total at its end less the one before its start, and a running total over a range
+of time is taken in one pass along the rows.  Time is cut into blocks at least as
+long as a frame.  A row lies whole in its own block; only if it has something to
+add, its second and measures are copied to the other blocks in whose frames it
+counts, at most two for a frame.  So blocks need nothing from each other, a hot
+key runs in as many tasks as it has blocks, and there is one exchange per set of
+keys and no join back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -75,51 +77,58 @@ def with_rolling(
     """
     width = max([block_seconds, *[end - start + 1 for start, end in frames.values()]])
     limbs = {m: _limbs(df, e) for m, e in measures.items()}
-    moves = {(m, f, i): F.coalesce(limb, F.lit(0)) for m, cols in limbs.items() for f in frames for i, limb in enumerate(cols)}
+    values = {(m, i): F.coalesce(limb, F.lit(0)) for m, cols in limbs.items() for i, limb in enumerate(cols)}
+    names, moved = [f"_k{i}" for i in range(len(keys))], [f"_v{n}" for n in range(len(values))]
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    t = F.col(seconds)
-    kinds = df.select(row.alias("row"), *[v.alias(f"v{n}") for n, v in enumerate(moves.values())]).schema
-    no_row = F.lit(None).cast(kinds["row"].dataType)
-
-    def event(at: Column, block: Column, signs: Mapping[str, int], payload: Column) -> Column:
-        """``signs`` say which frames a row's measures enter (1) or leave (-1) at that second."""
-        moved = []
-        for n, ((_, frame, _), value) in enumerate(moves.items()):
-            signed = {1: value, -1: -value}.get(signs.get(frame, 0), F.lit(0))
-            moved.append(signed.cast(kinds[f"v{n}"].dataType).alias(f"_d{n}"))
-        return F.struct(block.alias("_block"), at.alias("_at"), payload.alias("_row"), *moved)
+    ready = df.select(
+        *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)],
+        F.col(seconds).cast("long").alias("_at"),
+        row.alias("_row"),
+        *[v.alias(n) for n, v in zip(moved, values.values(), strict=True)],
+    )
 
     def block_of(at: Column) -> Column:
         return F.floor(at / width)
 
-    # frames that start to count at the same second share one event; rows without a second are spread
-    starts: dict[int, dict[str, int]] = {0: {}}
-    for f, (_, end) in frames.items():
-        starts.setdefault(-end, {})[f] = 1
-    own = event(t, F.coalesce(block_of(t), F.xxhash64(row)), starts.pop(0), row)
-    others = [event(t + shift, block_of(t + shift), signs, no_row) for shift, signs in starts.items()]
-    for f, (start, end) in frames.items():
-        first, stop = t - end, t - start + 1
-        entered, left = block_of(first), block_of(stop)
-        # leaves in a later block: that block starts with the value and drops it
-        others.append(F.when(left > entered, event(left * width, left, {f: 1}, no_row)))
-        others.append(event(stop, left, {f: -1}, no_row))
-    names = [f"_k{i}" for i in range(len(keys))]
-    listed = F.explode(F.array(own, *others)).alias("e")
-    exploded = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], listed)
-    events = exploded.where("e._at is not null or e._row is not null").select(*names, "e.*")
+    # rows without a second are spread; a value at second s counts for rows from s-end to s-start
+    ready = ready.withColumn("_own", F.coalesce(block_of(F.col("_at")), F.xxhash64("_row")))
+    reached = [block_of(F.col("_at") - edge) for edge in sorted({edge for frame in frames.values() for edge in frame})]
+    adds = F.col("_at").isNotNull() & reduce(or_, [F.col(n) != 0 for n in moved], F.lit(False))
+    own = F.array("_own")
+    leaves = reduce(or_, [block != F.col("_own") for block in reached], F.lit(False))
+    blocks = F.when(adds & leaves, F.concat(own, F.array_except(F.array(*reached), own))).otherwise(own)
+    placed = ready.select(*names, "_at", "_row", *moved, F.posexplode(blocks).alias("_place", "_block"))
+    placed = placed.withColumn("_row", F.when(F.col("_place") == 0, F.col("_row"))).drop("_place")
     # rows that lie together by key alone, after a join say, would keep a hot key in one task
-    events = events.repartition(*names, "_block")
-    so_far = W.partitionBy(*names, "_block").orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
-    totals = events.select("_row", *[F.sum(f"_d{n}").over(so_far).alias(f"_s{n}") for n in range(len(moves))])
-    rows = totals.where("_row is not null")
-    numbered = {key: F.col(f"_s{n}") for n, key in enumerate(moves)}
+    placed = placed.repartition(*names, "_block")
+    # the block first: sorting compares the first column cheaply, and there can be few keys
+    along = W.partitionBy("_block", *names).orderBy("_at")
+    # running totals up to a frame's end, and up to the second before its start; frames share those at the same second
+    edges = sorted({edge for start, end in frames.values() for edge in (start - 1, end)})
+    totals = placed.select(
+        "_row",
+        *[
+            F.sum(name).over(along.rangeBetween(W.unboundedPreceding, edge)).alias(f"_s{n}_{e}")
+            for n, name in enumerate(moved)
+            for e, edge in enumerate(edges)
+        ],
+    )
+    kinds = totals.schema
+
+    def total(n: int, edge: int) -> Column:
+        return F.coalesce(F.col(f"_s{n}_{edges.index(edge)}"), F.lit(0))
+
+    def inside(n: int, frame: str) -> Column:
+        start, end = frames[frame]
+        return (total(n, end) - total(n, start - 1)).cast(kinds[f"_s{n}_0"].dataType)
+
+    number = {key: n for n, key in enumerate(values)}
     sums = [
-        F.when(F.col(f"_row.`{seconds}`").isNotNull(), _joined([numbered[m, f, i] for i in range(len(cols))])).alias(f"{m}_{f}")
+        F.when(F.col(f"_row.`{seconds}`").isNotNull(), _joined([inside(number[m, i], f) for i in range(len(cols))])).alias(f"{m}_{f}")
         for m, cols in limbs.items()
         for f in frames
     ]
-    return rows.select("_row.*", *sums)
+    return totals.where("_row is not null").select("_row.*", *sums)
 
 
 def rolling_mean_of_flag(df: DataFrame, keys: Sequence[str], seconds: str, flag: Column, span: int, name: str) -> DataFrame:

@@ -36,6 +36,37 @@ def test_rolling_sums_equal_plain_window(flights, frame):
     assert both.count() == flights.count()
 
 
+def test_rolling_sums_of_far_and_following_frames_equal_plain_windows(flights):
+    frames = {"far": (-9 * RO.DAY, -8 * RO.DAY), "own": (0, 0), "next": (RO.HOUR, 30 * RO.HOUR), "upto": RO.leaky_frame(2 * RO.DAY)}
+    got = RO.with_rolling(flights, ["key"], "t", {"hits": F.col("flag"), "n": F.lit(1)}, frames, RO.HOUR)
+    wrong = F.lit(False)
+    for name, frame in frames.items():
+        w = W.partitionBy("key").orderBy("t").rangeBetween(*frame)
+        got = got.withColumn(f"h_{name}", F.coalesce(F.sum("flag").over(w), F.lit(0))).withColumn(f"m_{name}", F.count(F.lit(1)).over(w))
+        wrong = wrong | (F.col(f"h_{name}") != F.col(f"hits_{name}")) | (F.col(f"m_{name}") != F.col(f"n_{name}"))
+    assert got.where(wrong).count() == 0
+    assert got.count() == flights.count()
+
+
+def test_rolling_sums_copy_only_rows_that_count_in_another_block(spark):
+    """1000 rows, each with four frames, half of them 0: the others reach the next day at most."""
+    rows = spark.range(1000).selectExpr("id", "id % 5 as key", "id * 1800 as t", "cast(id % 2 as int) as flag")
+    frames = {f"w{h}": RO.safe_frame(h * RO.HOUR) for h in (2, 4, 8, 12)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = RO.with_rolling(rows, ["key"], "t", {"hits": F.col("flag")}, frames)
+        got.collect()
+        plan, made = [got._jdf.queryExecution().executedPlan()], []
+        while plan:
+            node = plan.pop()
+            if node.nodeName() == "Generate":
+                made.append(node.metrics().apply("numOutputRows").value())
+            plan += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(made) == 1 and 1000 < made[0] <= 1500
+
+
 def test_safe_frame_does_not_see_own_label(flights):
     frames = {"w": RO.safe_frame(12 * RO.HOUR)}
     target = flights.where("flag is not null and key = 'hot'").agg(F.max("id")).first()[0]
