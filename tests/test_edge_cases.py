@@ -132,6 +132,27 @@ def test_bayes_on_words_equals_spark_ml(spark):
     assert got == {r["id"]: "xy"[int(r["prediction"])] for r in out.collect()}
 
 
+@pytest.mark.parametrize("plain", [M.PLAIN_WORDS, 0])
+def test_bayes_on_words_reads_each_text_once(spark, monkeypatch, plain):
+    """With many words the common ones are joined apart from the rare ones: the predictions are the same."""
+    monkeypatch.setattr(M, "PLAIN_WORDS", plain)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = [(i, " ".join(f"w{(i * j) % 17}{'ab'[i % 2]}" for j in range(1, 12)) + f" Only{i}", "xyx"[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, text string, y string")
+    want = {r["id"]: r["prediction"] for r in M.tfidf_nb(df.where("id < 40"), df.where("id >= 40"), "id", "text", "y").collect()}
+    assert len(want) == 20
+    counted = df.withColumn("text", seen("text"))
+    got = M.tfidf_nb(counted.where("id < 40"), counted.where("id >= 40"), "id", "text", "y").collect()
+    assert {r["id"]: r["prediction"] for r in got} == want
+    assert read.value == 60
+
+
 def test_logs_of_growth_stay_precise(spark):
     df = spark.createDataFrame([("a", i, 1e-12) for i in range(1000)], "k string, day int, r double")
     last = df.withColumn("c", S.cumulative_return("r", W.partitionBy("k").orderBy("day"))).agg(F.max("c")).first()[0]
